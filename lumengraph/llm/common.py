@@ -56,10 +56,10 @@ def _byte_lengths(texts: pa.Array) -> list:
     return pc.binary_length(texts).to_pylist()
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that numpy temporaries stay near ``KERNEL_BYTES`` times a small constant."""
     for b in batches:
-        for lo, hi in text_slices(b.column(b.schema.get_field_index(column))):
+        for lo, hi in text_slices(b.column(column)):
             yield b.slice(lo, hi - lo)
 
 
