@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, sharding, simhash
+from . import decontam, packing, quality, sharding, simhash
 from .common import table
 
 
@@ -20,6 +20,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.Model(docs))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return marks.select(
@@ -36,7 +41,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bounded_ring, op3_packing, op8_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_bounded_ring, op3_packing, op7_quality, op8_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
