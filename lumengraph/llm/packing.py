@@ -9,9 +9,7 @@ packing is its padding plus its cut costs, in tokens; padding is window * window
 
 and a monotone queue gives the minimum of the sliding range in amortised constant time per cut.
 
-Tokens: a public tokenizer file; each document's ids, then ``end_id``. White space never takes part in
-a token there, so a text is tokenised word by word, each different word once per task (a table of
-at most ``CACHE_WORDS`` words); texts that hold the start of a special token go to the tokenizer whole.
+Tokens: a public tokenizer file (``bpe``); each document's ids, then ``end_id``.
 
 The stream is cut into range partitions by (doc_id, hash of the text); each is packed by itself, so a
 partition adds at most one part-filled window, and memory is bounded by ``SPAN`` tokens: a partition
@@ -33,46 +31,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .bpe import Bpe
+from .common import id_text, text_batches
 
 WINDOW, SENTENCE_COST, HARD_COST, STRIDE = 2048, 8, 32, 256
 SPAN = 1 << 21
-CACHE_WORDS = 400_000
-
-
-class WordTokenizer:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, by a table of words."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.table: dict[bytes, bytes] = {}
-        size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.ends_sentence = np.zeros(size, bool)
-        for piece, i in self.tok.get_vocab(with_added_tokens=False).items():
-            body = piece.removesuffix("</w>")
-            self.ends_sentence[i] = piece.endswith("</w>") and body != "" and all(not c.isalnum() for c in body) and any(c in ".!?" for c in body)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split, whole = [], {}
-        for k, t in enumerate(texts):
-            if t and any(s in t for s in self.special):
-                whole[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-                split.append([])
-            else:
-                split.append((t or "").encode("utf-8", "surrogatepass").split())
-        table = self.table
-        if len(table) > CACHE_WORDS:
-            table.clear()
-        new = list({w for words in split for w in words}.difference(table))
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for w, e in zip(part, self.tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                table[w] = np.array(e.ids, "<u4").tobytes()
-        get = table.__getitem__
-        return [whole[k] if k in whole else b"".join(map(get, words)) for k, words in enumerate(split)]
 
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, stride: int, sentence_cost: float, hard_cost: float) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +77,10 @@ def best_cuts(at: np.ndarray, cost: np.ndarray, window: int) -> list[int]:
     return [0, *reversed(cuts)]
 
 
-def pack_span(docs: list[bytes], ends_sentence: np.ndarray, window: int = WINDOW, sentence_cost: float = SENTENCE_COST, hard_cost: float = HARD_COST, stride: int = STRIDE) -> tuple[np.ndarray, ...]:
-    """Pieces of a span of documents: document index, start in it, length, window index, offset in it."""
-    sizes = np.array([len(d) // 4 for d in docs], np.int64)
-    ends = np.cumsum(sizes)
-    ids = np.frombuffer(b"".join(docs), "<u4")
+def pack_span(ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray, window: int = WINDOW, sentence_cost: float = SENTENCE_COST, hard_cost: float = HARD_COST, stride: int = STRIDE) -> tuple[np.ndarray, ...]:
+    """Pieces of a span of documents (their ids in a row, and where each ends): document index, start in
+    it, length, window index, offset in the window."""
+    sizes = np.diff(ends, prepend=0)
     at, cost = cut_points(ids, ends, ends_sentence, min(stride, window), sentence_cost, hard_cost)
     edges = at[best_cuts(at, cost, window)]
     begin = np.union1d(edges[:-1], ends[:-1])
@@ -146,34 +108,38 @@ def _packer(path: str | None, window: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        tok = WordTokenizer(path or public_tokenizers.path("word_bpe_49k.json"))
-        end = np.array([end_id], "<u4").tobytes()
+        tok = Bpe(path or public_tokenizers.path("word_bpe_49k.json"))
         sequence = TaskContext.get().partitionId() << 32
-        ids, docs, held = [], [], 0
+        names: list[pa.Array] = []
+        coded: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        held = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal sequence, ids, docs, held
-            doc, start, length, seq, offset = pack_span(docs, tok.ends_sentence, window)
-            crc = [zlib.crc32(memoryview(docs[d])[4 * s : 4 * (s + n)]) for d, s, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-            total = np.array([len(d) // 4 for d in docs], np.int64)[doc]
-            columns = {"doc_id": pa.array([ids[d] for d in doc.tolist()], pa.int64()), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": total, "sequence_id": seq + sequence, "offset": offset}
+            nonlocal sequence, held
+            ids, total = np.concatenate(coded), np.concatenate(sizes)
+            doc, start, length, seq, offset = pack_span(ids, np.cumsum(total), tok.ends_sentence, window)
+            first = np.cumsum(length) - length
+            whole = memoryview(ids.astype("<u4").tobytes())
+            crc = [zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+            columns = {"doc_id": pa.chunked_array(names).combine_chunks().take(pa.array(doc)), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": total[doc], "sequence_id": seq + sequence, "offset": offset}
             if with_ids:
-                columns["ids"] = pa.ListArray.from_arrays(np.append(0, np.cumsum(length)).astype(np.int32), np.frombuffer(b"".join(docs), "<i4"))
-            out = pa.RecordBatch.from_pydict(columns)
+                columns["ids"] = pa.ListArray.from_arrays(np.append(0, np.cumsum(length)).astype(np.int32), ids.astype(np.int32))
             sequence += int(seq[-1]) + 1
-            ids, docs, held = [], [], 0
-            return out
-
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                for i, coded in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist()), strict=True):
-                    ids.append(i)
-                    docs.append(coded + end)
-                    held += len(coded) // 4 + 1
-                    if held >= SPAN:
-                        yield flush()
-        if docs:
+            for gathered in (names, coded, sizes):
+                gathered.clear()
+            held = 0
+            return pa.RecordBatch.from_pydict(columns)
+
+        for b in text_batches(batches):
+            ids, first = tok.encode(b.column(1))
+            coded.append(np.insert(ids, first[1:], end_id))
+            sizes.append(np.diff(first) + 1)
+            names.append(b.column(0))
+            held += len(coded[-1])
+            if held >= SPAN:
+                yield flush()
+        if held:
             yield flush()
 
     return run
