@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, sharding, simhash
-from .common import table
+from . import decontam, packing, quality, sharding, simhash, toxicity
+from .common import held_out, table
 
 
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,13 +35,20 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"), modulus=5, held=0)
+    score = F.col("score")
+    return toxicity.score_documents(docs, index).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (score >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, shingle=3, seed=42)
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bounded_ring, op3_packing, op7_quality, op8_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_bounded_ring, op3_packing, op7_quality, op8_decontamination, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
