@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality, sharding, simhash, toxicity
+from . import decontam, lm, packing, quality, sharding, simhash, toxicity
 from .common import held_out, table
 
 
@@ -20,6 +20,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1)
 
 
+def op5_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"), modulus=5, remainder=1)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.Model(docs))
@@ -48,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bounded_ring, op3_packing, op7_quality, op8_decontamination, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_bounded_ring, op3_packing, op5_ngram_trie, op7_quality, op8_decontamination, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
