@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm, packing, quality, sharding, simhash, toxicity
+from . import decontam, html_extract, lm, packing, quality, sharding, simhash, toxicity
 from .common import held_out, table
 
 
@@ -16,6 +16,10 @@ def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1)
 
@@ -52,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bounded_ring, op3_packing, op5_ngram_trie, op7_quality, op8_decontamination, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_bounded_ring, op2_template_text, op3_packing, op5_ngram_trie, op7_quality, op8_decontamination, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
