@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, lm, packing, quality, sharding, simhash, toxicity
+from . import decontam, html_extract, licenses, lm, packing, quality, sharding, simhash, toxicity
 from .common import held_out, table
 
 
@@ -28,6 +28,10 @@ def op5_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"), modulus=5, remainder=1)
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(licenses.matches(table(spark, sf_dir, "documents")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.Model(docs))
@@ -56,7 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bounded_ring, op2_template_text, op3_packing, op5_ngram_trie, op7_quality, op8_decontamination, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_bounded_ring, op2_template_text, op3_packing, op5_ngram_trie, op6_licenses, op7_quality, op8_decontamination, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
