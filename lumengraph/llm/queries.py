@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, licenses, lm, packing, quality, sharding, simhash, toxicity
+from . import decontam, html_extract, licenses, lm, packing, quality, search, sharding, simhash, toxicity
 from .common import held_out, table
 
 
@@ -24,6 +24,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), window=2048, end_id=1)
 
 
+def op4_blockmax_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    asked = docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.top_k(docs, asked, k=10)
+
+
 def op5_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"), modulus=5, remainder=1)
 
@@ -60,7 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bounded_ring, op2_template_text, op3_packing, op5_ngram_trie, op6_licenses, op7_quality, op8_decontamination, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_bounded_ring, op2_template_text, op3_packing, op4_blockmax_search, op5_ngram_trie, op6_licenses, op7_quality, op8_decontamination, op9_toxicity, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
