@@ -157,9 +157,9 @@ def per_seed_top_relations(spark, d):
 
 
 @query("""WITH b AS (SELECT item_id, split_part(text, ' ', 2) AS needle FROM benchmark), c AS (SELECT doc_id, text, doc_id AS seq FROM documents WHERE doc_id < 60),
-j AS (SELECT b.item_id, c.doc_id, b.needle, strpos(c.text, b.needle) AS at, c.text FROM b JOIN c ON c.doc_id % 10 = b.item_id % 10),
-r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY (at = 0)::INT, doc_id) AS n FROM j)
-SELECT 'e' || item_id AS edge_id, doc_id AS chunk_doc, at > 0 AS located, (CASE WHEN at > 0 THEN at - 1 ELSE 0 END)::INT AS char_start, (CASE WHEN at > 0 THEN at - 1 + length(needle) ELSE length(text) END)::INT AS char_end FROM r WHERE n = 1""")
+j AS (SELECT b.item_id, c.doc_id, b.needle, strpos(c.text, b.needle) AS pos_, c.text FROM b JOIN c ON c.doc_id % 10 = b.item_id % 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY (pos_ = 0)::INT, doc_id) AS n FROM j)
+SELECT 'e' || item_id AS edge_id, doc_id AS chunk_doc, pos_ > 0 AS located, (CASE WHEN pos_ > 0 THEN pos_ - 1 ELSE 0 END)::INT AS char_start, (CASE WHEN pos_ > 0 THEN pos_ - 1 + length(needle) ELSE length(text) END)::INT AS char_end FROM r WHERE n = 1""")
 def evidence_location(spark, d):
     b = table(spark, d, "benchmark").select(F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("edge_id"), F.concat(F.lit("g"), (F.col("item_id") % 10).cast("string")).alias("doc_id"), F.lit(0).alias("priority"), F.expr("split_part(text, ' ', 2)").alias("needle"))
     c = table(spark, d, "documents").where("doc_id < 60").select(F.concat(F.lit("g"), (F.col("doc_id") % 10).cast("string")).alias("doc_id"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("chunk_id"), "text", F.lit(0).alias("char_offset"))

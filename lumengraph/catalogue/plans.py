@@ -32,10 +32,13 @@ def plan_cofilm(spark, d):
     return sets.cofilm(edges(spark, d), "S:1", "S:2")
 
 
-@query(E + "SELECT a.m AS answer_id FROM acted a JOIN directed b ON a.m = b.m WHERE a.p = 'S:1' AND b.p = (SELECT p FROM busy)")
+@query(E + "SELECT a.m AS answer_id FROM acted a JOIN directed b ON a.m = b.m WHERE b.p = (SELECT p FROM busy) AND a.p = (SELECT min(x.p) FROM acted x JOIN directed y ON x.m = y.m WHERE y.p = (SELECT p FROM busy))")
 def plan_director_actor(spark, d):
     e = edges(spark, d)
-    return sets.director_actor(e, _busy(e), "S:1")
+    director = _busy(e)
+    films = e.where((F.col("type") == "directed") & (F.col("head_id") == director)).select("tail_id")
+    actor = e.where("type = 'acted_in'").join(films, "tail_id", "left_semi").agg(F.min("head_id")).first()[0]
+    return sets.director_actor(e, director, actor or "")
 
 
 @query(E + "SELECT a.p AS answer_id, count(*) AS films, min(a.m) AS first_film, max(a.m) AS last_film FROM acted a JOIN directed b ON a.m = b.m WHERE b.p = (SELECT p FROM busy) GROUP BY a.p HAVING count(*) >= 2")
