@@ -1 +1,72 @@
-"""Queries."""
+"""Cleaning, chunking and markup queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import chunking as K
+from ..functions import cleaning as C
+from ..functions import wikitext as T
+from ..session import table
+from . import query
+
+WSQ = r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+NNQ = WSQ.replace(r"\n", "", 1)
+
+
+@query(rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?:\[\d+\]|\[[a-z]\])', '', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(t, '[\x00-\x08\x0E-\x1B\x7F-\x{{84}}\x{{86}}-\x{{9F}}\x{{AD}}\x{{200B}}-\x{{200F}}\x{{202A}}-\x{{202E}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]', '', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(t, '^[{WSQ}]+|[{WSQ}]+$', '', 'g') AS t FROM b),
+e AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[{NNQ}]*\n[{WSQ}]*', chr(10), 'g'), '[{NNQ}]+', ' ', 'g') AS t FROM c)
+SELECT doc_id, md5(t) AS digest, length(t)::INT AS size FROM e""")
+def text_clean(spark, d):
+    t = C.clean(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(t.cast("binary")).alias("digest"), F.length(t).alias("size"))
+
+
+@query(r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '(?s).{199,}?[.!?]|.+$') AS s FROM documents)
+SELECT doc_id, len(s)::INT AS pieces, max_len::INT AS longest FROM p, LATERAL (SELECT max(length(x)) AS max_len FROM unnest(s) AS u(x)) m""")
+def chunk_split(spark, d):
+    s = K.split_after(F.col("text"), ".!?", 200)
+    return table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").alias("pieces"), F.array_max(F.transform("s", F.length)).alias("longest"))
+
+
+@query()
+def chunk_merge(spark, d):
+    return K.chunk_rows(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "seq", "chunk_id", "char_offset", F.length("chunk_text").alias("size"), F.md5(F.col("chunk_text").cast("binary")).alias("digest"))
+
+
+@query()
+def offset_maps(spark, d):
+    m = C.offset_map()
+    x = table(spark, d, "documents").select("doc_id", m(F.col("text")).alias("m"))
+    return x.select("doc_id", F.length("m.clean").alias("size"), F.size("m.map").alias("mapped"), C.raw_span(F.col("m.map"), F.lit(0), F.lit(10)).alias("span")).select("doc_id", "size", "mapped", "span.start", "span.end")
+
+
+@query("""SELECT CASE WHEN trim(source) = '' OR trim(lang) = '' OR text IS NULL OR trim(text) = '' THEN 'missing_field' WHEN n_chars < 80 THEN 'too_short' WHEN doc_id % 10 = 0 THEN 'already_done' ELSE 'accepted' END AS reason, count(*) AS n FROM documents GROUP BY 1""")
+def doc_reject_ledger(spark, d):
+    from ..sources.documents import ledger
+
+    docs = table(spark, d, "documents")
+    return ledger(docs, required=["source", "lang", "text"], too_short=F.col("n_chars") < 80, done=docs.where("doc_id % 10 = 0").select("doc_id"), key="doc_id").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def html_to_text(spark, d):
+    """The markup recipe on web pages: nested script and style regions, then tags."""
+    p = table(spark, d, "pages")
+    t = T.strip_balanced("<script", "</script>")(F.col("html"))
+    t = T.strip_balanced("<style", "</style>")(t)
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", ""), r"<[^>]*>", "\n")
+    return p.select("page_id", T.tidy(t).alias("text")).select("page_id", F.length("text").alias("size"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""WITH t AS (SELECT unnest(regexp_extract_all(html, 'href="/([^"#]+)"', 1)) AS token FROM pages) SELECT token, count(*) AS n FROM t GROUP BY token""")
+def link_harvest(spark, d):
+    p = table(spark, d, "pages")
+    return p.select(F.explode(F.regexp_extract_all("html", F.lit(r'href="/([^"#]+)"'), F.lit(1))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, list_sort(list(n_chars))[(count(*) // 2) + 1] AS upper_median, count(*) AS n FROM documents GROUP BY lang")
+def length_stats(spark, d):
+    return table(spark, d, "documents").groupBy("lang").agg(T.upper_median(F.col("n_chars")).alias("upper_median"), F.count("*").alias("n"))
