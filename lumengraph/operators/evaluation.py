@@ -1,10 +1,121 @@
-"""Scoring."""
-from pyspark.sql import DataFrame, Window
+"""Scoring answers, paths and gaps; summaries, pivots and paired views of result ledgers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .views import edge_key
+
 
 def derive_count_mask(edges: DataFrame) -> DataFrame:
     """All but the first film of each person."""
     n = F.row_number().over(Window.partitionBy("head_id").orderBy("tail_id"))
     return edges.withColumn("n", n).where("n > 1").select("head_id", "type", "tail_id")
 
+
+def derive_path_mask(path_edges: DataFrame) -> DataFrame:
+    """The last edge of each gold path (path_id, place, head_id, type, tail_id), each once."""
+    last = F.row_number().over(Window.partitionBy("path_id").orderBy(F.desc("place")))
+    return path_edges.withColumn("n", last).where("n = 1").select("head_id", "type", "tail_id").distinct()
+
+
+def set_prf(predicted: DataFrame, gold: DataFrame, questions: DataFrame, key: str = "question_id", item: str = "item") -> DataFrame:
+    """(key, precision, recall, f1, exact): an empty gold set scores 1 if nothing was predicted, else 0."""
+    p = predicted.select(key, item).distinct().withColumn("p", F.lit(1))
+    g = gold.select(key, item).distinct().withColumn("g", F.lit(1))
+    n = p.join(g, [key, item], "full").groupBy(key).agg(F.count("p").alias("np"), F.count("g").alias("ng"), F.count_if(F.col("p").isNotNull() & F.col("g").isNotNull()).alias("tp"))
+    c = questions.select(key).distinct().join(n, key, "left").na.fill(0, ["np", "ng", "tp"])
+    empty = F.when(F.col("np") == 0, 1.0).otherwise(0.0)
+    precision = F.when(F.col("np") == 0, 0.0).otherwise(F.col("tp") / F.nullif("np", F.lit(0)))
+    recall = F.col("tp") / F.nullif("ng", F.lit(0))
+    f1 = F.when(F.col("tp") == 0, 0.0).otherwise(2 * F.col("tp") / F.nullif(F.col("np") + F.col("ng"), F.lit(0)))
+    exact = ((F.col("tp") == F.col("np")) & (F.col("tp") == F.col("ng"))).cast("double")
+    pick = lambda x: F.round(F.when(F.col("ng") == 0, empty).otherwise(x), 6)
+    return c.select(key, pick(precision).alias("precision"), pick(recall).alias("recall"), pick(f1).alias("f1"), pick(exact).alias("exact"))
+
+
+# Wordings that deny, affirm or plead a lack of material.
+DENIAL = r"(?:无|没有|未发现|不存在).{0,12}(?:共同|同一部|交集)"
+CONCLUSION_NONE = r"结论\s*[：:]\s*无(?:[^\p{L}\p{N}_]|$)"
+AFFIRMATION = r"(?:有|存在).{0,8}(?:共同出演|共同参演|同一部影片)"
+INSUFFICIENT = r"(?:材料|信息|证据).{0,8}(?:不足|不够)|无法(?:判断|确定|作答)"
+
+
+def no_answer(body: Column) -> Column:
+    """Struct of denial, affirmative, insufficient and correct for an answer to a question without any."""
+    bare = F.regexp_replace(body, r"[\s\p{P}_]+", "")
+    denial = body.rlike(DENIAL) | body.rlike(CONCLUSION_NONE) | bare.isin("无", "否")
+    affirmed, lacking = body.rlike(AFFIRMATION), body.rlike(INSUFFICIENT)
+    return F.struct(denial.alias("denial"), affirmed.alias("affirmative"), lacking.alias("insufficient"), (denial & ~affirmed & ~lacking).cast("double").alias("correct"))
+
+
+def entity_cover(text: str, surfaces: list[tuple[str, str]], allowed_short: set[str]) -> set[str]:
+    """Owners of surfaces in the text, longest first, not inside a covered span; two-character ones if allowed."""
+    covered = [False] * len(text)
+    found: set[str] = set()
+    for surface, owner in sorted(surfaces, key=lambda x: (-len(x[0]), x[0], x[1])):
+        if len(surface) < 2 or (len(surface) == 2 and surface not in allowed_short):
+            continue
+        at, hit, spans = text.find(surface), False, []
+        while at >= 0:
+            if not all(covered[at : at + len(surface)]) or (surface, at) in spans:
+                spans.append((surface, at))
+                hit = True
+            at = text.find(surface, at + len(surface))
+        if hit:
+            found.add(owner)
+            for _, a in spans:
+                covered[a : a + len(surface)] = [True] * len(surface)
+    return found
+
+
+def path_completeness(path_edges: DataFrame, retrieved: DataFrame, key: str = "question_id") -> DataFrame:
+    """(key, edge_recall, path_rate): share of gold edges and of wholly retrieved gold paths; direction-blind.
+
+    ``path_edges``: key, path_id, head_id, type, tail_id; questions without gold edges have no row.
+    """
+    keyed = path_edges.select(key, "path_id", *edge_key(path_edges))
+    got = retrieved.select(key, *edge_key(retrieved)).distinct().withColumn("hit", F.lit(True))
+    joined = keyed.join(got, [key, "ka", "kb", "kt"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    edge = joined.groupBy(key, "ka", "kb", "kt").agg(F.max("hit").alias("hit")).groupBy(key).agg(F.round(F.avg(F.col("hit").cast("double")), 6).alias("edge_recall"))
+    path = joined.groupBy(key, "path_id").agg(F.bool_and("hit").alias("whole")).groupBy(key).agg(F.round(F.avg(F.col("whole").cast("double")), 6).alias("path_rate"))
+    return edge.join(path, key)
+
+
+def accepted_repairs(repairs: DataFrame, gold_edges: DataFrame, gold_docs: DataFrame, key: str = "question_id") -> DataFrame:
+    """Temporary edges whose directed key is a gold edge and that a gold document supports."""
+    same = repairs.join(gold_edges.select(key, "head_id", "type", "tail_id").distinct(), [key, "head_id", "type", "tail_id"], "left_semi")
+    return same.join(gold_docs.select(key, "doc_id").distinct(), [key, "doc_id"], "left_semi")
+
+
+def gap_metrics(rows: DataFrame) -> DataFrame:
+    """Per method: how often an expected gap was triggered, and a gap that wasn't expected."""
+    return rows.groupBy("method").agg(F.avg(F.when(F.col("expected_gap"), F.col("triggered").cast("double"))).alias("gap_recall"), F.avg(F.when(~F.col("expected_gap"), F.col("triggered").cast("double"))).alias("false_positive_rate"))
+
+
+def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("__n", n).where("__n = 1").drop("__n")
+
+
+def summary(rows: DataFrame, value: str, method: str = "method", kind: str = "kind") -> DataFrame:
+    """Mean by method and by method and kind, in one pass of grouping sets; kind is null for all kinds."""
+    mean = F.round(F.avg(F.col(value).cast("double")), 6).alias("mean")
+    return rows.groupingSets([[method], [method, kind]], method, kind).agg(F.count("*").alias("n"), mean)
+
+
+def pivot(rows: DataFrame, value: str, method: str, kind: str, methods: list[str]) -> DataFrame:
+    return rows.groupBy(kind).pivot(method, methods).agg(F.round(F.avg(value), 6))
+
+
+def paired(complete: DataFrame, masked: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Both views' values side by side for keys that both have, and the drop."""
+    a, b = complete.select(*keys, F.col(value).alias("complete")), masked.select(*keys, F.col(value).alias("masked"))
+    return a.join(b, keys).withColumn("drop", F.round(F.col("complete") - F.col("masked"), 6))
+
+
+def first_per_kind(rows: DataFrame, kind: str, order: list[str], limit: int = 6) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
+    return rows.withColumn("__n", n).where("__n = 1").drop("__n").orderBy(*order).limit(limit)
