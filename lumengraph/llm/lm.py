@@ -152,30 +152,33 @@ def shares(codes: np.ndarray) -> np.ndarray:
     return np.where(codes > 0, 10.0 ** (-(codes.astype(float) - 1) / _STEP), 0.0)
 
 
-class Chunk:
-    """Word pairs of some documents: each different pair once, in order of its context's hash."""
+class Pairs:
+    """The different word pairs of a chunk, from its tokens' ranks in its sorted vocabulary.
 
-    def __init__(self, ids: list, held: np.ndarray, hashes: np.ndarray, sizes: np.ndarray):
-        """``sizes``: words of each document; ``hashes``: of all words in a row."""
-        self.ids, self.held = ids, held
-        ends = np.cumsum(sizes)
-        token = np.insert(hashes, ends, END)
-        before = np.insert(hashes, ends - sizes, START)
-        self.n_tokens = sizes + 1
-        vocabulary, rank = np.unique(np.concatenate([token, before]), return_inverse=True)
-        token_rank, before_rank = rank[: len(token)], rank[len(token) :]
-        pairs, self.pair = np.unique(before_rank.astype(U) << U(32) | token_rank.astype(U), return_inverse=True)
-        trained = np.repeat(~held, self.n_tokens)
-        self.count = np.bincount(self.pair[trained], minlength=len(pairs))
+    ``start``: the rank of the start, the context of each document's first token.
+    """
+
+    def __init__(self, token: np.ndarray, n_tokens: np.ndarray, start: int):
+        before = np.empty_like(token)
+        before[1:] = token[:-1]
+        before[np.cumsum(n_tokens) - n_tokens] = start
+        pairs, self.pair = np.unique(before.astype(U) << U(32) | token.astype(U), return_inverse=True)
         context = (pairs >> U(32)).astype(np.int64)
         self.contexts, first = np.unique(context, return_index=True)
         self.per_context = np.diff(np.append(first, len(pairs)))
-        #: of each pair, the place of its word among the contexts; the end is none
-        word = (pairs & U(0xFFFFFFFF)).astype(np.int64)
-        self.as_context = np.searchsorted(self.contexts, word)
-        self.as_context[vocabulary[word] == END] = -1
-        self.words = vocabulary[word] & _LOW48
-        self.contexts = vocabulary[self.contexts]
+        self.words = (pairs & U(0xFFFFFFFF)).astype(np.int64)
+
+
+class Chunk:
+    """Some documents as ranks in their vocabulary of word hashes, the start and the end included."""
+
+    def __init__(self, ids: list, held: np.ndarray, hashes: np.ndarray, sizes: np.ndarray):
+        """``sizes``: words of each document; ``hashes``: of all words in a row."""
+        self.ids, self.held, self.n_tokens = ids, held, sizes + 1
+        token = np.insert(hashes, np.cumsum(sizes), END)
+        self.vocabulary, rank = np.unique(np.append(token, START), return_inverse=True)
+        self.token, self.start = rank[:-1], int(rank[-1])
+        self.end = int(np.searchsorted(self.vocabulary, END))
 
 
 def shard_of(contexts: np.ndarray, shards: int) -> np.ndarray:
@@ -215,6 +218,19 @@ def _from_six(raw: bytes) -> np.ndarray:
     return out.ravel().view("<u8").astype(U)
 
 
+def _small(ranks: np.ndarray) -> bytes:
+    """Ranks in three bytes each, or in four if three are too few."""
+    width = 3 if not len(ranks) or ranks.max() < 1 << 24 else 4
+    return ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
+
+
+def _from_small(raw: bytes, n: int) -> np.ndarray:
+    width = len(raw) // max(n, 1)
+    out = np.zeros((n, 4), np.uint8)
+    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(n, width)
+    return out.ravel().view("<u4").astype(np.int64)
+
+
 _ASK = "shard int, chunk long, contexts binary, fans binary, words binary, counts binary"
 _TELL = "chunk long, shard int, counts binary, fans binary, codes binary, tokens long, types long, once long, docs long"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -223,12 +239,15 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def _ask(shards: int, modulus: int, remainder: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, c in _chunks(batches, modulus, remainder):
-            shard = shard_of(c.contexts, shards)
+            p = Pairs(c.token, c.n_tokens, c.start)
+            count = np.bincount(p.pair[np.repeat(~c.held, c.n_tokens)], minlength=len(p.words))
+            contexts, words = c.vocabulary[p.contexts], c.vocabulary[p.words] & _LOW48
+            shard = shard_of(contexts, shards)
             used, first = np.unique(shard, return_index=True)
             cuts = np.append(first, len(shard))
-            pair_cuts = np.append(0, np.cumsum(c.per_context))[cuts]
+            pair_cuts = np.append(0, np.cumsum(p.per_context))[cuts]
             rows = [
-                (int(s), number, c.contexts[a:b].tobytes(), c.per_context[a:b].astype("<u4").tobytes(), _six(c.words[x:y]), c.count[x:y].astype("<u4").tobytes())
+                (int(s), number, contexts[a:b].tobytes(), p.per_context[a:b].astype("<u4").tobytes(), _six(words[x:y]), count[x:y].astype("<u4").tobytes())
                 for s, a, b, x, y in zip(used, cuts, cuts[1:], pair_cuts, pair_cuts[1:], strict=False)
             ]
             kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
@@ -265,10 +284,8 @@ def _keep(modulus: int, remainder: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, c in _chunks(batches, modulus, remainder):
-            three = c.pair.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-            ids = json.dumps([c.ids, c.held.tolist(), c.n_tokens.tolist()]).encode()
-            shape = c.per_context.astype("<u4").tobytes()
-            row = (number, -1, ids, shape + c.as_context.astype("<i4").tobytes(), three, len(c.per_context), None, None, None)
+            ids = json.dumps([c.ids, c.held.tolist(), c.n_tokens.tolist(), c.start, c.end]).encode()
+            row = (number, -1, ids, b"", _small(c.token), None, None, None, None)
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "shard", "counts", "fans", "codes", "tokens", "types", "once", "docs"])
 
@@ -281,25 +298,24 @@ def _score(tokens: int, types: int, once: int, docs: int, discount: float):
     unseen = min(max(unseen, 0.5 / (tokens + 1)), 1.0 if not tokens else 0.5)
 
     def run(group: pa.Table) -> pa.Table:
-        parts = sorted(zip(*(group.column(n).to_pylist() for n in ("shard", "counts", "fans", "codes", "tokens")), strict=True), key=lambda x: x[0])
-        _, ids, shape, three, n_contexts = parts[0]
-        ids, held, n_tokens = json.loads(ids)
-        whole = np.frombuffer(shape, "<u4")
-        per_context, as_context = whole[:n_contexts].astype(np.int64), whole[n_contexts:].view("<i4")
-        pair = np.zeros((len(three) // 3, 4), np.uint8)
-        pair[:, :3] = np.frombuffer(three, np.uint8).reshape(-1, 3)
-        pair = pair.ravel().view("<u4")
-        count = np.frombuffer(b"".join(p[1] for p in parts[1:]), "<u4").astype(float)
-        fan = np.frombuffer(b"".join(p[2] for p in parts[1:]), "<u4").astype(float)
-        code = np.frombuffer(b"".join(p[3] for p in parts[1:]), "<u2")
-        of_word = np.where(as_context >= 0, count[as_context], docs)
+        parts = sorted(zip(*(group.column(n).to_pylist() for n in ("shard", "counts", "fans", "codes")), strict=True), key=lambda x: x[0])
+        _, ids, _, token = parts[0]
+        ids, held, n_tokens, start, end = json.loads(ids)
+        n_tokens = np.array(n_tokens, np.int64)
+        p = Pairs(_from_small(token, int(n_tokens.sum())), n_tokens, start)
+        count = np.frombuffer(b"".join(x[1] for x in parts[1:]), "<u4").astype(float)
+        fan = np.frombuffer(b"".join(x[2] for x in parts[1:]), "<u4").astype(float)
+        code = np.frombuffer(b"".join(x[3] for x in parts[1:]), "<u2")
+        # every word of the chunk but the end is a context in it
+        at = np.minimum(np.searchsorted(p.contexts, p.words), len(p.contexts) - 1)
+        of_word = np.where(p.words == end, docs, count[at])
         single = np.where(of_word > 0, of_word / max(tokens, 1) * (1 - unseen), unseen)
         back = np.where(count > 0, discount * fan / np.maximum(count, 1), 1.0)
-        model = np.log10(shares(code) + np.repeat(back, per_context) * single)
+        model = np.log10(shares(code) + np.repeat(back, p.per_context) * single)
         base = np.log10((of_word + 0.5) / (tokens + 0.5 * (types + 1)))
         first = np.cumsum(n_tokens) - n_tokens
-        sums = [np.add.reduceat(x[pair], first) for x in (model, base, (of_word > 0).astype(np.int64))]
-        columns = [ids, held, n_tokens, sums[2], [tokens] * len(ids), sums[1], sums[0]]
+        sums = [np.add.reduceat(x[p.pair], first) for x in (model, base, (of_word > 0).astype(np.int64))]
+        columns = [ids, held, n_tokens.tolist(), sums[2], [tokens] * len(ids), sums[1], sums[0]]
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _SCORED.split(", ")])
 
