@@ -1,0 +1,29 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def odd_docs(spark):
+    """Nulls in any column, empty and long texts, repeated rows, columns whose names clash with the operators' own."""
+    rows = [
+        (1, "The quick brown fox jumps over the lazy dog. It sleeps.", "en", "a"),
+        (2, "The quick brown fox jumps over the lazy dog. It sleeps.", "en", "a"),
+        (2, "The quick brown fox jumps over the lazy dog. It sleeps.", "en", "a"),
+        (3, None, None, None),
+        (4, "", "en", "b"),
+        (None, "A text without an id.", "en", None),
+        (None, None, None, None),
+        (5, " \t\n", "en", "b"),
+        (6, "word " * 30_000, "en", "c"),
+        (7, "Ünïcode é 你好 — “quotes” <b>tags</b> <|endoftext|> it's.", "fr", "c"),
+        (8, "x" * 5000, "de", "c"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    from pyspark.sql import functions as F
+
+    clash = {c: F.lit(k) for k, c in enumerate(("fp", "hit", "items", "score", "shard", "slot", "tile", "root", "pair", "term", "chunk", "size", "u", "rank", "host", "ord"))}
+    return docs.withColumns(clash)
+
+
+@pytest.fixture(scope="session")
+def no_docs(odd_docs):
+    return odd_docs.limit(0)

@@ -1,0 +1,35 @@
+import corpus_pipeline as P
+
+from lumengraph.llm import decontam, quality, simhash, toxicity
+from lumengraph.llm.common import table
+
+
+def test_stages_by_name_and_what_each_keeps(spark, sf):
+    assert [n for n, _ in P.STAGES] == ["quality", "toxicity", "near_duplicates", "decontamination", "packing"]
+    docs = table(spark, sf, "documents")
+    model = quality.Model(docs)
+    good = {r["doc_id"] for r in quality.score_documents(docs, model).where("accepted").collect()}
+    one = P.good(spark, docs, sf).cache()
+    assert one.columns == docs.columns and {r["doc_id"] for r in one.collect()} == good
+    labels = table(spark, sf, "labels")
+    two = P.civil(spark, one, sf).cache()
+    scores = toxicity.score_documents(one, toxicity.fit(one, labels)).collect()
+    assert two.columns == docs.columns and {r["doc_id"] for r in two.collect()} == {r["doc_id"] for r in scores if r["score"] < 0.5}
+    three = P.distinct(spark, two, sf).cache()
+    firsts = {r["component_id"] for r in simhash.near_duplicates(two).collect()}
+    assert three.columns == docs.columns and {r["doc_id"] for r in three.collect()} == firsts
+    four = P.unseen(spark, three, sf).cache()
+    hits = {r["doc_id"] for r in decontam.contamination(three, table(spark, sf, "benchmark")).where("n_hit = 0").collect()}
+    assert four.columns == docs.columns and {r["doc_id"] for r in four.collect()} == hits
+    assert {r["doc_id"] for r in P.packed(spark, four, sf).collect()} == hits
+    assert {r["doc_id"] for r in P.run(spark, sf).collect()} == hits
+
+
+def test_stages_on_odd_rows(spark, sf, odd_docs):
+    docs = odd_docs.drop("fp")
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, sf).cache()
+    assert P.packed(spark, docs, sf).count() >= 1
+    empty = odd_docs.limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, empty, sf).count() == 0
