@@ -88,3 +88,18 @@ def answer_bodies(spark, d):
     """A plain-SQL counterpart would repeat the rules; the tests hold them, this query holds that none fires on other text."""
     c = table(spark, d, "conversations")
     return c.select("conv_id", "turn", answer_body(F.col("text")).alias("body"), F.trim(F.regexp_replace("text", r"(?i)\[(?:S|G)\d+\]", "")).alias("plain")).where("body <> plain AND NOT plain RLIKE '依据|证据|原文|参考'").select("conv_id", "turn", "body")
+
+
+@query("SELECT event_type AS method, round(avg(CASE WHEN user_id % 2 = 0 THEN (value > 50)::INT END), 6)::DOUBLE AS gap_recall, round(avg(CASE WHEN user_id % 2 = 1 THEN (value > 50)::INT END), 6)::DOUBLE AS false_positive_rate FROM events GROUP BY 1")
+def gap_rates(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("method"), (F.col("user_id") % 2 == 0).alias("expected_gap"), (F.col("value") > 50).alias("triggered"))
+    return B.gap_metrics(e).select("method", F.round("gap_recall", 6).alias("gap_recall"), F.round("false_positive_rate", 6).alias("false_positive_rate"))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_suppkey % 5 AS question_id, l_suppkey AS h, l_orderkey AS t, l_partkey % 50 AS doc FROM lineitem WHERE l_orderkey < 500)
+SELECT question_id, count(*) AS accepted FROM r WHERE t % 2 = 0 AND doc % 3 = 0 GROUP BY 1""")
+def repair_acceptance(spark, d):
+    """Temporary edges that are gold and that a gold document supports."""
+    li = table(spark, d, "lineitem").where("l_orderkey < 500")
+    r = li.select((F.col("l_suppkey") % 5).alias("question_id"), F.col("l_suppkey").alias("head_id"), F.lit("acted_in").alias("type"), F.col("l_orderkey").alias("tail_id"), (F.col("l_partkey") % 50).alias("doc_id")).distinct()
+    return B.accepted_repairs(r, r.where("tail_id % 2 = 0"), r.where("doc_id % 3 = 0")).groupBy("question_id").agg(F.count("*").alias("accepted"))

@@ -164,3 +164,24 @@ def evidence_location(spark, d):
     b = table(spark, d, "benchmark").select(F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("edge_id"), F.concat(F.lit("g"), (F.col("item_id") % 10).cast("string")).alias("doc_id"), F.lit(0).alias("priority"), F.expr("split_part(text, ' ', 2)").alias("needle"))
     c = table(spark, d, "documents").where("doc_id < 60").select(F.concat(F.lit("g"), (F.col("doc_id") % 10).cast("string")).alias("doc_id"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("chunk_id"), "text", F.lit(0).alias("char_offset"))
     return G.locate_evidence(b, c).select("edge_id", F.col("chunk_id").alias("chunk_doc"), "located", F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT 'Q' || s_suppkey AS id, unnest(['n' || (s_suppkey % 11), 'm' || (s_suppkey % 30)]) AS s FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey <= 60),
+adj AS (SELECT a.id AS x, b.id AS y FROM o a JOIN o b ON a.s = b.s),
+reach AS (SELECT id AS x, id AS y FROM o UNION SELECT r.x, adj.y FROM reach r JOIN adj ON r.y = adj.x)
+SELECT x AS id, min(y) AS canonical FROM reach GROUP BY x""")
+def alias_groups(spark, d):
+    s = table(spark, d, "supplier").where("s_suppkey % 2 = 0 AND s_suppkey <= 60")
+    tag = lambda p, m: F.concat(F.lit(p), (F.col("s_suppkey") % m).cast("string"))
+    nodes = s.select(F.concat(F.lit("Q"), F.col("s_suppkey").cast("string")).alias("id"), F.array(tag("n", 11), tag("m", 30)).alias("surfaces"))
+    return G.alias_groups(nodes, cut_lineage).select("id", "canonical")
+
+
+@query("""WITH n AS (SELECT 'O:' || o_orderkey AS id, 'Movie' AS type FROM orders UNION ALL SELECT 'S:' || s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'Company' ELSE 'Person' END FROM supplier)
+SELECT e.head_id, e.tail_id FROM (SELECT DISTINCT 'S:' || l_suppkey AS head_id, 'O:' || l_orderkey AS tail_id FROM lineitem) e JOIN n h ON e.head_id = h.id JOIN n t ON e.tail_id = t.id WHERE h.type <> 'Person'""")
+def ontology_violations(spark, d):
+    from ..sources.ontology import Ontology
+
+    o = table(spark, d, "orders").select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("Movie").alias("type"))
+    s = table(spark, d, "supplier").select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("id"), F.when(F.col("s_suppkey") % 5 == 0, "Company").otherwise("Person").alias("type"))
+    return Ontology.default().violations(acted_raw(spark, d).distinct(), o.unionByName(s)).select("head_id", "tail_id")

@@ -248,3 +248,27 @@ def prune_uncited(proof_edges: DataFrame, edge_chunks: DataFrame, used: DataFram
     state = cited.groupBy(key, "edge_id").agg(F.bool_or(F.coalesce("used", F.lit(False))).alias("ok"))
     joined = proof_edges.join(state, [key, "edge_id"], "left")
     return joined.groupBy(key, "answer_id").agg(F.bool_and(F.coalesce("ok", F.lit(True))).alias("ok")).where("ok").select(key, "answer_id")
+
+
+def bounded_negative(plan: Plan, subjects_films: dict[str, set[str] | None], record_chunks: dict[str, list[str]], asked: int, limit: int, current_corpus: bool) -> bool:
+    """Whether "no, not in this corpus" may be said: a yes-no question about two people of whom the complete
+    filmography records were read (None: not complete), without a common film, at least one search made,
+    and all record chunks within the budget. It never claims more than the corpus."""
+    if plan.kind != "cofilm" or not plan.boolean or not current_corpus or not asked:
+        return False
+    films = [subjects_films.get(s) for s in plan.subjects]
+    cited = {c for s in plan.subjects for c in record_chunks.get(s, [])}
+    return all(f is not None for f in films) and not (films[0] & films[1]) and 0 < len(cited) <= limit
+
+
+def answer_text(plan: Plan, answers: dict[str, tuple[Edge, ...]], names: dict[str, str], negative: bool = False) -> str:
+    """A deterministic sentence: answers in order of id, with their films where films are the proof."""
+    if negative:
+        return "在当前语料的完整片单中没有共同影片；这不排除语料之外的情况。"
+    if not answers:
+        return "没有找到完整的证据。"
+    lines = []
+    for a in sorted(answers):
+        films = sorted({t for _, _, t in answers[a]} - {a})
+        lines.append(names.get(a, a) + (f"（{'、'.join(names.get(f, f) for f in films)}）" if films and plan.target_type == "Person" and plan.kind != "directors" else ""))
+    return "；".join(lines) + "。"

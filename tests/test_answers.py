@@ -146,3 +146,38 @@ def test_vectors(spark):
     with pytest.raises(Exception, match="vector sizes differ"):
         V.search(v, bad, 1).collect()
     assert v.select(V.normalise(F.array(F.lit(0.0), F.lit(0.0)))).first()[0] == [0.0, 0.0]
+
+
+def test_bounded_negatives_and_answer_texts():
+    yes_no = Plan("cofilm", ("p1", "p2"), "Movie", boolean=True)
+    seen, chunks = {"p1": {"f1"}, "p2": {"f2"}}, {"p1": ["a"], "p2": ["b"]}
+    assert R.bounded_negative(yes_no, seen, chunks, 1, 6, True)
+    assert not R.bounded_negative(PLAN, seen, chunks, 1, 6, True)
+    assert not R.bounded_negative(yes_no, seen | {"p2": None}, chunks, 1, 6, True)
+    assert not R.bounded_negative(yes_no, seen | {"p2": {"f1"}}, chunks, 1, 6, True)
+    assert not R.bounded_negative(yes_no, seen, chunks, 1, 1, True) and not R.bounded_negative(yes_no, seen, chunks, 0, 6, True)
+    assert R.answer_text(PLAN, {"f1": ()}, NAMES) == "流星。" and "没有找到" in R.answer_text(PLAN, {}, NAMES)
+
+
+def test_ontology():
+    from lumengraph.sources.ontology import Ontology
+
+    o = Ontology.default()
+    assert o.relation_type("执导") == o.relation_type("Directed") == "directed" and o.relation_type("acted in") == "acted_in"
+    assert o.entity_type("影片") == o.entity_type("movie") == "Movie" and o.entity_type("x") is None
+    assert o.problem("Person", "directed", "Movie") is None and o.problem("Movie", "directed", "Movie") and o.problem("Person", "x", "Movie")
+    for bad in ({}, {"entity_types": {"A": {}}, "relation_types": {"r": {"domain": ["A"]}}}, {"entity_types": {"A": {}}, "relation_types": {"r": {"domain": ["A"], "range": ["B"]}}}):
+        with pytest.raises(ValueError):
+            Ontology.from_dict(bad)
+
+
+def test_engine_methods_and_masks(spark, sf):
+    from lumengraph import service
+    from lumengraph.catalogue.repair import _engine
+
+    engine = _engine(spark, sf)
+    assert service.available() == ["expand", "hybrid", "ppr", "vector"]
+    out = service.ask(engine, "What does Supplier 7 deliver?", "vector", 3)
+    assert len(out["citations"]) == 3 and out["citations"][0]["marker"] == "S1"
+    with pytest.raises(KeyError):
+        service.ask(engine, "x", "none")
