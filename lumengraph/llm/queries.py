@@ -69,5 +69,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bounded_ring, op2_template_text, op3_packing, op4_blockmax_search, op5_ngram_trie, op6_licenses, op7_quality, op8_decontamination, op9_toxicity, op10_simhash)}
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_SEARCH_SQL = f"""WITH w AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS t FROM documents WHERE text IS NOT NULL),
+tf AS (SELECT doc_id, t, count(*)::DOUBLE AS tf FROM w GROUP BY 1, 2),
+len AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY 1),
+g AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS docs, (SELECT sum(n) FROM len) / (SELECT count(*) FROM documents) AS mean),
+df AS (SELECT t, count(*)::DOUBLE AS df FROM tf GROUP BY t),
+q AS (SELECT doc_id AS query_id, t, tf * ln(1 + (g.docs - df + 0.5) / (df + 0.5)) AS weight FROM tf JOIN df USING (t), g WHERE doc_id % 50 = 0),
+s AS (SELECT query_id, tf.doc_id, round(sum(weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / g.mean))), 6) AS score FROM q JOIN tf USING (t) JOIN len ON len.doc_id = tf.doc_id, g GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+_DECONTAMINATION_SQL = f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_WORDS.format("coalesce(text, '')")} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM b)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+hit AS (SELECT DISTINCT doc_id, dw.n, i, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.g = bw.g),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The other operators' hashes, models or windows have no counterpart in SQL; tests hold them to brute force."""
+    return {"op4_blockmax_search": _SEARCH_SQL, "op8_decontamination": _DECONTAMINATION_SQL}
