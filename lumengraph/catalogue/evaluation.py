@@ -51,10 +51,10 @@ def no_answer_score(spark, d):
 
 
 @query("""WITH k AS (SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2)
-SELECT event_type AS method, CASE WHEN GROUPING(kind) = 0 THEN kind END AS kind, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT *, user_id % 4 AS kind FROM k) GROUP BY GROUPING SETS ((event_type), (event_type, kind))""")
+SELECT event_type AS method, CASE WHEN GROUPING(kind) = 0 THEN kind::VARCHAR ELSE 'all' END AS kind, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT *, user_id % 4 AS kind FROM k) GROUP BY GROUPING SETS ((event_type), (event_type, kind))""")
 def method_summary(spark, d):
     rows = B.latest(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"])
-    return B.summary(rows.select(F.col("event_type").alias("method"), (F.col("user_id") % 4).alias("kind"), "value"), "value")
+    return B.summary(rows.select(F.col("event_type").alias("method"), (F.col("user_id") % 4).cast("string").alias("kind"), "value"), "value").na.fill("all", ["kind"])
 
 
 @query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2")

@@ -36,7 +36,7 @@ def graph_nodes_upsert(spark, d):
 
 @query("""WITH r AS (SELECT 'dataset-' || sha1('C:' || o_custkey || '|placed|' || o_orderstatus) AS id, 'C:' || o_custkey AS head_id, 'placed' AS type, o_orderstatus AS tail_id,
 CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS y, o_orderpriority AS a, o_orderkey AS ord FROM orders)
-SELECT id, head_id, type, tail_id, arg_min(y, ord) AS start_year, arg_max(a, ord) AS last_priority, count(DISTINCT a) AS evidences FROM r GROUP BY id, head_id, type, tail_id""")
+SELECT id, head_id, type, tail_id, coalesce(arg_min(y, ord), -1) AS start_year, arg_max(a, ord) AS last_priority, count(DISTINCT a) AS evidences FROM r GROUP BY id, head_id, type, tail_id""")
 def graph_relations_upsert(spark, d):
     o = table(spark, d, "orders")
     head, tail = F.concat(F.lit("C:"), F.col("o_custkey").cast("string")), F.col("o_orderstatus")
@@ -45,7 +45,7 @@ def graph_relations_upsert(spark, d):
         F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey")).alias("start_year"), F.lit(None).cast("long").alias("end_year"),
         F.col("o_orderpriority").alias("attributes"), F.array("o_orderpriority").alias("evidences"), F.col("o_orderkey").alias("ord"),
     )
-    return G.upsert_relations(rows).select("id", "head_id", "type", "tail_id", "start_year", F.col("attributes").alias("last_priority"), F.size("evidences").cast("long").alias("evidences"))
+    return G.upsert_relations(rows).select("id", "head_id", "type", "tail_id", F.coalesce("start_year", F.lit(-1).cast("long")).alias("start_year"), F.col("attributes").alias("last_priority"), F.size("evidences").cast("long").alias("evidences"))
 
 
 @query(E + """, pairs AS (SELECT DISTINCT least(head_id, tail_id) AS a, greatest(head_id, tail_id) AS b FROM e),
