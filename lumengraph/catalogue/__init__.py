@@ -11,11 +11,19 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers the function under its name, with its SQL."""
+def query(sql: str | None = None, whole: bool | str = False) -> Callable[[Query], Query]:
+    """Registers the function under its name, with its SQL.
+
+    ``whole``: the SQL holds a slice of the ids, as it takes too long otherwise; the function then takes
+    ``whole`` too and is registered a second time, as NAME_whole, over all rows, with the SQL that ``whole`` is, if any.
+    """
 
     def register(f: Query) -> Query:
         _QUERIES[f.__name__] = f
+        if whole:
+            _QUERIES[f"{f.__name__}_whole"] = lambda spark, d: f(spark, d, whole=True)
+        if isinstance(whole, str):
+            _SQL[f"{f.__name__}_whole"] = whole
         if sql:
             _SQL[f.__name__] = sql
         return f
@@ -23,6 +31,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def part(df: DataFrame, condition: str, whole: bool) -> DataFrame:
+    """The rows of the slice, or all of them."""
+    return df if whole else df.where(condition)
+
+
 def _load() -> None:
     from . import evaluation, graph, plans, ranking, repair, text, walks  # noqa: F401
 

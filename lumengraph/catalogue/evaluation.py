@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import answer_body
 from ..operators import evaluation as B
 from ..session import table
-from . import query
+from . import part, query
 
 G = "g AS (SELECT label AS question_id, vec_id AS item FROM embeddings WHERE vec_id % 3 = 0), p AS (SELECT label AS question_id, vec_id AS item FROM embeddings WHERE vec_id % 4 = 0 AND label < 8)"
 
@@ -27,9 +27,9 @@ def set_prf(spark, d):
 k AS (SELECT *, t IN (SELECT 'O:' || o_orderkey FROM orders WHERE o_totalprice > 50000) AS hit FROM g),
 e AS (SELECT question_id, round(avg(hit::INT), 6) AS edge_recall FROM k GROUP BY question_id),
 p AS (SELECT question_id, round(avg(whole::INT), 6) AS path_rate FROM (SELECT question_id, path_id, bool_and(hit) AS whole FROM k GROUP BY 1, 2) GROUP BY 1)
-SELECT * FROM e JOIN p USING (question_id)""")
-def path_completeness(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey < 400")
+SELECT * FROM e JOIN p USING (question_id)""", whole=True)
+def path_completeness(spark, d, whole=False):
+    li = part(table(spark, d, "lineitem"), "l_orderkey < 400", whole)
     gold = li.select((F.col("l_suppkey") % 5).alias("question_id"), (F.col("l_orderkey") % 20).alias("path_id"), F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")).alias("head_id"), F.lit("acted_in").alias("type"), F.concat(F.lit("O:"), F.col("l_orderkey").cast("string")).alias("tail_id")).distinct()
     good = table(spark, d, "orders").where("o_totalprice > 50000").select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("film"))
     # retrieved with the label and the direction of another convention
@@ -97,9 +97,9 @@ def gap_rates(spark, d):
 
 
 @query("""WITH r AS (SELECT DISTINCT l_suppkey % 5 AS question_id, l_suppkey AS h, l_orderkey AS t, l_partkey % 50 AS doc FROM lineitem WHERE l_orderkey < 500)
-SELECT question_id, count(*) AS accepted FROM r WHERE t % 2 = 0 AND doc % 3 = 0 GROUP BY 1""")
-def repair_acceptance(spark, d):
+SELECT question_id, count(*) AS accepted FROM r WHERE t % 2 = 0 AND doc % 3 = 0 GROUP BY 1""", whole=True)
+def repair_acceptance(spark, d, whole=False):
     """Temporary edges that are gold and that a gold document supports."""
-    li = table(spark, d, "lineitem").where("l_orderkey < 500")
+    li = part(table(spark, d, "lineitem"), "l_orderkey < 500", whole)
     r = li.select((F.col("l_suppkey") % 5).alias("question_id"), F.col("l_suppkey").alias("head_id"), F.lit("acted_in").alias("type"), F.col("l_orderkey").alias("tail_id"), (F.col("l_partkey") % 50).alias("doc_id")).distinct()
     return B.accepted_repairs(r, r.where("tail_id % 2 = 0"), r.where("doc_id % 3 = 0")).groupBy("question_id").agg(F.count("*").alias("accepted"))
