@@ -2,13 +2,16 @@
 
 1. Examples: of the training labels, the ``per_class`` documents of either label with the smallest hash
    of their id (a documented bound; the base rate is counted over all training labels).
-2. Terms: hashes of words and of their first 4, 5, 6 and 8 bytes; of these the ``terms`` whose presence
-   differs most between the labels by chi-squared, if they come more often with one label (counted
-   over all examples, in DataFrame aggregates).
-3. Index: tf-idf vectors (1 + log tf, smoothed idf, unit length) of the examples, equal vectors merged, as
-   posting lists by term, cut into blocks of ``BLOCK`` examples with the largest weight of each block.
-4. Query: a document's upper bound in a block is the sum over its terms of weight times block maximum;
-   blocks are scored from the largest bound down until no bound reaches the k-th cosine: exact.
+2. Terms: hashes of words and of their first 4, 5, 6 and 8 bytes; all terms of all examples.
+   A term's idf is multiplied by its contrast, the absolute logarithm of the ratio of its shares in toxic
+   and in clean examples, smoothed: without it, whole texts are near by their common words and a few
+   insults count for little. Terms of any contrast are in vectors and norms; 0 is that of unknown terms.
+3. Index: tf-idf vectors (1 + log tf, smoothed idf over the examples, unit length) of the examples, equal
+   vectors merged, as dense rows of the ``DENSE`` most frequent terms and posting lists of the others, in
+   blocks of ``BLOCK`` examples with the largest weight of each block.
+4. Query: the norm is over the whole text, terms that no example has included. A block's bound is the
+   largest part that the dense rows give plus, over the other terms, weight times block maximum; postings
+   count only in blocks whose bound reaches the k-th best such part: exact.
 5. Score: the k nearest examples vote with their cosine (times their label's share of the labels over
    its share of the examples); ``PRIOR_WEIGHT`` votes at the base rate are
    added, so a document without a known term has the base rate. Neighbours are the evidence.
@@ -32,13 +35,15 @@ from pyspark.sql import functions as F
 from .common import held_out, id_text, text_batches
 from .textbytes import ALNUM, NOT_SPACE, U, Words, buffers
 
-PER_CLASS, TERMS, NEIGHBOURS, BLOCK = 2000, 4096, 15, 64
+PER_CLASS, NEIGHBOURS, BLOCK = 2000, 15, 64
 PRIOR_WEIGHT = 0.25
 PREFIXES = (4, 5, 6, 8)
-#: Chi-squared of one degree of freedom beyond which chance is out of the question for this many terms.
-LEAST_CHI = 30.0
-#: How much more often a term must come with one label than with the other.
-LEAST_RATIO = 3.0
+#: Examples at even odds that are added to a term's own, for its contrast between the labels.
+SMOOTHING = 5.0
+#: So many of the most frequent terms have dense rows; so many texts are looked up together.
+DENSE, QUERIES = 1024, 256
+#: More than single precision can be off in a cosine.
+MARGIN = 1e-4
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,17 +72,17 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Examples as unit tf-idf vectors in a block-max inverted index."""
+    """Examples as unit tf-idf vectors in a block-max inverted index; nothing but the vectors is sent to executors."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], ids: list[int], base: float, weight: tuple[float, float] = (1.0, 1.0)):
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], ids: list[int], base: float, weight: tuple[float, float] = (1.0, 1.0), unseen: float = 0.0):
         """``vectors``: for each example its term indices and frequencies; ``terms`` rises. ``weight``: of a vote of a clean and of a
-        toxic example, to undo that the sample holds more of one label than the labels do."""
-        self.terms, self.idf, self.base = terms, idf, base
+        toxic example, to undo that the sample holds more of one label than the labels do. ``unseen``: idf of a term that no example has."""
+        self.terms, self.idf, self.base, self.unseen = terms, idf, base, unseen
         merged: dict[bytes, list[int]] = {}
         kept = []
         for e, (t, tf) in enumerate(vectors):
             weights = self.weigh(t, tf)
-            key = t.tobytes() + weights.tobytes()
+            key = np.asarray(t).tobytes() + weights.tobytes()
             if key not in merged:
                 kept.append((t, weights))
             merged.setdefault(key, []).append(e)
@@ -86,48 +91,90 @@ class Index:
         self.count = np.array([len(g) for g in groups], float)
         self.toxic = np.array([sum(toxic[e] for e in g) for g in groups], float)
         self.weight = weight
-        n_terms = len(terms)
         self.blocks = max(1, -(-len(groups) // BLOCK))
-        who = np.repeat(np.arange(len(kept)), [len(t) for t, _ in kept]) if kept else np.zeros(0, np.int64)
-        term = np.concatenate([t for t, _ in kept]) if kept else np.zeros(0, np.int64)
-        weight = np.concatenate([x for _, x in kept]) if kept else np.zeros(0)
-        order = np.lexsort((who, term))
-        self.post_doc, self.post_weight = who[order], weight[order]
-        #: where each term's postings of each block begin
-        self.first = np.searchsorted(term[order] * self.blocks + self.post_doc // BLOCK, np.arange(n_terms * self.blocks + 1))
-        self.top = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.top, (term, who // BLOCK), weight)
-
-    def weigh(self, t: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        self.row = np.append(0, np.cumsum([len(t) for t, _ in kept])).astype(np.int64)
+        self.row_term = np.concatenate([t for t, _ in kept]).astype(np.int32) if kept else np.zeros(0, np.int32)
+        self.row_weight = np.concatenate([x for _, x in kept]) if kept else np.zeros(0)
+
+    def _build(self) -> None:
+        """Dense rows of the most frequent terms; posting lists of the others, with the largest weight of each block."""
+        if hasattr(self, "dense"):
+            return
+        n, size = len(self.terms), self.blocks * BLOCK
+        df = np.bincount(self.row_term, minlength=n)
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        self.dense_row = np.full(n, -1, np.int32)
+        self.dense_row[often] = np.arange(len(often))
+        who = np.repeat(np.arange(len(self.count), dtype=np.int32), np.diff(self.row))
+        at = self.dense_row[self.row_term]
+        dense = np.zeros((len(often), size), np.float32)
+        dense[at[at >= 0], who[at >= 0]] = self.row_weight[at >= 0]
+        term, doc, weight = self.row_term[at < 0], who[at < 0], self.row_weight[at < 0].astype(np.float32)
+        order = np.argsort(term, kind="stable")
+        self.post_doc, self.post_weight = doc[order], weight[order]
+        self.first = np.searchsorted(term[order], np.arange(n + 1))
+        self.rare_row = np.cumsum(self.dense_row < 0) - 1
+        self.top = np.zeros((n - len(often), self.blocks), np.float32)
+        np.maximum.at(self.top, (self.rare_row[term], doc // BLOCK), weight)
+        self.dense = dense
+
+    def weigh(self, t: np.ndarray, tf: np.ndarray, rest: float = 0.0) -> np.ndarray:
+        """Unit weights of a text's known terms; ``rest``: sum of the squares of its unknown ones."""
         x = (1 + np.log(tf)) * self.idf[t]
-        return x / np.sqrt((x * x).sum()) if len(x) else x
+        return x / max(np.sqrt((x * x).sum() + rest), 1e-300) if len(x) else x
 
     def nearest(self, t: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k nearest merged examples, counting members, with their cosine; largest first."""
-        bounds = weights @ self.top[t]
-        found: list[tuple[float, int]] = []
-        least = 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] < least - 1e-12:
-                break
-            cos = np.zeros(BLOCK)
-            for i, w in zip(t.tolist(), weights.tolist(), strict=True):
-                lo, hi = self.first[i * self.blocks + b], self.first[i * self.blocks + b + 1]
-                if hi > lo:
-                    cos[self.post_doc[lo:hi] - b * BLOCK] += w * self.post_weight[lo:hi]
-            hit = np.flatnonzero(cos > 0)
-            if len(found) >= k and not (cos[hit] >= least).any():
-                continue
-            found += [(-round(c, 12), e) for c, e in zip(cos[hit].tolist(), (hit + b * BLOCK).tolist(), strict=True)]
-            found.sort()
-            total = 0.0
-            for j, (c, e) in enumerate(found):
-                total += self.count[e]
-                if total >= k:
-                    least = -c
+        return self.nearest_of([(t, weights)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """Bounds and candidates in single precision with a margin, the candidates' cosines in double precision: exact."""
+        if not len(self.count):
+            return [[] for _ in queries]
+        self._build()
+        asked = np.zeros((len(queries), len(self.dense)), np.float32)
+        for q, (t, weights) in enumerate(queries):
+            at = self.dense_row[t]
+            asked[q, at[at >= 0]] = weights[at >= 0]
+        part = asked @ self.dense
+        full = np.zeros(len(self.terms))
+        out = []
+        for q, (t, weights) in enumerate(queries):
+            cos = part[q]
+            rare = self.dense_row[t] < 0
+            t_rare, w_rare = t[rare], weights[rare].astype(np.float32)
+            bounds = cos.reshape(-1, BLOCK).max(1) + w_rare @ self.top[self.rare_row[t_rare]]
+            least = np.partition(cos, -k)[-k] if k <= len(cos) else 0.0
+            live = (bounds >= least - MARGIN) & (bounds > 0)
+            n = self.first[t_rare + 1] - self.first[t_rare]
+            total = int(n.sum())
+            if total:
+                places = np.repeat(self.first[t_rare] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(total)
+                doc = self.post_doc[places]
+                w = np.repeat(w_rare, n) * self.post_weight[places]
+                if not live.all():
+                    ok = live[doc // BLOCK]
+                    doc, w = doc[ok], w[ok]
+                cos = cos + np.bincount(doc, w, len(cos))
+                least = np.partition(cos, -k)[-k] if k <= len(cos) else 0.0
+            hit = np.flatnonzero((cos >= least - MARGIN) & (cos > 0) & np.repeat(live, BLOCK))
+            full[t] = weights
+            found = []
+            if len(hit):
+                size = self.row[hit + 1] - self.row[hit]
+                begin = np.append(0, np.cumsum(size)[:-1])
+                places = np.repeat(self.row[hit] - begin, size) + np.arange(int(size.sum()))
+                exact = np.add.reduceat(full[self.row_term[places]] * self.row_weight[places], begin)
+                found = sorted((-round(c, 12), e) for c, e in zip(exact.tolist(), hit.tolist(), strict=True) if c > 0)
+            full[t] = 0
+            members = 0.0
+            for j, (_, e) in enumerate(found):
+                members += self.count[e]
+                if members >= k:
                     del found[j + 1 :]
                     break
-        return [(-c, e) for c, e in found]
+            out.append([(-c, e) for c, e in found])
+        return out
 
     def vote(self, near: list[tuple[float, int]], k: int) -> float:
         left, votes, toxic = float(k), PRIOR_WEIGHT, PRIOR_WEIGHT * self.base
@@ -141,57 +188,57 @@ class Index:
                 break
         return toxic / votes
 
-    def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Known terms and frequencies of each text."""
+    def vectors(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, float]]:
+        """Known terms and frequencies of each text, and the sum of the squared weights of its unknown terms."""
         h, doc = features(texts)
         if not len(self.terms) or not len(h):
-            return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
-        # a table of one bit per leading bits of the hash sorts out nearly all unknown terms
-        h_known = self._sieve()[h >> U(44)]
-        h, doc = h[h_known], doc[h_known]
+            return [(np.zeros(0, np.int64), np.zeros(0), 0.0)] * len(texts)
+        h, doc, tf = counted(h, doc)
         at = np.searchsorted(self.terms, h)
         at[at == len(self.terms)] = 0
         ok = self.terms[at] == h
-        pair, n = np.unique(doc[ok] * len(self.terms) + at[ok], return_counts=True)
-        cut = np.searchsorted(pair, np.arange(len(texts) + 1) * len(self.terms))
-        t = pair % len(self.terms)
-        return [(t[a:b], n[a:b].astype(float)) for a, b in zip(cut, cut[1:], strict=False)]
-
-    def _sieve(self) -> np.ndarray:
-        if not hasattr(self, "_bits"):
-            self._bits = np.zeros(1 << 20, bool)
-            self._bits[self.terms >> U(44)] = True
-        return self._bits
+        rest = np.bincount(doc[~ok], ((1 + np.log(tf[~ok])) * self.unseen) ** 2, len(texts))
+        t, doc, tf = at[ok], doc[ok], tf[ok].astype(float)
+        cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+        return [(t[a:b], tf[a:b], r) for a, b, r in zip(cut, cut[1:], rest.tolist(), strict=False)]
 
     def score(self, texts: pa.Array, k: int = NEIGHBOURS) -> list[tuple[float, list[tuple[float, int]]]]:
-        out, seen = [], {}
-        for t, tf in self.vectors(texts):
-            if not len(t):
-                out.append((self.base, []))
-                continue
-            key = t.tobytes() + tf.tobytes()
-            if key not in seen:
-                near = self.nearest(t, self.weigh(t, tf), k)
+        keys: list[bytes | None] = []
+        asked: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        for t, tf, rest in self.vectors(texts):
+            keys.append(np.append(t, tf).tobytes() + np.float64(rest).tobytes() if len(t) else None)
+            if len(t) and keys[-1] not in asked:
+                asked[keys[-1]] = (t, self.weigh(t, tf, rest))
+        seen: dict[bytes | None, tuple[float, list[tuple[float, int]]]] = {None: (self.base, [])}
+        names = list(asked)
+        for i in range(0, len(names), QUERIES):
+            some = names[i : i + QUERIES]
+            for key, near in zip(some, self.nearest_of([asked[x] for x in some], k), strict=True):
                 seen[key] = (self.vote(near, k), near)
-            out.append(seen[key])
-        return out
+        return [seen[key] for key in keys]
+
+
+def counted(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, term) by document and term, with their frequencies."""
+    order = np.argsort(h)
+    order = order[np.argsort(doc[order], kind="stable")]
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return h[at], doc[at], np.diff(np.append(at, len(h)))
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, toxic) -> (doc_id, toxic, term, tf)."""
+    """(doc_id, text, toxic) -> (doc_id, toxic, terms, tf): rising term hashes and their frequencies, as bytes."""
     for b in text_batches(batches):
-        h, doc = features(b.column(1))
-        order = np.lexsort((h, doc))
-        h, doc = h[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        tf = np.diff(np.append(at, len(h)))
-        rows = pa.array(doc[at])
-        yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(2).take(rows), pa.array(h[at].view(np.int64)), pa.array(tf)], names=["doc_id", "toxic", "term", "tf"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: int = PER_CLASS, terms: int = TERMS) -> Index:
+        h, doc, tf = counted(*features(b.column(1)))
+        cut = np.searchsorted(doc, np.arange(b.num_rows + 1))
+        parts = [[x[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)] for x in (h, tf.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(x, pa.binary()) for x in parts)], names=["doc_id", "toxic", "terms", "tf"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per_class: int = PER_CLASS) -> Index:
     """Learns from labels whose crc32(doc_id as text) modulo ``modulus`` is not ``held``."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id", modulus, held))
@@ -206,34 +253,24 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per
     # at most 2 * per_class rows
     chosen = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in picked], "doc_id long, toxic int").dropDuplicates(["doc_id"])
     texts = id_text(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
-    long = texts.mapInArrow(_features_of, "doc_id long, toxic int, term long, tf long").persist()
+    rows = texts.mapInArrow(_features_of, "doc_id long, toxic int, terms binary, tf binary").where(F.length("terms") > 0).orderBy("doc_id").collect()
+    if not rows:
+        return Index(np.zeros(0, U), np.zeros(0), [], [], [], toxic / n)
     n_toxic = sum(r[1] for r in picked)
     n_clean = len(picked) - n_toxic
-    by_term = long.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d, total = n_toxic - a, n_clean - b, float(len(picked))
-    chi = total * (a * d - b * c) ** 2 / ((a + b) * (c + d) * n_toxic * n_clean + 1e-9)
-    sided = (a + 0.5) / (n_toxic + 1) > LEAST_RATIO * (b + 0.5) / (n_clean + 1)
-    sided = sided | ((b + 0.5) / (n_clean + 1) > LEAST_RATIO * (a + 0.5) / (n_toxic + 1))
-    top = by_term.withColumn("chi", chi).where(sided & (F.col("chi") >= LEAST_CHI)).orderBy(F.desc("chi"), "term").limit(terms).collect()
-    if not top:
-        long.unpersist()
-        return Index(np.zeros(0, U), np.zeros(0), [], [], [], toxic / n)
-    hashes = np.array([r["term"] for r in top], np.int64).view(U)
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    df = np.array([r["a"] + r["b"] for r in top], float)[order]
-    idf = np.log((1 + total) / (1 + df)) + 1
-    keep = docs.sparkSession.createDataFrame([(r["term"],) for r in top], "term long")
-    rows = long.join(F.broadcast(keep), "term").groupBy("doc_id", "toxic").agg(F.collect_list(F.struct("term", "tf")).alias("v")).orderBy("doc_id").collect()
-    long.unpersist()
+    hashes, inverse = np.unique(np.concatenate([np.frombuffer(r["terms"], U) for r in rows]), return_inverse=True)
+    marked = np.repeat([float(r["toxic"]) for r in rows], [len(r["terms"]) // 8 for r in rows])
+    with_toxic, with_clean = np.bincount(inverse, marked, len(hashes)), np.bincount(inverse, 1 - marked, len(hashes))
+    idf = np.log(1 + len(picked)) - np.log(1 + with_toxic + with_clean) + 1
+    if n_toxic and n_clean:
+        spread = SMOOTHING / len(picked)
+        idf *= np.abs(np.log((with_toxic / n_toxic + spread) / (with_clean / n_clean + spread)))
+        unseen = 0.0
+    else:
+        unseen = float(np.log(1 + len(picked)) + 1)
     weight = tuple(share / max(mine / len(picked), 1e-9) for share, mine in ((1 - toxic / n, n_clean), (toxic / n, n_toxic)))
-    vectors = []
-    for r in rows:
-        t = np.searchsorted(hashes, np.array([x["term"] for x in r["v"]], np.int64).view(U))
-        by = np.argsort(t)
-        vectors.append((t[by], np.array([x["tf"] for x in r["v"]], float)[by]))
-    return Index(hashes, idf, vectors, [r["toxic"] for r in rows], [r["doc_id"] for r in rows], toxic / n, weight)
+    vectors = [(np.searchsorted(hashes, np.frombuffer(r["terms"], U)), np.frombuffer(r["tf"], np.int32).astype(float)) for r in rows]
+    return Index(hashes, idf, vectors, [r["toxic"] for r in rows], [r["doc_id"] for r in rows], toxic / n, weight, unseen)
 
 
 def score_documents(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:

@@ -71,3 +71,31 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = S.score_documents(odd_docs, S.fit(odd_docs, labels.limit(0))).collect()
     assert {r["score"] for r in none} == {0.0}
     assert S.clean_documents(odd_docs, fitted).columns == odd_docs.columns
+
+
+def test_rare_insults_and_whole_norms(spark):
+    """A term of three toxic examples in a hundred, far below any chi-squared of 30, is known; cosines are over whole texts."""
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "klmnp"]
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(words, 12)) + (" scoundrel" if i < 3 else " cad" if i < 100 else "") for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 100)) for i in range(200)], "doc_id long, quality int, toxic int")
+    fitted = S.fit(docs, labels, modulus=1, held=1)
+    every = sorted({h for h in S.features(pa.array(texts))[0].tolist()})
+    assert fitted.terms.tolist() == every
+    ((score, near),) = fitted.score(pa.array(["Scoundrel!"]))
+    assert score > 0.5 and {i for _, e in near for i, _ in fitted.members[e]} == {0, 1, 2}
+
+    def vector(t):
+        h, _, tf = S.counted(*S.features(pa.array([t])))
+        idf = dict(zip(fitted.terms.tolist(), fitted.idf.tolist(), strict=True))
+        return {x: (1 + np.log(n)) * idf.get(x, 0.0) for x, n in zip(h.tolist(), tf.tolist(), strict=True)}
+
+    def cosine(x, y):
+        return sum(v * y.get(k, 0.0) for k, v in x.items()) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    for t in [*texts[::20], "bak cad dem strange", "scoundrel cad fip"]:
+        want = sorted((round(cosine(vector(t), vector(x)), 9) for x in texts), reverse=True)[:15]
+        ((_, near),) = fitted.score(pa.array([t]))
+        got = [round(c, 9) for c, e in near for _ in fitted.members[e]][:15]
+        assert np.allclose(got, [c for c in want if c > 0])
