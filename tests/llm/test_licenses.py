@@ -65,3 +65,36 @@ def test_odd_rows(odd_docs, no_docs):
     rows = S.summary(S.matches(odd_docs)).collect()
     assert len(rows) == odd_docs.count() and all(r["n_matches"] == 0 and r["best_dice"] is None for r in rows)
     assert S.matches(no_docs).count() == 0
+
+
+HEADER = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+
+
+def test_versions_of_a_family_are_told_apart():
+    bsd = S._MAY + S._SOURCE + S._BINARY
+    cases = {
+        HEADER.format("program", "General Public License", "2"): "GPL-2.0",
+        HEADER.format("program", "General Public License", "3"): "GPL-3.0",
+        HEADER.format("library", "Lesser General Public License", "2.1"): "LGPL-2.1",
+        HEADER.format("program", "Affero General Public License", "3"): "AGPL-3.0",
+        "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "CC-BY-NC-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.": "CC-BY-3.0",
+        "Copyright 2020 X. " + bsd + S._AS_IS: "BSD-2-Clause",
+        "Copyright 2020 X. " + bsd + S._NAME.format("3.") + S._AS_IS: "BSD-3-Clause",
+    }
+    found = {d: set() for d in range(len(cases))}
+    for d, name, *_ in S.Scanner().scan(pa.array(list(cases), pa.string())):
+        found[d].add(name)
+    assert list(found.values()) == [{n} for n in cases.values()]
+
+
+def test_whole_licences_within_prose():
+    texts = {n: t for n, t in S.TEMPLATES if len(t) > 5000}
+    assert {"Apache-2.0", "GPL-2.0", "LGPL-2.1", "MPL-2.0"} <= set(texts)
+    for name in ("Apache-2.0", "GPL-2.0", "LGPL-2.1", "MPL-2.0"):
+        w = words(texts[name])
+        # without the end, where the notice stands that would be the better match
+        body = " ".join(x for k, x in enumerate(w[: int(0.88 * len(w))]) if k % 200)
+        got = list(S.Scanner().scan(pa.array(["some prose " * 20 + body + " more prose" * 20], pa.string())))
+        assert {g[1] for g in got} == {name} and max(g[3] - g[2] for g in got) > 0.8 * len(w)
