@@ -25,6 +25,7 @@ never is an example; without labels every score is 0; ties are broken by example
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,9 +83,9 @@ class Index:
         kept = []
         for e, (t, tf) in enumerate(vectors):
             weights = self.weigh(t, tf)
-            key = np.asarray(t).tobytes() + weights.tobytes()
+            key = hashlib.sha256(np.asarray(t).tobytes() + weights.tobytes()).digest()
             if key not in merged:
-                kept.append((t, weights))
+                kept.append((t.astype(np.int32), weights))
             merged.setdefault(key, []).append(e)
         groups = list(merged.values())
         self.members = [[(ids[e], toxic[e]) for e in g] for g in groups]
@@ -221,7 +222,8 @@ class Index:
 def counted(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, term) by document and term, with their frequencies."""
     order = np.argsort(h)
-    order = order[np.argsort(doc[order], kind="stable")]
+    # numbers of 16 bits are sorted by radix
+    order = order[np.argsort(doc[order].astype(np.uint16) if len(doc) and doc.max() < 1 << 16 else doc[order], kind="stable")]
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
@@ -269,8 +271,11 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per
     else:
         unseen = float(np.log(1 + len(picked)) + 1)
     weight = tuple(share / max(mine / len(picked), 1e-9) for share, mine in ((1 - toxic / n, n_clean), (toxic / n, n_toxic)))
-    vectors = [(np.searchsorted(hashes, np.frombuffer(r["terms"], U)), np.frombuffer(r["tf"], np.int32).astype(float)) for r in rows]
-    return Index(hashes, idf, vectors, [r["toxic"] for r in rows], [r["doc_id"] for r in rows], toxic / n, weight, unseen)
+    toxics, ids = [r["toxic"] for r in rows], [r["doc_id"] for r in rows]
+    ends = np.cumsum([len(r["terms"]) // 8 for r in rows])[:-1]
+    vectors = list(zip(np.split(inverse.astype(np.int32), ends), (np.frombuffer(r["tf"], np.int32) for r in rows), strict=True))
+    del inverse, marked
+    return Index(hashes, idf, vectors, toxics, ids, toxic / n, weight, unseen)
 
 
 def score_documents(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
