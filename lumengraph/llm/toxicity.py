@@ -7,11 +7,9 @@
    and in clean examples, smoothed: without it, whole texts are near by their common words and a few
    insults count for little. Terms of any contrast are in vectors and norms; 0 is that of unknown terms.
 3. Index: tf-idf vectors (1 + log tf, smoothed idf over the examples, unit length) of the examples, equal
-   vectors merged, as dense rows of the ``DENSE`` most frequent terms and posting lists of the others, in
-   blocks of ``BLOCK`` examples with the largest weight of each block.
-4. Query: the norm is over the whole text, terms that no example has included. A block's bound is the
-   largest part that the dense rows give plus, over the other terms, weight times block maximum; postings
-   count only in blocks whose bound reaches the k-th best such part: exact.
+   vectors merged, in a block-max inverted index (``blockmax``).
+4. Query: the norm is over the whole text, terms that no example has included. Blocks of examples whose
+   largest weights can't give the k-th best cosine found so far are skipped: exact.
 5. Score: the k nearest examples vote with their cosine (times their label's share of the labels over
    its share of the examples); ``PRIOR_WEIGHT`` votes at the base rate are
    added, so a document without a known term has the base rate. Neighbours are the evidence.
@@ -33,18 +31,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blockmax import BlockMax, Queries, best_hits, groups_of_alike, ranges
 from .common import held_out, id_text, text_batches
-from .textbytes import ALNUM, NOT_SPACE, U, Words, buffers
+from .textbytes import ALNUM, NOT_SPACE, U, Words, buffers, mix
 
-PER_CLASS, NEIGHBOURS, BLOCK = 2000, 15, 64
+PER_CLASS, NEIGHBOURS = 2000, 15
 PRIOR_WEIGHT = 0.25
 PREFIXES = (4, 5, 6, 8)
 #: Examples at even odds that are added to a term's own, for its contrast between the labels.
 SMOOTHING = 5.0
-#: So many of the most frequent terms have dense rows; so many texts are looked up together.
-DENSE, QUERIES = 1024, 256
-#: More than single precision can be off in a cosine.
-MARGIN = 1e-4
+#: So many of the most frequent terms tell which examples are alike, in groups of so many at least; so many texts are looked up together.
+LEADING, LEAST, QUERIES = 128, 256, 768
+#: Terms are looked up by so many leading bits of their hashes.
+LEAD_BITS = 20
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,32 +91,52 @@ class Index:
         self.count = np.array([len(g) for g in groups], float)
         self.toxic = np.array([sum(toxic[e] for e in g) for g in groups], float)
         self.weight = weight
-        self.blocks = max(1, -(-len(groups) // BLOCK))
         self.row = np.append(0, np.cumsum([len(t) for t, _ in kept])).astype(np.int64)
         self.row_term = np.concatenate([t for t, _ in kept]).astype(np.int32) if kept else np.zeros(0, np.int32)
         self.row_weight = np.concatenate([x for _, x in kept]) if kept else np.zeros(0)
 
     def _build(self) -> None:
-        """Dense rows of the most frequent terms; posting lists of the others, with the largest weight of each block."""
-        if hasattr(self, "dense"):
+        """The inverted index, made where it is used; examples with like frequent terms lie together, by label and length."""
+        if hasattr(self, "lists"):
             return
-        n, size = len(self.terms), self.blocks * BLOCK
-        df = np.bincount(self.row_term, minlength=n)
-        often = np.argsort(-df, kind="stable")[:DENSE]
-        self.dense_row = np.full(n, -1, np.int32)
-        self.dense_row[often] = np.arange(len(often))
-        who = np.repeat(np.arange(len(self.count), dtype=np.int32), np.diff(self.row))
-        at = self.dense_row[self.row_term]
-        dense = np.zeros((len(often), size), np.float32)
-        dense[at[at >= 0], who[at >= 0]] = self.row_weight[at >= 0]
-        term, doc, weight = self.row_term[at < 0], who[at < 0], self.row_weight[at < 0].astype(np.float32)
-        order = np.argsort(term, kind="stable")
-        self.post_doc, self.post_weight = doc[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(n + 1))
-        self.rare_row = np.cumsum(self.dense_row < 0) - 1
-        self.top = np.zeros((n - len(often), self.blocks), np.float32)
-        np.maximum.at(self.top, (self.rare_row[term], doc // BLOCK), weight)
-        self.dense = dense
+        n, sizes = len(self.count), np.diff(self.row)
+        who = np.repeat(np.arange(n), sizes)
+        df = np.bincount(self.row_term, minlength=len(self.terms))
+        leading = np.full(len(df), -1)
+        often = np.argsort(-df, kind="stable")[:LEADING]
+        leading[often] = np.arange(len(often))
+        at = leading[self.row_term]
+        x = np.zeros((n, max(len(often), 1)), np.float32)
+        x[who[at >= 0], at[at >= 0]] = 1
+        # terms with equal lists, such as a rare word and its beginnings, are one list that takes their weights' sum
+        order = np.argsort(self.row_term.astype(U) << U(32) | who.astype(U))
+        doc, weight, known = who[order], self.row_weight[order], np.flatnonzero(df)
+        first = np.append(0, np.cumsum(df[known]))
+        marks = mix(weight.view(U) + mix(doc.astype(U)))
+        # lists are told apart by 64 bits: two of n lists share them with a chance of n * n / 2^65, 2e-8 for a million
+        _, one, same = np.unique(np.add.reduceat(marks, first[:-1]) if len(known) else marks, return_index=True, return_inverse=True)
+        # frequent lists first: what is looked up most lies together
+        place = np.argsort(np.argsort(-df[known][one], kind="stable"))
+        self.list_of = np.zeros(len(df), np.int64)
+        self.list_of[known] = place[same]
+        one = one[np.argsort(place)]
+        at, which = ranges(first[one], first[one + 1])
+        doc, weight = doc[at], weight[at]
+        # by example, for exact cosines
+        order = np.argsort(doc, kind="stable")
+        self.by_example = np.searchsorted(doc[order], np.arange(n + 1)).tolist(), which[order], weight[order]
+        #: for each group of like examples its index, and which of its lists each list is
+        self.lists: list[tuple[BlockMax, np.ndarray]] = []
+        for group in groups_of_alike(x, LEAST):
+            rows = group[np.lexsort((sizes[group], 2 * self.toxic[group] > self.count[group]))]
+            place = np.full(n, -1)
+            place[rows] = np.arange(len(rows))
+            mine = np.flatnonzero(place[doc] >= 0)
+            mine = mine[np.argsort(which[mine].astype(U) << U(32) | place[doc[mine]].astype(U))]
+            terms, size = np.unique(which[mine], return_counts=True)
+            of = np.full(len(one), -1, np.int32)
+            of[terms] = np.arange(len(terms))
+            self.lists.append((BlockMax(terms.astype(U), np.append(0, np.cumsum(size)), place[doc[mine]].astype(np.int32), weight[mine], rows, exact=False), of))
 
     def weigh(self, t: np.ndarray, tf: np.ndarray, rest: float = 0.0) -> np.ndarray:
         """Unit weights of a text's known terms; ``rest``: sum of the squares of its unknown ones."""
@@ -129,52 +148,45 @@ class Index:
         return self.nearest_of([(t, weights)], k)[0]
 
     def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
-        """Bounds and candidates in single precision with a margin, the candidates' cosines in double precision: exact."""
+        out: list[list[tuple[float, int]]] = [[] for _ in queries]
         if not len(self.count):
-            return [[] for _ in queries]
+            return out
         self._build()
-        asked = np.zeros((len(queries), len(self.dense)), np.float32)
-        for q, (t, weights) in enumerate(queries):
-            at = self.dense_row[t]
-            asked[q, at[at >= 0]] = weights[at >= 0]
-        part = asked @ self.dense
-        full = np.zeros(len(self.terms))
-        out = []
-        for q, (t, weights) in enumerate(queries):
-            cos = part[q]
-            rare = self.dense_row[t] < 0
-            t_rare, w_rare = t[rare], weights[rare].astype(np.float32)
-            bounds = cos.reshape(-1, BLOCK).max(1) + w_rare @ self.top[self.rare_row[t_rare]]
-            least = np.partition(cos, -k)[-k] if k <= len(cos) else 0.0
-            live = (bounds >= least - MARGIN) & (bounds > 0)
-            n = self.first[t_rare + 1] - self.first[t_rare]
-            total = int(n.sum())
-            if total:
-                places = np.repeat(self.first[t_rare] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(total)
-                doc = self.post_doc[places]
-                w = np.repeat(w_rare, n) * self.post_weight[places]
-                if not live.all():
-                    ok = live[doc // BLOCK]
-                    doc, w = doc[ok], w[ok]
-                cos = cos + np.bincount(doc, w, len(cos))
-                least = np.partition(cos, -k)[-k] if k <= len(cos) else 0.0
-            hit = np.flatnonzero((cos >= least - MARGIN) & (cos > 0) & np.repeat(live, BLOCK))
-            full[t] = weights
-            found = []
-            if len(hit):
-                size = self.row[hit + 1] - self.row[hit]
-                begin = np.append(0, np.cumsum(size)[:-1])
-                places = np.repeat(self.row[hit] - begin, size) + np.arange(int(size.sum()))
-                exact = np.add.reduceat(full[self.row_term[places]] * self.row_weight[places], begin)
-                found = sorted((-round(c, 12), e) for c, e in zip(exact.tolist(), hit.tolist(), strict=True) if c > 0)
-            full[t] = 0
+        owner = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        key = owner << 32 | self.list_of[np.concatenate([t for t, _ in queries])]
+        order = np.argsort(key)
+        key = key[order]
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        weight = np.add.reduceat(np.concatenate([w for _, w in queries])[order], start) if len(start) else np.zeros(0)
+        asked, which = Queries.placed(np.bincount(key[start] >> 32, minlength=len(queries)), weight), key[start] & 0xFFFFFFFF
+        floors, near, hits = np.zeros(len(queries)), tuple(np.zeros(0, t) for t in (np.int64, float, np.int64, np.int64)), []
+        for group, of in self.lists:
+            new = list(group.search_places(asked, of[which], k, floors, exact=False))
+            hits += new
+            near = best_hits([np.concatenate(x) for x in zip(near, *[(q, c - error, e, e) for q, e, c, error in new], strict=True)], k, floors)
+        if not hits:
+            return out
+        query, item, cosine, error = (np.concatenate(x) for x in zip(*hits, strict=True))
+        mine = np.flatnonzero(cosine + error >= floors[query])
+        mine = mine[np.argsort(query[mine], kind="stable")]
+        first, lists, weights = self.by_example
+        full, cuts = np.zeros(len(self.list_of) + 1), np.searchsorted(query[mine], np.arange(len(queries) + 1))
+        for i, (lo, hi) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
+            if lo < hi:
+                own = slice(asked.first[i], asked.first[i + 1])
+                full[which[own]] = asked.weight[own]
+                for e in item[mine[lo:hi]].tolist():
+                    a, b = first[e], first[e + 1]
+                    if (c := round(float(full[lists[a:b]] @ weights[a:b]), 12)) > 0:
+                        out[i].append((-c, e))
+                full[which[own]] = 0
+        for i, found in enumerate(out):
             members = 0.0
-            for j, (_, e) in enumerate(found):
+            for j, (_, e) in enumerate(sorted(found)):
                 members += self.count[e]
                 if members >= k:
-                    del found[j + 1 :]
                     break
-            out.append([(-c, e) for c, e in found])
+            out[i] = [(-c, e) for c, e in sorted(found)[: j + 1]] if found else []
         return out
 
     def vote(self, near: list[tuple[float, int]], k: int) -> float:
@@ -195,14 +207,26 @@ class Index:
         if not len(self.terms) or not len(h):
             return [(np.zeros(0, np.int64), np.zeros(0), 0.0)] * len(texts)
         h, doc, tf = counted(h, doc)
-        at = np.searchsorted(self.terms, h)
-        at[at == len(self.terms)] = 0
+        at = self._places(h)
         ok = self.terms[at] == h
         rest = np.bincount(doc[~ok], ((1 + np.log(tf[~ok])) * self.unseen) ** 2, len(texts))
         t, doc, tf = at[ok], doc[ok], tf[ok].astype(float)
         cut = np.searchsorted(doc, np.arange(len(texts) + 1))
         return [(t[a:b], tf[a:b], r) for a, b, r in zip(cut, cut[1:], rest.tolist(), strict=False)]
 
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is among the terms, if it is: among those of its leading bits, of which there are few."""
+        if not hasattr(self, "leads"):
+            self.leads = np.searchsorted(self.terms, np.arange((1 << LEAD_BITS) + 1).astype(U) << U(64 - LEAD_BITS)).astype(np.int32)
+            self.leads[-1] = len(self.terms)
+        lead = (h >> U(64 - LEAD_BITS)).astype(np.int32)
+        at, end = self.leads[lead], self.leads[lead + 1]
+        on = np.flatnonzero(at < end)
+        while len(on := on[(self.terms[at[on]] < h[on]) & (at[on] + 1 < end[on])]):
+            at[on] += 1
+        at[at == len(self.terms)] = 0
+        return at
+
     def score(self, texts: pa.Array, k: int = NEIGHBOURS) -> list[tuple[float, list[tuple[float, int]]]]:
         keys: list[bytes | None] = []
         asked: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
