@@ -17,8 +17,8 @@
 Words: ASCII letters in lower case, ASCII white space between; marks at either end are left off.
 
 Defined results: a null, empty or unknown text scores the base rate (0.5 times it if no label is known
-is 0); nulls in labels are no labels; repeated label rows count as often as they stand; a null doc_id
-never is an example; without labels every score is 0; ties are broken by example number.
+is 0); nulls in labels are no labels; a doc_id of several label rows is one label, toxic if any row says so; of
+several documents of one doc_id the smallest text is the example; a null doc_id never is one; without labels every score is 0; ties are broken by example number.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blockmax import BlockMax, Queries, best_hits, groups_of_alike, ranges
-from .common import held_out, id_text, text_batches
+from .common import cut, held_out, id_text, text_batches
 from .textbytes import ALNUM, NOT_SPACE, U, Words, buffers, mix
 
 PER_CLASS, NEIGHBOURS = 2000, 15
@@ -91,42 +91,35 @@ class Index:
         self.count = np.array([len(g) for g in groups], float)
         self.toxic = np.array([sum(toxic[e] for e in g) for g in groups], float)
         self.weight = weight
-        self.row = np.append(0, np.cumsum([len(t) for t, _ in kept])).astype(np.int64)
-        self.row_term = np.concatenate([t for t, _ in kept]).astype(np.int32) if kept else np.zeros(0, np.int32)
-        self.row_weight = np.concatenate([x for _, x in kept]) if kept else np.zeros(0)
+        self._merge([len(t) for t, _ in kept], np.concatenate([t for t, _ in kept]) if kept else np.zeros(0, np.int32), np.concatenate([x for _, x in kept]) if kept else np.zeros(0))
 
-    def _build(self) -> None:
-        """The inverted index, made where it is used; examples with like frequent terms lie together, by label and length."""
-        if hasattr(self, "lists"):
-            return
-        n, sizes = len(self.count), np.diff(self.row)
+    def _merge(self, sizes: list[int], row_term: np.ndarray, row_weight: np.ndarray) -> None:
+        """Posting lists by group of examples with like frequent terms; within a group examples lie by label and length."""
+        n, sizes = len(sizes), np.array(sizes, np.int64)
         who = np.repeat(np.arange(n), sizes)
-        df = np.bincount(self.row_term, minlength=len(self.terms))
+        df = np.bincount(row_term, minlength=len(self.terms))
         leading = np.full(len(df), -1)
         often = np.argsort(-df, kind="stable")[:LEADING]
         leading[often] = np.arange(len(often))
-        at = leading[self.row_term]
+        at = leading[row_term]
         x = np.zeros((n, max(len(often), 1)), np.float32)
         x[who[at >= 0], at[at >= 0]] = 1
         # terms with equal lists, such as a rare word and its beginnings, are one list that takes their weights' sum
-        order = np.argsort(self.row_term.astype(U) << U(32) | who.astype(U))
-        doc, weight, known = who[order], self.row_weight[order], np.flatnonzero(df)
+        order = np.argsort(row_term.astype(U) << U(32) | who.astype(U))
+        doc, weight, known = who[order], row_weight[order], np.flatnonzero(df)
         first = np.append(0, np.cumsum(df[known]))
         marks = mix(weight.view(U) + mix(doc.astype(U)))
         # lists are told apart by 64 bits: two of n lists share them with a chance of n * n / 2^65, 2e-8 for a million
         _, one, same = np.unique(np.add.reduceat(marks, first[:-1]) if len(known) else marks, return_index=True, return_inverse=True)
         # frequent lists first: what is looked up most lies together
         place = np.argsort(np.argsort(-df[known][one], kind="stable"))
-        self.list_of = np.zeros(len(df), np.int64)
+        self.list_of = np.zeros(len(df), np.int32)
         self.list_of[known] = place[same]
         one = one[np.argsort(place)]
         at, which = ranges(first[one], first[one + 1])
         doc, weight = doc[at], weight[at]
-        # by example, for exact cosines
-        order = np.argsort(doc, kind="stable")
-        self.by_example = np.searchsorted(doc[order], np.arange(n + 1)).tolist(), which[order], weight[order]
-        #: for each group of like examples its index, and which of its lists each list is
-        self.lists: list[tuple[BlockMax, np.ndarray]] = []
+        #: of each group: its lists, their bounds, places and weights of their examples, and the examples
+        self.groups: list[tuple[np.ndarray, ...]] = []
         for group in groups_of_alike(x, LEAST):
             rows = group[np.lexsort((sizes[group], 2 * self.toxic[group] > self.count[group]))]
             place = np.full(n, -1)
@@ -134,9 +127,24 @@ class Index:
             mine = np.flatnonzero(place[doc] >= 0)
             mine = mine[np.argsort(which[mine].astype(U) << U(32) | place[doc[mine]].astype(U))]
             terms, size = np.unique(which[mine], return_counts=True)
-            of = np.full(len(one), -1, np.int32)
+            self.groups.append((terms.astype(np.int32), np.append(0, np.cumsum(size)), place[doc[mine]].astype(np.int32), weight[mine], rows))
+
+    def _build(self) -> None:
+        """The inverted indexes, and the lists by example for exact cosines; made where they are used."""
+        if hasattr(self, "lists"):
+            return
+        lists = []
+        self.by_example: list[tuple[np.ndarray, np.ndarray]] = [()] * len(self.count)
+        for terms, first, doc, weight, rows in self.groups:
+            of = np.full(int(self.list_of.max(initial=-1)) + 1, -1, np.int32)
             of[terms] = np.arange(len(terms))
-            self.lists.append((BlockMax(terms.astype(U), np.append(0, np.cumsum(size)), place[doc[mine]].astype(np.int32), weight[mine], rows, exact=False), of))
+            lists.append((BlockMax(terms.astype(U), first, doc, weight, rows, exact=False), of))
+            order = np.argsort(doc.astype(np.uint16) if len(rows) < 1 << 16 else doc, kind="stable")
+            which, weight = np.repeat(terms, np.diff(first))[order], weight[order]
+            cuts = np.cumsum(np.bincount(doc, minlength=len(rows)))[:-1]
+            for e, t, w in zip(rows.tolist(), np.split(which, cuts), np.split(weight, cuts), strict=True):
+                self.by_example[e] = (t, w)
+        self.lists = lists
 
     def weigh(self, t: np.ndarray, tf: np.ndarray, rest: float = 0.0) -> np.ndarray:
         """Unit weights of a text's known terms; ``rest``: sum of the squares of its unknown ones."""
@@ -153,7 +161,7 @@ class Index:
             return out
         self._build()
         owner = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
-        key = owner << 32 | self.list_of[np.concatenate([t for t, _ in queries])]
+        key = owner << 32 | self.list_of[np.concatenate([t for t, _ in queries])].astype(np.int64)
         order = np.argsort(key)
         key = key[order]
         start = np.flatnonzero(np.diff(key, prepend=-1))
@@ -169,15 +177,14 @@ class Index:
         query, item, cosine, error = (np.concatenate(x) for x in zip(*hits, strict=True))
         mine = np.flatnonzero(cosine + error >= floors[query])
         mine = mine[np.argsort(query[mine], kind="stable")]
-        first, lists, weights = self.by_example
-        full, cuts = np.zeros(len(self.list_of) + 1), np.searchsorted(query[mine], np.arange(len(queries) + 1))
+        full, cuts = np.zeros(int(self.list_of.max()) + 1), np.searchsorted(query[mine], np.arange(len(queries) + 1))
         for i, (lo, hi) in enumerate(zip(cuts.tolist(), cuts[1:].tolist(), strict=False)):
             if lo < hi:
                 own = slice(asked.first[i], asked.first[i + 1])
                 full[which[own]] = asked.weight[own]
                 for e in item[mine[lo:hi]].tolist():
-                    a, b = first[e], first[e + 1]
-                    if (c := round(float(full[lists[a:b]] @ weights[a:b]), 12)) > 0:
+                    lists, weights = self.by_example[e]
+                    if (c := round(float(full[lists] @ weights), 12)) > 0:
                         out[i].append((-c, e))
                 full[which[own]] = 0
         for i, found in enumerate(out):
@@ -268,6 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per
     """Learns from labels whose crc32(doc_id as text) modulo ``modulus`` is not ``held``."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("doc_id", modulus, held))
+    known = cut(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
     n, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
     if not n:
         return Index(np.zeros(0, U), np.zeros(0), [], [], [], 0.0)
@@ -277,8 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per
     if not picked:
         return Index(np.zeros(0, U), np.zeros(0), [], [], [], 0.0)
     # at most 2 * per_class rows
-    chosen = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in picked], "doc_id long, toxic int").dropDuplicates(["doc_id"])
-    texts = id_text(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    chosen = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in picked], "doc_id long, toxic int")
+    texts = id_text(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
     rows = texts.mapInArrow(_features_of, "doc_id long, toxic int, terms binary, tf binary").where(F.length("terms") > 0).orderBy("doc_id").collect()
     if not rows:
         return Index(np.zeros(0, U), np.zeros(0), [], [], [], toxic / n)

@@ -99,3 +99,13 @@ def test_rare_insults_and_whole_norms(spark):
         ((_, near),) = fitted.score(pa.array([t]))
         got = [round(c, 9) for c, e in near for _ in fitted.members[e]][:15]
         assert np.allclose(got, [c for c in want if c > 0])
+
+
+def test_repeated_and_contradictory_labels_change_nothing(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.where("toxic is not null")
+    more = labels.unionAll(labels).unionAll(labels).unionAll(labels.where("toxic = 1").selectExpr("doc_id", "quality", "0 as toxic"))
+    a, b = (S.fit(docs, x, per_class=50) for x in (labels, more))
+    assert sorted(x for g in a.members for x in g) == sorted(x for g in b.members for x in g) and a.base == b.base
+    texts = pa.array([r["text"] for r in docs.limit(40).collect()], pa.string())
+    assert [s for s, _ in a.score(texts)] == [s for s, _ in b.score(texts)]
