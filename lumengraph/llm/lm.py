@@ -1,27 +1,38 @@
-"""Language-model scores from an n-gram trie in Elias-Fano form, built and queried in shards.
+"""Language-model scores from a trigram trie in Elias-Fano form, built and queried in shards.
 
-Model: bigrams with absolute discounting, interpolated with unigrams; the unseen word is one type whose
+Model: shares of order 3, 2 and 1, interpolated; the weight of a share rises with the count c of its
+context (``trust``: 1 - a * c^-b, a smooth form of weights by count); the unseen word is one type whose
 probability is the Good-Turing mass of the words seen once:
 
-    p(w | v) = max(c(vw) - D, 0) / c(v) + D * successors(v) / c(v) * p(w)
-    p(w) = c(w) / N * (1 - u),   p(unseen) = u = words seen once / N
+    p(w | u v) = t3(c(uv)) * c(uvw) / c(uv) + (1 - t3) * p(w | v)
+    p(w | v)   = t2(c(v)) * c(vw) / c(v) + (1 - t2) * p(w)
+    p(w)       = c(w) / N * (1 - s),   p(unseen) = s = words seen once / N
 
 A document is its words (ASCII letters in lower case, ASCII white space between) and one end, read after a
-start. ``NgramTrie`` holds one shard of the contexts: level one the contexts with monotone Elias-Fano
-pointers to their successors, level two the successors as one Elias-Fano sequence of context number *
-vocabulary + word rank, so a successor is searched relative to its context, and 16-bit codes of the
-discounted shares (logarithms in steps of 1/4096). ``save`` writes the levels as flat files and
-``load`` maps them into memory.
-
-Plan: documents are cut into chunks of about ``CHUNK`` bytes; a chunk pre-aggregates its word pairs and
-sends each shard (a range of context hashes) one row with its pairs and training counts. A shard adds up
-the counts, builds its trie and answers each chunk's pairs; a chunk puts the answers together. So a
-frequent pair is one entry per chunk, and no task holds more than a shard or a chunk. Nothing is pruned.
-
-Words are told apart by 64-bit hashes (48 bits within a context).
+start; its first token has no trigram. Every training document counts; nothing is pruned.
+
+``NgramTrie`` is one shard. Level one: first words u. Level two: for each u its successors v. Level three:
+for each (u, v) its successors w. A level is an Elias-Fano sequence of pointers to each context's run and an
+Elias-Fano sequence of successors, each run of word ranks moved up past the run before; 16-bit codes are
+the logarithms of the counts in steps of 1/4096 of a decade, and the difference of two codes is the
+logarithm of a share, quantised. A look-up selects in the encoded bits: the context's two pointers, the
+value its run starts from, then the successor, which counts only between the pointers. Nothing is
+decoded as a whole. ``save`` writes the levels as flat files and ``load`` maps them into memory; within a
+Spark task a trie lives in memory, as executors share no local files.
+
+Plan: (1) documents are cut into chunks of about ``CHUNK`` bytes, written once to the shared folder: all
+later steps read the same chunks, whatever executors come or go. (2) Word counts, by ranges of word hashes.
+(3) A chunk sends each shard its different bigrams and trigrams with training counts; a shard adds them
+up, builds its trie and answers with codes. (4) A chunk puts the answers together. A shard holds a
+range of the hashes of u; a word with over ``HOT`` tokens (or 1/65536 of all, if that is more: so at most
+65536 words are sent to all tasks) is split by v, and a pair of two such words by w, so that no word or
+pair fills a shard.
+
+Words are told apart by 64-bit hashes, successors within a trie by 40 bits: a look-up of a word that isn't
+there finds one of n words of a shard with a chance of n / 2^40 (3e-7 for 300,000) and then needs the same context.
 
 Defined results: a null or empty text is its end alone; a null doc_id is not held out; repeated rows count
-and score each; with nothing to train on every score is that of unseen words (u = 1); other columns are
+and score each; with nothing to train on every score is that of unseen words (s = 1); other columns are
 not read.
 """
 
@@ -29,6 +40,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -38,303 +50,506 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, text_batches
-from .textbytes import NOT_SPACE, U, Words, buffers
+from .common import ensure_checkpoint_dir, id_text, text_batches
+from .textbytes import NOT_SPACE, U, Words, buffers, mix
 
-CHUNK, SHARD_BYTES = 8 << 20, 16 << 20
-DISCOUNT = 0.75
+CHUNK, SHARD_BYTES, WORD_SHARD_BYTES = 8 << 20, 12 << 20, 64 << 20
+HOT = 1 << 20
 START, END = U(0x5354415254), U(0x454E44454E44)
-_LOW48 = U((1 << 48) - 1)
+_LOW40 = U((1 << 40) - 1)
 _STEP = 4096.0
+#: (a, b) of ``trust`` for bigrams and trigrams.
+TRUST2, TRUST3 = (0.9, 0.25), (0.85, 0.5)
+
+
+def trust(count: np.ndarray, a: float, b: float) -> np.ndarray:
+    """How far the shares of a context seen ``count`` times are believed: 0 for none, towards 1 for many."""
+    return np.where(count > 0, 1 - a * np.maximum(count, 1.0) ** -b, 0.0)
+
+
+def codes_of(count: np.ndarray) -> np.ndarray:
+    return np.where(count > 0, np.minimum(np.rint(np.log10(np.maximum(count, 1)) * _STEP) + 1, 65535), 0).astype(np.uint16)
+
+
+def counts_of(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 10.0 ** ((codes.astype(float) - 1) / _STEP), 0.0)
+
+
+def _nth_one(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Where the k-th set bit (from 0) of each 64-bit word is."""
+    words, k, at = words.copy(), k.astype(np.int64), np.zeros(len(words), np.int64)
+    for s in (32, 16, 8, 4, 2, 1):
+        low = np.bitwise_count(words & U((1 << s) - 1)).astype(np.int64)
+        up = k >= low
+        k -= np.where(up, low, 0)
+        at += np.where(up, s, 0)
+        words >>= np.where(up, U(s), U(0))
+    return at
 
 
 class EliasFano:
-    """A rising sequence of unsigned integers in about 2 + log2(universe / n) bits each."""
+    """A rising sequence of unsigned integers in about 2 + log2(universe / n) bits each, searched as it is."""
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.bits, self.low, self.high = n, bits, low, high
+        #: ones before each 64-bit word of the upper bits
+        self.ones = np.append(0, np.cumsum(np.bitwise_count(high).astype(np.int64)))
+        self.zeros = 64 * np.arange(len(self.ones)) - self.ones
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
         n = len(values)
         if not n:
-            return cls(0, 0, np.zeros(8, np.uint8), np.zeros(1, np.uint8))
+            return cls(0, 0, np.zeros(8, np.uint8), np.zeros(2, U))
         bits = max(0, min(56, int(np.log2(max(int(values[-1]), 1) / n)) if int(values[-1]) > n else 0))
         v = values.astype(U)
-        low = (v[:, None] >> np.arange(bits, dtype=U)[None, :] & U(1)).astype(np.uint8) if bits else np.zeros((n, 0), np.uint8)
         at = (v >> U(bits)).astype(np.int64) + np.arange(n)
-        ones = np.zeros(int(at[-1]) + 1, np.uint8)
+        ones = np.zeros((int(at[-1]) // 64 + 2) * 64, np.uint8)
         ones[at] = 1
-        packed = np.concatenate([np.packbits(low.ravel(), bitorder="little"), np.zeros(8, np.uint8)])
-        return cls(n, bits, packed, np.packbits(ones, bitorder="little"))
+        low = np.zeros(0, np.uint8)
+        if bits:
+            parts = [np.unpackbits((v[i : i + (1 << 16)] & U((1 << bits) - 1)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :bits].ravel() for i in range(0, n, 1 << 16)]
+            low = np.packbits(np.concatenate(parts), bitorder="little")
+        return cls(n, bits, np.append(low, np.zeros(8, np.uint8)), np.packbits(ones, bitorder="little").view(U))
 
-    def decode(self) -> np.ndarray:
-        if not self.n:
-            return np.zeros(0, np.int64)
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
+    def _lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
-            return high
-        at = np.arange(self.n, dtype=np.int64) * self.bits
+            return np.zeros(len(i), np.int64)
+        at = i * self.bits
         words = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))
-        low = words[at >> 3] >> (at & 7).astype(U) & U((1 << self.bits) - 1)
-        return (high << self.bits) | low.astype(np.int64)
+        return (words[at >> 3] >> (at & 7).astype(U) & U((1 << self.bits) - 1)).astype(np.int64)
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values."""
+        word = np.searchsorted(self.ones, i, "right") - 1
+        high = 64 * word + _nth_one(self.high[word], i - self.ones[word]) - i
+        return high << self.bits | self._lows(i)
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of the first value that isn't smaller, if it is equal; else -1."""
+        out = np.full(len(values), -1)
+        if not self.n or not len(values):
+            return out
+        high, low = values >> self.bits, values & ((1 << self.bits) - 1)
+        ask = np.flatnonzero(high < self.zeros[-1])
+        high, low = high[ask], low[ask]
+        # values of one upper part are the ones between two zeros
+        word = np.maximum(np.searchsorted(self.zeros, high - 1, "right") - 1, 0)
+        zero = 64 * word + _nth_one(~self.high[word], high - 1 - self.zeros[word])
+        bit = np.where(high > 0, zero + 1, 0)
+        place = bit - high
+        bytes_ = self.high.view(np.uint8)
+        on = np.arange(len(ask))
+        while len(on):
+            there = (bytes_[bit[on] >> 3] >> (bit[on] & 7).astype(np.uint8) & 1).astype(bool)
+            on = on[there]
+            mine = self._lows(place[on])
+            hit = mine == low[on]
+            out[ask[on[hit]]] = place[on[hit]]
+            on = on[mine < low[on]]
+            place[on] += 1
+            bit[on] += 1
+        return out
 
+    def decode(self) -> np.ndarray:
+        return self.at(np.arange(self.n))
 
-class NgramTrie:
-    """One shard: contexts, pointers, successors, codes; and each context's count."""
 
-    FILES = ("contexts", "counts", "words", "codes", "pointers_low", "pointers_high", "successors_low", "successors_high")
+class Level:
+    """Successors of contexts: each context's run of rising ranks, with a code each."""
 
-    def __init__(self, contexts: np.ndarray, counts: np.ndarray, words: np.ndarray, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
-        self.contexts, self.counts, self.words = contexts, counts, words
+    def __init__(self, pointers: EliasFano, successors: EliasFano, codes: np.ndarray):
         self.pointers, self.successors, self.codes = pointers, successors, codes
 
     @classmethod
-    def build(cls, context: np.ndarray, word: np.ndarray, count: np.ndarray, discount: float = DISCOUNT) -> NgramTrie:
-        """From entries (context hash, 48-bit word hash, count), in any order, pairs repeated at will."""
-        order = np.lexsort((word, context))
-        context, word, count = context[order], word[order], count[order].astype(np.int64)
-        new = np.ones(len(context), bool)
-        new[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(count, at) if len(at) else np.zeros(0, np.int64)
-        seen = total > 0
-        context, word, total = context[at][seen], word[at][seen], total[seen]
-        contexts, first = np.unique(context, return_index=True)
-        pointers = np.append(first, len(context))
-        counts = np.add.reduceat(total, first) if len(first) else np.zeros(0, np.int64)
-        words, rank = np.unique(word, return_inverse=True)
-        owner = np.repeat(np.arange(len(contexts)), np.diff(pointers))
-        share = (total - discount) / counts[owner] if len(total) else np.zeros(0)
-        codes = np.minimum(np.rint(-np.log10(share) * _STEP) + 1, 65535).astype(np.uint16)
-        return cls(contexts, counts, words, EliasFano.encode(pointers), EliasFano.encode(owner * max(len(words), 1) + rank), codes)
-
-    def open(self) -> None:
-        """Decode the monotone sequences once, before many look-ups."""
-        self._pointers, self._successors = self.pointers.decode(), self.successors.decode()
-
-    def find(self, contexts: np.ndarray, per_context: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts and numbers of successors of the contexts; codes of their words (0: not a successor)."""
-        if not len(self.contexts):
-            return np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64), np.zeros(len(words), np.uint16)
-        c = np.minimum(np.searchsorted(self.contexts, contexts), len(self.contexts) - 1)
-        known = self.contexts[c] == contexts
-        count = np.where(known, self.counts[c], 0)
-        fan = np.where(known, self._pointers[c + 1] - self._pointers[c], 0)
-        r = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        target = np.repeat(c, per_context) * len(self.words) + r
-        at = np.minimum(np.searchsorted(self._successors, target), len(self._successors) - 1)
-        hit = np.repeat(known, per_context) & (self.words[r] == words) & (self._successors[at] == target)
-        return count, fan, np.where(hit, self.codes[at], 0).astype(np.uint16)
-
-    def arrays(self) -> dict[str, np.ndarray]:
-        p, s = self.pointers, self.successors
-        return dict(zip(self.FILES, (self.contexts, self.counts, self.words, self.codes, p.low, p.high, s.low, s.high), strict=True))
+    def build(cls, contexts: int, owner: np.ndarray, rank: np.ndarray, count: np.ndarray) -> Level:
+        """``owner`` rises, and ``rank`` within each owner."""
+        pointers = np.searchsorted(owner, np.arange(contexts + 1))
+        last = np.flatnonzero(np.diff(owner, append=contexts + 1))
+        # each run starts past the greatest value of the run before
+        base = np.append(0, np.cumsum(rank[last] + 1)) if len(owner) else np.zeros(1, np.int64)
+        run = np.cumsum(np.diff(owner, prepend=-1) > 0) - 1
+        return cls(EliasFano.encode(pointers), EliasFano.encode(base[run] + rank if len(owner) else rank), codes_of(count))
+
+    def find(self, owner: np.ndarray, per_owner: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """Places of the ranks among the successors of their owners (-1: none); negative owners and ranks have none."""
+        known = owner >= 0
+        begin, end = (self.pointers.at(np.where(known, owner, 0) + d) for d in (0, 1))
+        base = np.where(begin > 0, self.successors.at(np.maximum(begin - 1, 0)) + 1, 0) if self.successors.n else begin
+        of = np.repeat(np.arange(len(owner)), per_owner)
+        ask = np.flatnonzero((rank >= 0) & (known & (end > begin))[of])
+        of = of[ask]
+        place = self.successors.find(base[of] + rank[ask])
+        out = np.full(len(rank), -1)
+        out[ask] = np.where((place >= begin[of]) & (place < end[of]), place, -1)
+        return out
+
+    def code(self, place: np.ndarray) -> np.ndarray:
+        return np.where(place >= 0, self.codes[np.maximum(place, 0)], 0).astype(np.uint16) if len(self.codes) else np.zeros(len(place), np.uint16)
+
+
+def _rank(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.searchsorted(known, wanted)
+    at[at == len(known)] = 0
+    return np.where(known[at] == wanted, at, -1)
+
+
+class NgramTrie:
+    """One shard: first words by hash, the words of its n-grams by 40-bit hash, two levels of successors."""
+
+    FILES = ("contexts", "words", *(f"{level}_{x}" for level in ("bigrams", "trigrams") for x in ("pointers_low", "pointers_high", "low", "high", "codes")))
+
+    def __init__(self, contexts: np.ndarray, words: np.ndarray, bigrams: Level, trigrams: Level):
+        self.contexts, self.words, self.bigrams, self.trigrams = contexts, words, bigrams, trigrams
+
+    @classmethod
+    def build(cls, u: np.ndarray, v: np.ndarray, count: np.ndarray, parent: np.ndarray, w: np.ndarray, count3: np.ndarray) -> NgramTrie:
+        """From bigrams (u hash, v 40-bit hash, count) and trigrams (bigram's number, w, count), in any order, repeated at will."""
+        three = np.flatnonzero(count3 > 0)
+        parent, w, count3 = parent[three], w[three], count3[three].astype(np.int64)
+        used = count > 0
+        used[parent] = True
+        two = np.flatnonzero(used)
+        contexts, words = np.unique(u[two]), np.unique(np.concatenate([v[two], w]))
+        size = max(len(words), 1)
+        key = np.searchsorted(contexts, u[two]) * size + np.searchsorted(words, v[two])
+        nodes, same = np.unique(key, return_inverse=True)
+        total = np.bincount(same, count[two], len(nodes)).astype(np.int64)
+        number = np.zeros(len(u), np.int64)
+        number[two] = same
+        key3 = number[parent] * size + np.searchsorted(words, w)
+        order = np.argsort(key3)
+        key3 = key3[order]
+        first = np.flatnonzero(np.diff(key3, prepend=-1))
+        total3 = np.add.reduceat(count3[order], first) if len(first) else np.zeros(0, np.int64)
+        key3 = key3[first]
+        return cls(contexts, words, Level.build(len(contexts), nodes // size, nodes % size, total), Level.build(len(nodes), key3 // size, key3 % size, total3))
+
+    def find(self, u: np.ndarray, per_u: np.ndarray, v: np.ndarray, per_v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the bigrams (each u with its v's) and of the trigrams (each of those with its w's); 0: not there."""
+        node = self.bigrams.find(_rank(self.contexts, u), per_u, _rank(self.words, v))
+        return self.bigrams.code(node), self.trigrams.code(self.trigrams.find(node, per_v, _rank(self.words, w)))
 
     def save(self, folder: str) -> None:
         os.makedirs(folder, exist_ok=True)
-        for name, a in self.arrays().items():
+        arrays, sizes = [self.contexts, self.words], []
+        for level in (self.bigrams, self.trigrams):
+            p, s = level.pointers, level.successors
+            arrays += [p.low, p.high, s.low, s.high, level.codes]
+            sizes += [p.n, p.bits, s.n, s.bits]
+        for name, a in zip(self.FILES, arrays, strict=True):
             np.save(f"{folder}/{name}.npy", a)
         with open(f"{folder}/sizes.json", "w") as f:
-            json.dump([self.pointers.n, self.pointers.bits, self.successors.n, self.successors.bits], f)
+            json.dump(sizes, f)
 
     @classmethod
     def load(cls, folder: str) -> NgramTrie:
-        a = {name: np.load(f"{folder}/{name}.npy", mmap_mode="r") for name in cls.FILES}
+        contexts, words, *a = (np.load(f"{folder}/{name}.npy", mmap_mode="r") for name in cls.FILES)
         with open(f"{folder}/sizes.json") as f:
-            pn, pb, sn, sb = json.load(f)
-        out = cls(a["contexts"], a["counts"], a["words"], EliasFano(pn, pb, a["pointers_low"], a["pointers_high"]), EliasFano(sn, sb, a["successors_low"], a["successors_high"]), a["codes"])
-        out.open()
-        return out
+            n = json.load(f)
+        levels = [Level(EliasFano(n[4 * k], n[4 * k + 1], a[5 * k], a[5 * k + 1]), EliasFano(n[4 * k + 2], n[4 * k + 3], a[5 * k + 2], a[5 * k + 3]), a[5 * k + 4]) for k in (0, 1)]
+        return cls(contexts, words, *levels)
 
 
-def shares(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10.0 ** (-(codes.astype(float) - 1) / _STEP), 0.0)
+def _squeeze(a: np.ndarray) -> bytes:
+    """Small integers byte plane by byte plane, compressed, behind their number of bytes each and their count."""
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    raw = planes.tobytes()
+    return bytes([width]) + len(a).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-class Pairs:
-    """The different word pairs of a chunk, from its tokens' ranks in its sorted vocabulary.
+def _expand(raw: bytes) -> np.ndarray:
+    width, n = raw[0], int.from_bytes(raw[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(raw[9:], decompressed_size=width * n, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.ravel().view("<i8")
 
-    ``start``: the rank of the start, the context of each document's first token.
-    """
 
-    def __init__(self, token: np.ndarray, n_tokens: np.ndarray, start: int):
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[np.cumsum(n_tokens) - n_tokens] = start
-        pairs, self.pair = np.unique(before.astype(U) << U(32) | token.astype(U), return_inverse=True)
-        context = (pairs >> U(32)).astype(np.int64)
-        self.contexts, first = np.unique(context, return_index=True)
-        self.per_context = np.diff(np.append(first, len(pairs)))
-        self.words = (pairs & U(0xFFFFFFFF)).astype(np.int64)
+def _five(words: np.ndarray) -> bytes:
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _from_five(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.ravel().view("<u8").astype(U)
 
 
 class Chunk:
-    """Some documents as ranks in their vocabulary of word hashes, the start and the end included."""
+    """Some documents as numbers of their words, the more frequent the smaller."""
 
-    def __init__(self, ids: list, held: np.ndarray, hashes: np.ndarray, sizes: np.ndarray):
-        """``sizes``: words of each document; ``hashes``: of all words in a row."""
-        self.ids, self.held, self.n_tokens = ids, held, sizes + 1
-        token = np.insert(hashes, np.cumsum(sizes), END)
-        self.vocabulary, rank = np.unique(np.append(token, START), return_inverse=True)
-        self.token, self.start = rank[:-1], int(rank[-1])
-        self.end = int(np.searchsorted(self.vocabulary, END))
+    def __init__(self, ids: list, held: np.ndarray, sizes: np.ndarray, token: np.ndarray, vocabulary: np.ndarray):
+        """``sizes``: tokens of each document; ``vocabulary``: word hashes, start and end among them."""
+        self.ids, self.held, self.sizes, self.token, self.vocabulary = ids, held, sizes, token, vocabulary
+        self.start = int(np.flatnonzero(vocabulary == START)[0])
+        self.trained = np.repeat(~held, sizes)
+        #: words by hash, as they are sent
+        self.by_hash = np.argsort(vocabulary)
 
+    @classmethod
+    def of(cls, ids: list, hashes: np.ndarray, words: np.ndarray, modulus: int, remainder: int) -> Chunk:
+        held = np.array([i is not None and zlib.crc32(str(i).encode()) % modulus == remainder for i in ids], bool)
+        token = np.insert(hashes, np.cumsum(words), END)
+        vocabulary, number = np.unique(np.append(token, START), return_inverse=True)
+        order = np.argsort(-np.bincount(number), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(ids, held, words + 1, place[number[:-1]], vocabulary[order])
+
+    def counts(self) -> np.ndarray:
+        """Training counts by word; the start counts once per document."""
+        n = np.bincount(self.token[self.trained], minlength=len(self.vocabulary))
+        n[self.start] = int((~self.held).sum())
+        return n
+
+    def saved(self, number: int) -> tuple:
+        meta = json.dumps([self.ids, self.held.tolist(), self.sizes.tolist()]).encode()
+        return number, int(self.trained.sum()), pa.compress(meta, codec="zstd", asbytes=True), len(meta), _squeeze(self.token), self.vocabulary.tobytes()
 
-def shard_of(contexts: np.ndarray, shards: int) -> np.ndarray:
-    return ((contexts >> U(32)) * U(shards) >> U(32)).astype(np.int64)
+    @classmethod
+    def read(cls, meta: bytes, size: int, token: bytes, vocabulary: bytes) -> Chunk:
+        ids, held, sizes = json.loads(pa.decompress(meta, decompressed_size=size, codec="zstd", asbytes=True))
+        return cls(ids, np.array(held, bool), np.array(sizes, np.int64), _expand(token), np.frombuffer(vocabulary, U))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], modulus: int, remainder: int) -> Iterator[tuple[int, Chunk]]:
-    """The same chunks with the same numbers whenever a task runs over the same input partition."""
-    number = TaskContext.get().partitionId() << 32
-    ids, hashes, sizes, held = [], [], [], 0
-    for b in text_batches(batches):
-        w = Words(*buffers(b.column(1)), NOT_SPACE)
-        ids += b.column(0).to_pylist()
-        hashes.append(w.hashes())
-        sizes.append(w.counts)
-        held += len(w.buf)
-        if held >= CHUNK:
-            yield number, _chunk(ids, hashes, sizes, modulus, remainder)
-            number += 1
-            ids, hashes, sizes, held = [], [], [], 0
-    if ids:
-        yield number, _chunk(ids, hashes, sizes, modulus, remainder)
+_CHUNK = "chunk long, trained long, meta binary, size long, token binary, vocabulary binary"
+_BODY = ("meta", "size", "token", "vocabulary")
 
 
-def _chunk(ids: list, hashes: list, sizes: list, modulus: int, remainder: int) -> Chunk:
-    held = np.array([i is not None and zlib.crc32(str(i).encode()) % modulus == remainder for i in ids], bool)
-    return Chunk(ids, held, np.concatenate(hashes), np.concatenate(sizes))
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _six(words: np.ndarray) -> bytes:
-    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _cut(modulus: int, remainder: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        ids, hashes, words, held = [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            return _batch([Chunk.of(ids, np.concatenate(hashes), np.concatenate(words), modulus, remainder).saved(number)], _CHUNK)
+
+        for b in text_batches(batches):
+            w = Words(*buffers(b.column(1)), NOT_SPACE)
+            ids += b.column(0).to_pylist()
+            hashes.append(w.hashes())
+            words.append(w.counts)
+            held += len(w.buf) + b.num_rows
+            if held >= CHUNK:
+                yield chunk()
+                number += 1
+                ids, hashes, words, held = [], [], [], 0
+        if ids:
+            yield chunk()
 
+    return run
 
-def _from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.ravel().view("<u8").astype(U)
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Chunk]]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.column("chunk")[k].as_py(), Chunk.read(*(b.column(c)[k].as_py() for c in _BODY))
 
-def _small(ranks: np.ndarray) -> bytes:
-    """Ranks in three bytes each, or in four if three are too few."""
-    width = 3 if not len(ranks) or ranks.max() < 1 << 24 else 4
-    return ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
+def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return ((hashes >> U(32)) * U(shards) >> U(32)).astype(np.int64)
 
-def _from_small(raw: bytes, n: int) -> np.ndarray:
-    width = len(raw) // max(n, 1)
-    out = np.zeros((n, 4), np.uint8)
-    out[:, :width] = np.frombuffer(raw, np.uint8).reshape(n, width)
-    return out.ravel().view("<u4").astype(np.int64)
 
+# word counts
+
+_WORDS = "shard int, chunk long, hashes binary, counts binary"
+#: Answers and chunk bodies of one shape: kind 0 the body, 1 word counts, 2 codes; kind 3 totals, 4 words with many tokens.
+_TOLD = "chunk long, kind int, part int, a binary, b binary, c binary, d long"
 
-_ASK = "shard int, chunk long, contexts binary, fans binary, words binary, counts binary"
-_TELL = "chunk long, shard int, counts binary, fans binary, codes binary, tokens long, types long, once long, docs long"
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
+def _runs(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, from, to) of each run of a rising array."""
+    cuts = np.flatnonzero(np.diff(of, prepend=-1, append=-2))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+        yield int(of[a]), a, b
 
-def _ask(shards: int, modulus: int, remainder: int):
+
+def _ask_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, c in _chunks(batches, modulus, remainder):
-            p = Pairs(c.token, c.n_tokens, c.start)
-            count = np.bincount(p.pair[np.repeat(~c.held, c.n_tokens)], minlength=len(p.words))
-            contexts, words = c.vocabulary[p.contexts], c.vocabulary[p.words] & _LOW48
-            shard = shard_of(contexts, shards)
-            used, first = np.unique(shard, return_index=True)
-            cuts = np.append(first, len(shard))
-            pair_cuts = np.append(0, np.cumsum(p.per_context))[cuts]
-            rows = [
-                (int(s), number, contexts[a:b].tobytes(), p.per_context[a:b].astype("<u4").tobytes(), _six(words[x:y]), count[x:y].astype("<u4").tobytes())
-                for s, a, b, x, y in zip(used, cuts, cuts[1:], pair_cuts, pair_cuts[1:], strict=False)
-            ]
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["shard", "chunk", "contexts", "fans", "words", "counts"])
+        for number, c in _each(batches):
+            hashes, counts = c.vocabulary[c.by_hash], c.counts()[c.by_hash]
+            yield _batch([(s, number, hashes[a:b].tobytes(), _squeeze(counts[a:b])) for s, a, b in _runs(shard_of(hashes, shards))], _WORDS)
 
     return run
 
 
-def _answer(group: pa.Table) -> pa.Table:
-    """All asks of one shard -> a row of answers for each chunk, and one (chunk -1) of totals."""
-    asks = []
-    for r in group.select(["chunk", "contexts", "fans", "words", "counts"]).to_batches():
-        for k in range(r.num_rows):
-            chunk, contexts, fans, words, counts = (r.column(j)[k].as_py() for j in range(5))
-            asks.append((chunk, np.frombuffer(contexts, U), np.frombuffer(fans, "<u4").astype(np.int64), _from_six(words), np.frombuffer(counts, "<u4")))
-    trained = [(np.repeat(c, f)[n > 0], w[n > 0], n[n > 0]) for _, c, f, w, n in asks]
-    trie = NgramTrie.build(*(np.concatenate([t[j] for t in trained]) for j in range(3)))
-    trie.open()
-    shard = group.column("shard")[0].as_py()
-    rows = []
-    for chunk, contexts, fans, words, _ in asks:
-        count, fan, codes = trie.find(contexts, fans, words)
-        rows.append((chunk, shard, count.astype("<u4").tobytes(), fan.astype("<u4").tobytes(), codes.tobytes(), None, None, None, None))
-    real = trie.contexts != START
-    docs = int(trie.counts[~real].sum())
-    rows.append((-1, shard, None, None, None, int(trie.counts[real].sum()), int(real.sum()), int((trie.counts[real] == 1).sum()), docs))
-    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    names = ["chunk", "shard", "counts", "fans", "codes", "tokens", "types", "once", "docs"]
-    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-
-def _keep(modulus: int, remainder: int):
-    """What a chunk needs to put its answers together, as one row of the answers' shape (shard -1)."""
+def _answer_words(limit: int):
+    def run(group: pa.Table) -> pa.Table:
+        chunks, shard = group.column("chunk").to_pylist(), group.column("shard")[0].as_py()
+        hashes = [np.frombuffer(x, U) for x in group.column("hashes").to_pylist()]
+        known, same = np.unique(np.concatenate(hashes), return_inverse=True)
+        total = np.bincount(same, np.concatenate([_expand(x) for x in group.column("counts").to_pylist()]), len(known)).astype(np.int64)
+        rows = [(n, 1, shard, _squeeze(x), None, None, None) for n, x in zip(chunks, np.split(total[same], np.cumsum([len(h) for h in hashes])[:-1]), strict=True)]
+        real = total[known != START]
+        rows.append((-1, 3, shard, json.dumps([int(real.sum()), int((real > 0).sum()), int((real == 1).sum())]).encode(), None, None, None))
+        many = total > limit
+        rows.append((-1, 4, shard, known[many].tobytes(), total[many].tobytes(), None, None))
+        return pa.Table.from_batches([_batch(rows, _TOLD)])
 
+    return run
+
+
+# n-grams
+
+_ASK = "shard int, chunk long, contexts binary, runs binary, nodes binary, node_counts binary, fans binary, words binary, word_counts binary"
+
+
+class Grams:
+    """A chunk's different bigrams and trigrams, and where each is asked for."""
+
+    def __init__(self, c: Chunk, shards: int, hot: tuple[np.ndarray, np.ndarray, int]):
+        first = np.cumsum(c.sizes) - c.sizes
+        before = np.empty_like(c.token)
+        before[1:] = c.token[:-1]
+        before[first] = c.start
+        pairs, self.pair = np.unique(before << 32 | c.token, return_inverse=True)
+        self.u, self.v = pairs >> 32, pairs & 0xFFFFFFFF
+        inner = np.ones(len(c.token), bool)
+        inner[first] = False
+        self.inner = np.flatnonzero(inner)
+        triples, self.triple = np.unique(self.pair[self.inner - 1] << 32 | c.token[self.inner], return_inverse=True)
+        self.of, self.w = triples >> 32, triples & 0xFFFFFFFF
+        # words with many tokens are split by their successors, pairs of two of them by theirs
+        at = _rank(hot[0], c.vocabulary)
+        parts = np.where(at >= 0, 1 + hot[1][at] // hot[2], 1) if len(hot[0]) else np.ones(len(c.vocabulary), np.int64)
+        h = c.vocabulary
+        split = (h[self.v] % parts[self.u].astype(U)).astype(U)
+        self.shard = shard_of(mix(h[self.u] + split), shards)
+        splits = np.minimum(parts[self.u], parts[self.v])[self.of].astype(U)
+        shard3 = self.shard[self.of]
+        far = np.flatnonzero(splits > 1)
+        node = self.of.copy()
+        extra = np.zeros(0, np.int64)
+        if len(far):
+            p = self.of[far]
+            shard3[far] = shard_of(mix(mix(h[self.u[p]] + U(1)) ^ mix(h[self.v[p]] + h[self.w[far]] % splits[far])), shards)
+            extra, which = np.unique(p << 32 | shard3[far], return_inverse=True)
+            node[far] = len(self.u) + which
+        # nodes: every bigram, and a bigram again in each other shard that has some of its trigrams
+        of_node, node_shard = np.append(np.arange(len(self.u)), extra >> 32), np.append(self.shard, extra & 0xFFFFFFFF)
+        self.node_order = np.argsort(node_shard, kind="stable")
+        self.of_node, self.node_shard = of_node[self.node_order], node_shard[self.node_order]
+        place = np.empty(len(of_node), np.int64)
+        place[self.node_order] = np.arange(len(of_node))
+        self.gram_order = np.argsort(place[node], kind="stable")
+        self.node_of = place[node][self.gram_order]
+        self.bigrams = len(self.u)
+
+    def rows(self, c: Chunk, number: int) -> list[tuple]:
+        count = np.bincount(self.pair[c.trained], minlength=self.bigrams)
+        count3 = np.bincount(self.triple[c.trained[self.inner]], minlength=len(self.w))[self.gram_order]
+        node_count = np.where(self.node_order < self.bigrams, count[self.of_node], 0)
+        u, v, w = c.vocabulary[self.u[self.of_node]], c.vocabulary[self.v[self.of_node]] & _LOW40, c.vocabulary[self.w[self.gram_order]] & _LOW40
+        fans = np.bincount(self.node_of, minlength=len(u))
+        ends = np.append(0, np.cumsum(fans))
+        out = []
+        for s, a, b in _runs(self.node_shard):
+            new = np.flatnonzero(np.append(True, u[a + 1 : b] != u[a : b - 1]))
+            x, y = ends[a], ends[b]
+            out.append((s, number, u[a:b][new].tobytes(), _squeeze(np.diff(np.append(new, b - a))), _five(v[a:b]), _squeeze(node_count[a:b]), _squeeze(fans[a:b]), _five(w[x:y]), _squeeze(count3[x:y])))
+        return out
+
+
+def _ask(shards: int, hot: tuple[np.ndarray, np.ndarray, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, c in _chunks(batches, modulus, remainder):
-            ids = json.dumps([c.ids, c.held.tolist(), c.n_tokens.tolist(), c.start, c.end]).encode()
-            row = (number, -1, ids, b"", _small(c.token), None, None, None, None)
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk", "shard", "counts", "fans", "codes", "tokens", "types", "once", "docs"])
+        for number, c in _each(batches):
+            yield _batch(Grams(c, shards, hot).rows(c, number), _ASK)
 
     return run
 
 
-def _score(tokens: int, types: int, once: int, docs: int, discount: float):
-    """``tokens``, ``types``, ``once``: of training, the end included; ``docs``: how often the end came."""
+def _answer(group: pa.Table) -> pa.Table:
+    """All asks of one shard -> a row of codes for each chunk."""
+    asks = []
+    for r in group.to_batches():
+        for k in range(r.num_rows):
+            u, runs, v, n2, fans, w, n3 = (r.column(j)[k].as_py() for j in range(2, 9))
+            asks.append((r.column(1)[k].as_py(), np.frombuffer(u, U), _expand(runs), _from_five(v), _expand(n2), _expand(fans), _from_five(w), _expand(n3)))
+    shift = np.cumsum([0, *(len(a[3]) for a in asks)])
+    trie = NgramTrie.build(
+        np.concatenate([np.repeat(a[1], a[2]) for a in asks]),
+        *(np.concatenate([a[j] for a in asks]) for j in (3, 4)),
+        np.concatenate([np.repeat(np.arange(len(a[3])) + s, a[5]) for a, s in zip(asks, shift, strict=False)]),
+        *(np.concatenate([a[j] for a in asks]) for j in (6, 7)),
+    )
+    shard, rows = group.column("shard")[0].as_py(), []
+    for number, u, runs, v, _, fans, w, _ in asks:
+        rows.append((number, 2, shard, *(_squeeze(x) for x in trie.find(u, runs, v, fans, w)), None, None))
+    return pa.Table.from_batches([_batch(rows, _TOLD)])
+
+
+# scores
+
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score(tokens: int, types: int, once: int, shards: int, hot: tuple[np.ndarray, np.ndarray, int]):
+    """``tokens``, ``types``, ``once``: of training, the end included."""
     unseen = once / tokens if tokens else 1.0
     unseen = min(max(unseen, 0.5 / (tokens + 1)), 1.0 if not tokens else 0.5)
 
     def run(group: pa.Table) -> pa.Table:
-        parts = sorted(zip(*(group.column(n).to_pylist() for n in ("shard", "counts", "fans", "codes")), strict=True), key=lambda x: x[0])
-        _, ids, _, token = parts[0]
-        ids, held, n_tokens, start, end = json.loads(ids)
-        n_tokens = np.array(n_tokens, np.int64)
-        p = Pairs(_from_small(token, int(n_tokens.sum())), n_tokens, start)
-        count = np.frombuffer(b"".join(x[1] for x in parts[1:]), "<u4").astype(float)
-        fan = np.frombuffer(b"".join(x[2] for x in parts[1:]), "<u4").astype(float)
-        code = np.frombuffer(b"".join(x[3] for x in parts[1:]), "<u2")
-        # every word of the chunk but the end is a context in it
-        at = np.minimum(np.searchsorted(p.contexts, p.words), len(p.contexts) - 1)
-        of_word = np.where(p.words == end, docs, count[at])
-        single = np.where(of_word > 0, of_word / max(tokens, 1) * (1 - unseen), unseen)
-        back = np.where(count > 0, discount * fan / np.maximum(count, 1), 1.0)
-        model = np.log10(shares(code) + np.repeat(back, p.per_context) * single)
-        base = np.log10((of_word + 0.5) / (tokens + 0.5 * (types + 1)))
-        first = np.cumsum(n_tokens) - n_tokens
-        sums = [np.add.reduceat(x[p.pair], first) for x in (model, base, (of_word > 0).astype(np.int64))]
-        columns = [ids, held, n_tokens.tolist(), sums[2], [tokens] * len(ids), sums[1], sums[0]]
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _SCORED.split(", ")])
+        rows = sorted(zip(*(group.column(n).to_pylist() for n in ("kind", "part", "a", "b", "c", "d")), strict=True), key=lambda x: x[:2])
+        c = Chunk.read(rows[0][2], rows[0][5], rows[0][3], rows[0][4])
+        count = np.empty(len(c.vocabulary))
+        count[c.by_hash] = np.concatenate([_expand(r[2]) for r in rows if r[0] == 1])
+        g = Grams(c, shards, hot)
+        two, three = (np.concatenate([_expand(r[j]) for r in rows if r[0] == 2] or [np.zeros(0, np.int64)]) for j in (2, 3))
+        nodes = np.zeros(len(g.node_order))
+        nodes[g.node_order] = counts_of(two)
+        two = nodes[: g.bigrams]
+        grams = np.zeros(len(g.w))
+        grams[g.gram_order] = counts_of(three)
+        single = np.where(count > 0, count / max(tokens, 1) * (1 - unseen), unseen)
+        before = count[g.u]
+        belief = trust(before, *TRUST2)
+        pair = belief * two / np.maximum(before, 1) + (1 - belief) * single[g.v]
+        # the trigram's own bigram (v, w) is the pair at the same token
+        belief, share = trust(two, *TRUST3)[g.of], grams / np.maximum(two[g.of], 1)
+        p = pair[g.pair]
+        p[g.inner] = (belief * share)[g.triple] + (1 - belief)[g.triple] * p[g.inner]
+        base = np.log10((count + 0.5) / (tokens + 0.5 * (types + 1)))
+        first = np.cumsum(c.sizes) - c.sizes
+        known, low, high = (np.add.reduceat(x, first) for x in ((count > 0)[c.token].astype(np.int64), base[c.token], np.log10(p)))
+        return pa.Table.from_batches([_batch(list(zip(c.ids, c.held.tolist(), c.sizes.tolist(), known.tolist(), [tokens] * len(c.ids), low.tolist(), high.tolist(), strict=True)), _SCORED)])
 
     return run
 
 
-def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, discount: float = DISCOUNT, shards: int | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, shards: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; one row per document row.
 
     Learns from the documents whose crc32(doc_id as text) modulo ``modulus`` is not ``remainder``.
     """
-    rows = id_text(docs)
-    if shards is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        shards = max(4, -(-size // SHARD_BYTES))
-    asked = rows.mapInArrow(_ask(shards, modulus, remainder), _ASK)
-    told = cut(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answer, _TELL))
-    t = told.where("chunk = -1").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "once", "docs")]).first()
-    words, types, once, ends = t
-    totals = (words + ends, types + (ends > 0), once + (ends == 1), ends)
-    kept = rows.mapInArrow(_keep(modulus, remainder), _TELL)
-    return kept.unionByName(told.where("chunk >= 0")).groupBy("chunk").applyInArrow(_score(*totals, discount), _SCORED)
+    spark, rows = docs.sparkSession, id_text(docs)
+    folder = f"{ensure_checkpoint_dir(spark)}/lm-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str, schema: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = shards or max(4, -(-size // SHARD_BYTES))
+    word_shards = max(2, -(-size // WORD_SHARD_BYTES))
+    chunks = kept(rows.mapInArrow(_cut(modulus, remainder), _CHUNK), "chunks", _CHUNK)
+    limit = max(HOT, (chunks.agg(F.sum("trained")).first()[0] or 0) >> 16)
+    words = kept(chunks.mapInArrow(_ask_words(word_shards), _WORDS).groupBy("shard").applyInArrow(_answer_words(limit), _TOLD), "words", _TOLD)
+    tokens, types, once = (sum(x) for x in zip([0] * 3, *(json.loads(r["a"]) for r in words.where("kind = 3").select("a").collect()), strict=True))
+    # at most 65536 words have more than the limit
+    many = [(np.frombuffer(r["a"], U), np.frombuffer(r["b"], np.int64)) for r in words.where("kind = 4").select("a", "b").collect()]
+    names, counts = (np.concatenate([np.zeros(0, t), *(m[j] for m in many)]) for j, t in enumerate((U, np.int64)))
+    hot = names[np.argsort(names)], counts[np.argsort(names)], limit
+    told = kept(chunks.mapInArrow(_ask(shards, hot), _ASK).repartition(shards, "shard").groupBy("shard").applyInArrow(_answer, _TOLD), "told", _TOLD)
+    body = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("part"), F.col("meta").alias("a"), F.col("token").alias("b"), F.col("vocabulary").alias("c"), F.col("size").alias("d"))
+    return body.unionByName(words.where("kind = 1")).unionByName(told).groupBy("chunk").applyInArrow(_score(tokens, types, once, shards, hot), _SCORED)
