@@ -28,8 +28,8 @@ range of the hashes of u; a word with over ``HOT`` tokens (or 1/65536 of all, if
 65536 words are sent to all tasks) is split by v, and a pair of two such words by w, so that no word or
 pair fills a shard.
 
-Words are told apart by 64-bit hashes, successors within a trie by 40 bits: a look-up of a word that isn't
-there finds one of n words of a shard with a chance of n / 2^40 (3e-7 for 300,000) and then needs the same context.
+Words are told apart by 64-bit hashes, within a shard by their leading bits: 48 of first words, 32 of successors. A
+look-up of an n-gram that isn't there finds one of its context's n successors with a chance of n / 2^32 (2e-6 for 10,000).
 
 Defined results: a null or empty text is its end alone; a null doc_id is not held out; repeated rows count
 and score each; with nothing to train on every score is that of unseen words (s = 1); other columns are
@@ -53,10 +53,11 @@ from pyspark.sql import functions as F
 from .common import ensure_checkpoint_dir, id_text, text_batches
 from .textbytes import NOT_SPACE, U, Words, buffers, mix
 
-CHUNK, SHARD_BYTES, WORD_SHARD_BYTES = 8 << 20, 12 << 20, 64 << 20
+CHUNK, SHARD_BYTES, WORD_SHARD_BYTES = 8 << 20, 6 << 20, 32 << 20
 HOT = 1 << 20
 START, END = U(0x5354415254), U(0x454E44454E44)
-_LOW40 = U((1 << 40) - 1)
+#: Leading bits of word hashes that a trie keeps: 48 of first words, 32 of successors.
+_TOP48, _TOP32 = U(16), U(32)
 _STEP = 4096.0
 #: (a, b) of ``trust`` for bigrams and trigrams.
 TRUST2, TRUST3 = (0.9, 0.25), (0.85, 0.5)
@@ -133,24 +134,27 @@ class EliasFano:
         high, low = values >> self.bits, values & ((1 << self.bits) - 1)
         ask = np.flatnonzero(high < self.zeros[-1])
         high, low = high[ask], low[ask]
-        # values of one upper part are the ones between two zeros
-        word = np.maximum(np.searchsorted(self.zeros, high - 1, "right") - 1, 0)
-        zero = 64 * word + _nth_one(~self.high[word], high - 1 - self.zeros[word])
-        bit = np.where(high > 0, zero + 1, 0)
-        place = bit - high
-        bytes_ = self.high.view(np.uint8)
-        on = np.arange(len(ask))
+        # values of one upper part are the ones between two zeros: a binary search of their lower bits
+        place = np.where(high > 0, self._zero(high - 1) + 1, 0) - high
+        end = self._zero(high) - high
+        last = end.copy()
+        on = np.flatnonzero(place < end)
         while len(on):
-            there = (bytes_[bit[on] >> 3] >> (bit[on] & 7).astype(np.uint8) & 1).astype(bool)
-            on = on[there]
-            mine = self._lows(place[on])
-            hit = mine == low[on]
-            out[ask[on[hit]]] = place[on[hit]]
-            on = on[mine < low[on]]
-            place[on] += 1
-            bit[on] += 1
+            middle = place[on] + end[on] >> 1
+            less = self._lows(middle) < low[on]
+            place[on[less]] = middle[less] + 1
+            end[on[~less]] = middle[~less]
+            on = on[place[on] < end[on]]
+        on = np.flatnonzero(place < last)
+        hit = on[self._lows(place[on]) == low[on]]
+        out[ask[hit]] = place[hit]
         return out
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Where the k-th zero of the upper bits is."""
+        word = np.maximum(np.searchsorted(self.zeros, k, "right") - 1, 0)
+        return 64 * word + _nth_one(~self.high[word], k - self.zeros[word])
+
     def decode(self) -> np.ndarray:
         return self.at(np.arange(self.n))
 
@@ -197,7 +201,7 @@ def _rank(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 
 class NgramTrie:
-    """One shard: first words by hash, the words of its n-grams by 40-bit hash, two levels of successors."""
+    """One shard: first words by hash, the words of its n-grams by 32 bits of it, two levels of successors."""
 
     FILES = ("contexts", "words", *(f"{level}_{x}" for level in ("bigrams", "trigrams") for x in ("pointers_low", "pointers_high", "low", "high", "codes")))
 
@@ -206,7 +210,7 @@ class NgramTrie:
 
     @classmethod
     def build(cls, u: np.ndarray, v: np.ndarray, count: np.ndarray, parent: np.ndarray, w: np.ndarray, count3: np.ndarray) -> NgramTrie:
-        """From bigrams (u hash, v 40-bit hash, count) and trigrams (bigram's number, w, count), in any order, repeated at will."""
+        """From bigrams (u, v, count) and trigrams (bigram's number, w, count), in any order, repeated at will."""
         three = np.flatnonzero(count3 > 0)
         parent, w, count3 = parent[three], w[three], count3[three].astype(np.int64)
         used = count > 0
@@ -269,26 +273,36 @@ def _expand(raw: bytes) -> np.ndarray:
     return out.ravel().view("<i8")
 
 
-def _five(words: np.ndarray) -> bytes:
-    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _six(words: np.ndarray) -> bytes:
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
 
-def _from_five(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+def _from_six(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
     return out.ravel().view("<u8").astype(U)
 
 
+def _four(words: np.ndarray) -> bytes:
+    return words.astype("<u4").tobytes()
+
+
+def _from_four(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4").astype(U)
+
+
 class Chunk:
     """Some documents as numbers of their words, the more frequent the smaller."""
 
-    def __init__(self, ids: list, held: np.ndarray, sizes: np.ndarray, token: np.ndarray, vocabulary: np.ndarray):
-        """``sizes``: tokens of each document; ``vocabulary``: word hashes, start and end among them."""
-        self.ids, self.held, self.sizes, self.token, self.vocabulary = ids, held, sizes, token, vocabulary
-        self.start = int(np.flatnonzero(vocabulary == START)[0])
+    def __init__(self, ids: list, held: np.ndarray, sizes: np.ndarray, start: int, token: np.ndarray, high: np.ndarray, low: np.ndarray | None):
+        """``sizes``: tokens of each document; ``start``: the start's number; ``high`` and ``low``: halves of the words' hashes."""
+        self.ids, self.held, self.sizes, self.start, self.token, self.high, self.low = ids, held, sizes, start, token, high, low
         self.trained = np.repeat(~held, sizes)
-        #: words by hash, as they are sent
-        self.by_hash = np.argsort(vocabulary)
+        #: words by the upper halves of their hashes, as they are sent
+        self.by_hash = np.argsort(high, kind="stable")
+
+    def hashes(self) -> np.ndarray:
+        return (self.high.astype(U) << U(32) | self.low)[self.by_hash]
 
     @classmethod
     def of(cls, ids: list, hashes: np.ndarray, words: np.ndarray, modulus: int, remainder: int) -> Chunk:
@@ -298,26 +312,27 @@ class Chunk:
         order = np.argsort(-np.bincount(number), kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        return cls(ids, held, words + 1, place[number[:-1]], vocabulary[order])
+        vocabulary = vocabulary[order]
+        return cls(ids, held, words + 1, int(place[number[-1]]), place[number[:-1]], (vocabulary >> U(32)).astype(np.uint32), vocabulary.astype(np.uint32))
 
     def counts(self) -> np.ndarray:
         """Training counts by word; the start counts once per document."""
-        n = np.bincount(self.token[self.trained], minlength=len(self.vocabulary))
+        n = np.bincount(self.token[self.trained], minlength=len(self.high))
         n[self.start] = int((~self.held).sum())
         return n
 
     def saved(self, number: int) -> tuple:
-        meta = json.dumps([self.ids, self.held.tolist(), self.sizes.tolist()]).encode()
-        return number, int(self.trained.sum()), pa.compress(meta, codec="zstd", asbytes=True), len(meta), _squeeze(self.token), self.vocabulary.tobytes()
+        meta = json.dumps([self.ids, self.held.tolist(), self.sizes.tolist(), self.start]).encode()
+        return number, int(self.trained.sum()), pa.compress(meta, codec="zstd", asbytes=True), len(meta), _squeeze(self.token), self.high.tobytes(), self.low.tobytes()
 
     @classmethod
-    def read(cls, meta: bytes, size: int, token: bytes, vocabulary: bytes) -> Chunk:
-        ids, held, sizes = json.loads(pa.decompress(meta, decompressed_size=size, codec="zstd", asbytes=True))
-        return cls(ids, np.array(held, bool), np.array(sizes, np.int64), _expand(token), np.frombuffer(vocabulary, U))
+    def read(cls, meta: bytes, size: int, token: bytes, high: bytes, low: bytes | None = None) -> Chunk:
+        ids, held, sizes, start = json.loads(pa.decompress(meta, decompressed_size=size, codec="zstd", asbytes=True))
+        return cls(ids, np.array(held, bool), np.array(sizes, np.int64), start, _expand(token), np.frombuffer(high, np.uint32), None if low is None else np.frombuffer(low, np.uint32))
 
 
-_CHUNK = "chunk long, trained long, meta binary, size long, token binary, vocabulary binary"
-_BODY = ("meta", "size", "token", "vocabulary")
+_CHUNK = "chunk long, trained long, meta binary, size long, token binary, high binary, low binary"
+_BODY = ("meta", "size", "token", "high", "low")
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -378,7 +393,7 @@ def _runs(of: np.ndarray) -> Iterator[tuple[int, int, int]]:
 def _ask_words(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, c in _each(batches):
-            hashes, counts = c.vocabulary[c.by_hash], c.counts()[c.by_hash]
+            hashes, counts = c.hashes(), c.counts()[c.by_hash]
             yield _batch([(s, number, hashes[a:b].tobytes(), _squeeze(counts[a:b])) for s, a, b in _runs(shard_of(hashes, shards))], _WORDS)
 
     return run
@@ -409,23 +424,28 @@ class Grams:
     """A chunk's different bigrams and trigrams, and where each is asked for."""
 
     def __init__(self, c: Chunk, shards: int, hot: tuple[np.ndarray, np.ndarray, int]):
+        # words by hash, so that what is asked comes in order
+        rank = np.empty(len(c.by_hash), np.int64)
+        rank[c.by_hash] = np.arange(len(rank))
+        token = self.token = rank[c.token]
         first = np.cumsum(c.sizes) - c.sizes
-        before = np.empty_like(c.token)
-        before[1:] = c.token[:-1]
-        before[first] = c.start
-        pairs, self.pair = np.unique(before << 32 | c.token, return_inverse=True)
+        before = np.empty_like(token)
+        before[1:] = token[:-1]
+        before[first] = rank[c.start]
+        pairs, self.pair = np.unique(before << 32 | token, return_inverse=True)
         self.u, self.v = pairs >> 32, pairs & 0xFFFFFFFF
         inner = np.ones(len(c.token), bool)
         inner[first] = False
         self.inner = np.flatnonzero(inner)
-        triples, self.triple = np.unique(self.pair[self.inner - 1] << 32 | c.token[self.inner], return_inverse=True)
+        triples, self.triple = np.unique(self.pair[self.inner - 1] << 32 | token[self.inner], return_inverse=True)
         self.of, self.w = triples >> 32, triples & 0xFFFFFFFF
         # words with many tokens are split by their successors, pairs of two of them by theirs
-        at = _rank(hot[0], c.vocabulary)
-        parts = np.where(at >= 0, 1 + hot[1][at] // hot[2], 1) if len(hot[0]) else np.ones(len(c.vocabulary), np.int64)
-        h = c.vocabulary
+        # only the upper halves tell where a word goes: a chunk comes back without the lower ones
+        h = c.high[c.by_hash].astype(U)
+        at = _rank(hot[0], h)
+        parts = np.where(at >= 0, 1 + hot[1][at] // hot[2], 1) if len(hot[0]) else np.ones(len(h), np.int64)
         split = (h[self.v] % parts[self.u].astype(U)).astype(U)
-        self.shard = shard_of(mix(h[self.u] + split), shards)
+        self.shard = shard_of(mix(mix(h[self.u]) + split), shards)
         splits = np.minimum(parts[self.u], parts[self.v])[self.of].astype(U)
         shard3 = self.shard[self.of]
         far = np.flatnonzero(splits > 1)
@@ -450,14 +470,15 @@ class Grams:
         count = np.bincount(self.pair[c.trained], minlength=self.bigrams)
         count3 = np.bincount(self.triple[c.trained[self.inner]], minlength=len(self.w))[self.gram_order]
         node_count = np.where(self.node_order < self.bigrams, count[self.of_node], 0)
-        u, v, w = c.vocabulary[self.u[self.of_node]], c.vocabulary[self.v[self.of_node]] & _LOW40, c.vocabulary[self.w[self.gram_order]] & _LOW40
+        h = c.hashes()
+        u, v, w = h[self.u[self.of_node]] >> _TOP48, h[self.v[self.of_node]] >> _TOP32, h[self.w[self.gram_order]] >> _TOP32
         fans = np.bincount(self.node_of, minlength=len(u))
         ends = np.append(0, np.cumsum(fans))
         out = []
         for s, a, b in _runs(self.node_shard):
             new = np.flatnonzero(np.append(True, u[a + 1 : b] != u[a : b - 1]))
             x, y = ends[a], ends[b]
-            out.append((s, number, u[a:b][new].tobytes(), _squeeze(np.diff(np.append(new, b - a))), _five(v[a:b]), _squeeze(node_count[a:b]), _squeeze(fans[a:b]), _five(w[x:y]), _squeeze(count3[x:y])))
+            out.append((s, number, _six(u[a:b][new]), _squeeze(np.diff(np.append(new, b - a))), _four(v[a:b]), _squeeze(node_count[a:b]), _squeeze(fans[a:b]), _four(w[x:y]), _squeeze(count3[x:y])))
         return out
 
 
@@ -475,7 +496,7 @@ def _answer(group: pa.Table) -> pa.Table:
     for r in group.to_batches():
         for k in range(r.num_rows):
             u, runs, v, n2, fans, w, n3 = (r.column(j)[k].as_py() for j in range(2, 9))
-            asks.append((r.column(1)[k].as_py(), np.frombuffer(u, U), _expand(runs), _from_five(v), _expand(n2), _expand(fans), _from_five(w), _expand(n3)))
+            asks.append((r.column(1)[k].as_py(), _from_six(u), _expand(runs), _from_four(v), _expand(n2), _expand(fans), _from_four(w), _expand(n3)))
     shift = np.cumsum([0, *(len(a[3]) for a in asks)])
     trie = NgramTrie.build(
         np.concatenate([np.repeat(a[1], a[2]) for a in asks]),
@@ -502,8 +523,7 @@ def _score(tokens: int, types: int, once: int, shards: int, hot: tuple[np.ndarra
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(zip(*(group.column(n).to_pylist() for n in ("kind", "part", "a", "b", "c", "d")), strict=True), key=lambda x: x[:2])
         c = Chunk.read(rows[0][2], rows[0][5], rows[0][3], rows[0][4])
-        count = np.empty(len(c.vocabulary))
-        count[c.by_hash] = np.concatenate([_expand(r[2]) for r in rows if r[0] == 1])
+        count = np.concatenate([_expand(r[2]) for r in rows if r[0] == 1]).astype(float)
         g = Grams(c, shards, hot)
         two, three = (np.concatenate([_expand(r[j]) for r in rows if r[0] == 2] or [np.zeros(0, np.int64)]) for j in (2, 3))
         nodes = np.zeros(len(g.node_order))
@@ -521,7 +541,7 @@ def _score(tokens: int, types: int, once: int, shards: int, hot: tuple[np.ndarra
         p[g.inner] = (belief * share)[g.triple] + (1 - belief)[g.triple] * p[g.inner]
         base = np.log10((count + 0.5) / (tokens + 0.5 * (types + 1)))
         first = np.cumsum(c.sizes) - c.sizes
-        known, low, high = (np.add.reduceat(x, first) for x in ((count > 0)[c.token].astype(np.int64), base[c.token], np.log10(p)))
+        known, low, high = (np.add.reduceat(x, first) for x in ((count > 0)[g.token].astype(np.int64), base[g.token], np.log10(p)))
         return pa.Table.from_batches([_batch(list(zip(c.ids, c.held.tolist(), c.sizes.tolist(), known.tolist(), [tokens] * len(c.ids), low.tolist(), high.tolist(), strict=True)), _SCORED)])
 
     return run
@@ -549,7 +569,7 @@ def score_documents(docs: DataFrame, modulus: int = 5, remainder: int = 1, shard
     # at most 65536 words have more than the limit
     many = [(np.frombuffer(r["a"], U), np.frombuffer(r["b"], np.int64)) for r in words.where("kind = 4").select("a", "b").collect()]
     names, counts = (np.concatenate([np.zeros(0, t), *(m[j] for m in many)]) for j, t in enumerate((U, np.int64)))
-    hot = names[np.argsort(names)], counts[np.argsort(names)], limit
-    told = kept(chunks.mapInArrow(_ask(shards, hot), _ASK).repartition(shards, "shard").groupBy("shard").applyInArrow(_answer, _TOLD), "told", _TOLD)
-    body = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("part"), F.col("meta").alias("a"), F.col("token").alias("b"), F.col("vocabulary").alias("c"), F.col("size").alias("d"))
+    hot = names[np.argsort(names)] >> U(32), counts[np.argsort(names)], limit
+    told = chunks.mapInArrow(_ask(shards, hot), _ASK).repartition(shards, "shard").groupBy("shard").applyInArrow(_answer, _TOLD)
+    body = chunks.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("part"), F.col("meta").alias("a"), F.col("token").alias("b"), F.col("high").alias("c"), F.col("size").alias("d"))
     return body.unionByName(words.where("kind = 1")).unionByName(told).groupBy("chunk").applyInArrow(_score(tokens, types, once, shards, hot), _SCORED)
