@@ -69,4 +69,4 @@ def link_harvest(spark, d):
 
 @query("SELECT lang, list_sort(list(n_chars))[(count(*) // 2) + 1] AS upper_median, count(*) AS n FROM documents GROUP BY lang")
 def length_stats(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(T.upper_median(F.col("n_chars")).alias("upper_median"), F.count("*").alias("n"))
+    return table(spark, d, "documents").groupBy("lang").agg(T.upper_median("n_chars").alias("upper_median"), F.count("*").alias("n"))

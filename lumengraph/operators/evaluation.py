@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,26 +53,34 @@ def no_answer(body: Column) -> Column:
     return F.struct(denial.alias("denial"), affirmed.alias("affirmative"), lacking.alias("insufficient"), (denial & ~affirmed & ~lacking).cast("double").alias("correct"))
 
 
-def entity_cover(text: str, surfaces: list[tuple[str, str]], allowed_short: set[str]) -> set[str]:
-    """Owners of surfaces in the text, longest first, not inside a covered span; two-character ones if allowed."""
-    covered = [False] * len(text)
+def entity_cover(text: str, surfaces: list[tuple[str, str]], allowed_short: set[str], titles: bool = False) -> set[str]:
+    """Owners of surfaces in the text, longest surface first; a place inside one that a longer surface took doesn't count.
+
+    Text and surfaces are compared in normal form. Surfaces of two characters count for owners in ``allowed_short``
+    (owner ids). With ``titles`` what stands in 《》 names its owners wherever it is.
+    """
+    plain = _normal(text)
+    quoted = {_normal(t) for t in re.findall("《([^》]+)》", text)} if titles else set()
+    owners: dict[str, set[str]] = {}
+    for surface, owner in surfaces:
+        owners.setdefault(_normal(surface), set()).add(owner)
+    taken: list[range] = []
     found: set[str] = set()
-    for surface, owner in sorted(surfaces, key=lambda x: (-len(x[0]), x[0], x[1])):
-        if len(surface) < 2 or (len(surface) == 2 and surface not in allowed_short):
+    for surface in sorted(owners, key=lambda x: (-len(x), x)):
+        if len(surface) < 2 or (len(surface) == 2 and owners[surface].isdisjoint(allowed_short)):
             continue
-        at, hit, spans = text.find(surface), False, []
-        while at >= 0:
-            if not all(covered[at : at + len(surface)]) or (surface, at) in spans:
-                spans.append((surface, at))
-                hit = True
-            at = text.find(surface, at + len(surface))
-        if hit:
-            found.add(owner)
-            for _, a in spans:
-                covered[a : a + len(surface)] = [True] * len(surface)
+        places = [range(m.start(), m.end()) for m in re.finditer(re.escape(surface), plain)]
+        free = [p for p in places if not any(t.start <= p.start and p.stop <= t.stop for t in taken)]
+        if free or (not places and surface in quoted):
+            found |= owners[surface]
+            taken += free
     return found
 
 
+def _normal(text: str) -> str:
+    return re.sub(r"[\s\W_]+", "", unicodedata.normalize("NFKC", text).casefold())
+
+
 def path_completeness(path_edges: DataFrame, retrieved: DataFrame, key: str = "question_id") -> DataFrame:
     """(key, edge_recall, path_rate): share of gold edges and of wholly retrieved gold paths; direction-blind.
 

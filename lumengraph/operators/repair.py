@@ -17,11 +17,12 @@ PROOFS = 64
 
 
 def in_scope(plan: Plan, edges: set[Edge]) -> set[Edge]:
-    """Edges (head, type, tail) that matter to the plan."""
+    """Edges (head, type, tail) that matter to the plan: parts and directions, no other relations."""
     if plan.kind == "directors":
         return {e for e in edges if e[2] in plan.subjects and e[1] == "directed"}
-    films = {t for h, _, t in edges if h in plan.subjects}
-    return {e for e in edges if e[0] in plan.subjects or e[2] in films}
+    told = {e for e in edges if e[1] in ("acted_in", "directed")}
+    films = {t for h, _, t in told if h in plan.subjects}
+    return {e for e in told if e[0] in plan.subjects or e[2] in films}
 
 
 def proofs(plan: Plan, edges: set[Edge], limit: int = PROOFS) -> dict[str, list[tuple[Edge, ...]]]:
@@ -58,71 +59,76 @@ def proofs(plan: Plan, edges: set[Edge], limit: int = PROOFS) -> dict[str, list[
     return out
 
 
+# What a search for a missing edge says.
+OF_ROLE = {"acted_in": "出演 主演", "directed": "执导 导演"}
+OF_FILMS = {"acted_in": "参演 影片 片单", "directed": "执导 影片 片单"}
+TOGETHER = {"cofilm": "{0} {1} 共同出演 电影", "director_actor": "{0} 执导 {1} 出演 电影"}
+DIRECTORS, CAST, CAST_OF = "《{0}》 全部导演 执导", "《{0}》 演员 主演 配音", "{0} 执导 电影 演员 主演"
+#: The roles that a plan's subjects have, by kind; a kind that isn't listed has directors.
+ROLES = {"cofilm": ("acted_in", "acted_in"), "director_actor": ("directed", "acted_in")}
+
+
+def _almost(plan: Plan, edges: set[Edge]) -> list[str]:
+    """People with a part but without a proof, those of most films first."""
+    films = pd.Series({p: len({t for h, k, t in edges if h == p and k == "acted_in"}) for p in {h for h, k, _ in edges if k == "acted_in"} - set(proofs(plan, edges))}, dtype="int64")
+    return sorted(films.index, key=lambda p: (-films[p], p))
+
+
 def queries(plan: Plan, edges: set[Edge], names: dict[str, str], max_queries: int = 32, enhanced: bool = True) -> list[str]:
     """Search texts for what the visible edges may lack, most promising first, each once."""
-    label = {"acted_in": "出演 主演", "directed": "执导 导演"}
-    who = [names[s] for s in plan.subjects]
     if plan.kind == "directors":
-        return [f"《{who[0]}》 全部导演 执导"]
-    if plan.kind == "cofilm":
-        roles, lead = ["acted_in", "acted_in"], [f"{' '.join(who)} 共同出演 电影"]
-    elif plan.kind == "director_actor":
-        roles, lead = ["directed", "acted_in"], [f"{who[0]} 执导 {who[1]} 出演 电影"]
-    else:
-        roles, lead = ["directed"] * len(who), [f"{n} 执导 电影 演员 主演" for n in who]
+        return [DIRECTORS.format(names[plan.subjects[0]])]
+    cast = list(zip(plan.subjects, ROLES.get(plan.kind, ("directed",) * len(plan.subjects)), strict=True))
     films = sorted({t for h, _, t in edges if h in plan.subjects})
-    if plan.kind in ("cofilm", "director_actor"):
-        slots = [f"《{names[m]}》 {n} {label[r]}" for m in films for s, r, n in zip(plan.subjects, roles, who, strict=True) if (s, r, m) not in edges]
+    if plan.kind in TOGETHER:
+        first = [TOGETHER[plan.kind].format(*(names[p] for p, _ in cast))]
+        gaps = [f"《{names[m]}》 {names[p]} {OF_ROLE[role]}" for m in films for p, role in cast if (p, role, m) not in edges]
     else:
-        slots = [f"《{names[m]}》 演员 主演 配音" for m in films]
-    asked = lead + slots + [f"{n} {label[r]} 电影" for n, r in zip(who, roles, strict=True)]
+        first, gaps = [CAST_OF.format(names[p]) for p, _ in cast], [CAST.format(names[m]) for m in films]
+    lists: list[str] = []
     if enhanced:
-        roots = [f"{n} {'参演' if r == 'acted_in' else '执导'} 影片 片单" for n, r in zip(who, roles, strict=True)]
-        if plan.kind in ("repeated_cast", "director_overlap"):
-            proved, counts = set(proofs(plan, edges)), {}
-            for h, k, t in edges:
-                if k == "acted_in" and h not in proved:
-                    counts.setdefault(h, set()).add(t)
-            roots += [f"{names[p]} 参演 影片 片单" for p in sorted(counts, key=lambda p: (-len(counts[p]), p))]
-        asked = roots[: max(2, max_queries // 2)] + asked
-    return list(dict.fromkeys(asked))
+        lists = [f"{names[p]} {OF_FILMS[role]}" for p, role in cast]
+        if plan.kind not in TOGETHER:
+            lists += [f"{names[p]} {OF_FILMS['acted_in']}" for p in _almost(plan, edges)]
+    whole = [f"{names[p]} {OF_ROLE[role]} 电影" for p, role in cast]
+    return list(dict.fromkeys([*lists[: max(2, max_queries // 2)], *first, *gaps, *whole]))
 
 
-def cover(alternatives: dict[str, list[tuple[Edge, ...]]], support: dict[Edge, list[str]], relevance: dict[str, float], limit: int) -> tuple[dict[str, tuple[Edge, ...]], list[str]]:
-    """Greedy choice of a proof per answer within ``limit`` chunks: fewest new chunks, then relevance, then ids.
+class Citations:
+    """Chunks cited so far, at most ``limit``, and what a further proof would add to them.
 
-    ``support``: citable chunks of an edge; an edge that isn't listed is a graph edge and needs none; an
-    empty list makes its proofs unusable.
+    ``support``: citable chunks of an edge; an edge that isn't listed is a graph edge and needs none.
     """
-    chosen: dict[str, tuple[Edge, ...]] = {}
-    chunks: list[str] = []
-
-    def needed(proof: tuple[Edge, ...]) -> list[str] | None:
-        extra: list[str] = []
-        for e in proof:
-            if e not in support:
-                continue
-            if not support[e]:
+
+    def __init__(self, support: dict[Edge, list[str]], relevance: dict[str, float], limit: int):
+        self.support, self.relevance, self.limit = support, relevance, limit
+        self.cited: list[str] = []
+
+    def added(self, proof: tuple[Edge, ...]) -> list[str] | None:
+        """The chunks that the proof needs besides those cited; None if it can't be cited within the limit."""
+        new: dict[str, None] = {}
+        for choices in (self.support[e] for e in proof if e in self.support):
+            if not choices:
                 return None
-            best = min(support[e], key=lambda c: (c not in chunks, c not in extra, -relevance.get(c, 0.0), c))
-            if best not in chunks and best not in extra:
-                extra.append(best)
-        return extra
-
-    while True:
-        options = []
-        for answer, paths in alternatives.items():
-            if answer in chosen:
-                continue
-            for p in paths:
-                extra = needed(p)
-                if extra is not None and len(chunks) + len(extra) <= limit:
-                    options.append((len(extra), -sum(relevance.get(c, 0.0) for c in extra), answer, p, extra))
-        if not options:
-            return chosen, chunks
-        _, _, answer, proof, extra = min(options, key=lambda o: o[:4])
+            if new.keys().isdisjoint(choices) and not set(self.cited) & set(choices):
+                new[min(choices, key=lambda c: (-self.relevance.get(c, 0.0), c))] = None
+        return list(new) if len(self.cited) + len(new) <= self.limit else None
+
+    def price(self, answer: str, proof: tuple[Edge, ...]) -> tuple | None:
+        new = self.added(proof)
+        return None if new is None else (len(new), -sum(self.relevance.get(c, 0.0) for c in new), answer, proof)
+
+
+def cover(alternatives: dict[str, list[tuple[Edge, ...]]], support: dict[Edge, list[str]], relevance: dict[str, float], limit: int) -> tuple[dict[str, tuple[Edge, ...]], list[str]]:
+    """Greedy choice of a proof per answer within ``limit`` chunks: fewest new chunks, then relevance, then ids."""
+    citations, chosen = Citations(support, relevance, limit), {}
+    open_ = [(a, p) for a, paths in alternatives.items() for p in paths]
+    while prices := [x for x in (citations.price(a, p) for a, p in open_) if x]:
+        *_, answer, proof = min(prices)
+        citations.cited += citations.added(proof)
         chosen[answer] = proof
-        chunks += extra
+        open_ = [x for x in open_ if x[0] != answer]
+    return chosen, citations.cited
 
 
 @dataclass

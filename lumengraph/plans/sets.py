@@ -60,8 +60,9 @@ def scope(edges: DataFrame, subjects: list[str], directors_only: bool = False) -
     """Edges that matter to a plan: of the subjects, and into the subjects' films; or who directed the subject."""
     if directors_only:
         return edges.where(F.col("tail_id").isin(subjects) & (F.col("type") == "directed"))
-    films = edges.where(F.col("head_id").isin(subjects)).select("tail_id").distinct()
-    return edges.where(F.col("head_id").isin(subjects)).unionByName(edges.join(films, "tail_id", "left_semi").select(*edges.columns)).distinct()
+    told = edges.where(F.col("type").isin("acted_in", "directed"))
+    own = told.where(F.col("head_id").isin(subjects))
+    return own.unionByName(told.join(own.select("tail_id").distinct(), "tail_id", "left_semi").select(*edges.columns)).distinct()
 
 
 def busiest(edges: DataFrame, kind: str = "directed") -> Column:

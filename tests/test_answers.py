@@ -32,6 +32,15 @@ def test_grammar(question, plan):
     assert parse(question, [ANN, BOB, FILM]) == plan
 
 
+def test_large_dictionaries_are_joined(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "abcabcdab"), (1, "xbcd"), (2, None), (3, ""), (4, "zzz")], "k int, t string")
+    surfaces = spark.createDataFrame([("ab",), ("abc",), ("bcd",), ("cd",), ("zz",), ("a",)], "surface string")
+    one = sorted(map(tuple, A.mentions(texts, "k", "t", surfaces).collect()))
+    monkeypatch.setattr(A, "TRIE_SURFACES", 2)
+    assert sorted(map(tuple, A.mentions(texts, "k", "t", surfaces).collect())) == one
+    assert (1, 0, "abc") in one and (1, 7, "ab") in one
+
+
 def test_leftmost_longest_scan(spark):
     trie = A.build_trie(["流星", "流星雨", "雨伞"])
     assert A.scan("流星雨伞流星", trie) == [(0, "流星雨"), (4, "流星")]
@@ -133,7 +142,10 @@ def test_set_scores_with_empty_sets(spark):
 def test_entity_cover():
     surfaces = [("流星雨", "f2"), ("流星", "f1"), ("安娜", "p1")]
     assert B.entity_cover("流星雨和安娜", surfaces, set()) == {"f2"}
-    assert B.entity_cover("流星雨和安娜", surfaces, {"安娜", "流星"}) == {"f2", "p1"}
+    assert B.entity_cover("流星雨和安娜", surfaces, {"f1", "p1"}) == {"f2", "p1"}
+    # two covered halves aren't one covering span; titles count in their marks
+    assert B.entity_cover("abcdef", [("abcd", "x"), ("cdef", "y"), ("bcd", "z")], set()) == {"x", "y"}
+    assert B.entity_cover("《A-B》", [("A B", "t")], {"t"}, titles=True) == {"t"}
 
 
 def test_vectors(spark):
