@@ -1,23 +1,28 @@
 """Main text of web pages by equivalence-class template deduction.
 
 1. ``events`` reads a page into opening and closing tags and text, tolerating what browsers tolerate.
-   A structural token is a container tag with its class and id and the path of containers above it.
+   A structural token is a container tag with its class and id below the containers above it; a text token
+   is the whole text of one such container, below the same path.
 2. Tokens of one host that have equal occurrence vectors (how often in which page) form an equivalence
-   class; vectors are compared by a sum of hashes of (page, count), so the classes are plain aggregates.
-   A class is valid if it occurs in at least half of the host's pages. The class of the root token is the
-   template; valid classes below one of its tokens are nested in it (``deduce``).
-3. What lies between template tokens are slots. Slots of menus, headers, footers, sidebars, notices,
-   adverts, forms, comments (by tag, role or name) and slots that are mostly link text on the host are
-   boilerplate. The main slot is the article or main element that the template has once, else the
-   deepest template token that holds four fifths of the remaining text.
-4. ``extract`` takes a page's main slot, leaves out boilerplate slots nested in it, decodes character
-   references, turns white space within a block into one space and joins blocks by a newline.
-
-Pages without a host, hosts with one page, and pages that lack their host's main slot use the template
-deduced over all pages, then the page's own.
-
-Defined results: null, empty and text-free pages give an empty string; a null url is a host of its own;
-repeated rows each keep a row; an empty table gives no rows; other columns are not read.
+   class; vectors are compared by an exclusive-or of hashes of (page, count), so classes are plain
+   aggregates. A class is valid if it occurs in at least half of the host's pages and has a structural
+   token; valid classes are nested by their tokens' containers (``deduce``). The order of siblings isn't used.
+3. A text token in its own container's class is the container's text wherever the container is: template,
+   not content (seen on ``CONSTANT_PAGES`` pages at least). What varies between template tokens are slots.
+   Slots of menus, headers, footers, sidebars, notices, adverts, forms, comments (by tag, role or name) and
+   slots that are mostly link text on the host are boilerplate. The main slot is the article or main element
+   that the template has once and whose text varies, else the deepest one that holds four fifths of the
+   varying text.
+4. ``extract`` takes a page's main slot, leaves out boilerplate and constant containers nested in it, decodes
+   character references, turns white space within a block into one space and joins blocks by a newline.
+   A header within an article belongs to it.
+
+Pages without a host, and pages that lack their host's main slot, use the template deduced over all pages
+(structural tokens only), then the page's own.
+
+Defined results: null, empty and text-free pages give an empty string; a null url has no host; repeated
+rows each keep a row; an empty table gives no rows; other columns are not read. Time and memory are linear
+in a page, however deep it is nested.
 """
 
 from __future__ import annotations
@@ -27,34 +32,42 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Templates go to all executors if they take at most this many bytes together; else they are joined.
 BROADCAST_BYTES = 4 << 20
 ALL_HOSTS = ""
+#: A text is a template's only if so many pages have it.
+CONSTANT_PAGES = 8
 
 _EVENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"([a-zA-Z][a-zA-Z0-9:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 # HTML's element names by their part in a page.
 _RAW = {"script", "style", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "select", "title", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _CONTAINERS = {"html", "head", "body", "nav", "header", "footer", "aside", "main", "article", "section", "div", "form", "ul", "ol", "dl", "table", "figure", "fieldset", "dialog", "details", "menu", "button"}
 _BLOCKS = _CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "blockquote", "pre", "tr", "td", "th", "caption", "figcaption", "br", "hr", "address", "summary", "thead", "tbody", "tfoot", "legend", "center"}
-_BOILER_TAGS = {"head", "nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"}
+_BOILER_TAGS = {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset"}
 _BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
 _BOILER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|header|masthead|footer\w*|sidebar\w*|side|aside|widget\w*"
+    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|nav|navbar|navigation|menu\w*|breadcrumb\w*|footer\w*|sidebar\w*|side|aside|widget\w*"
     r"|comment\w*|disqus|respond|replies|reply|cookie\w*|consent|gdpr|notice\w*|newsletter|subscri\w*|signup|login|popup|modal|overlay|share\w*|social\w*|related\w*|recommend\w*|pagination|pager|search\w*|form\w*|legal|copyright|skip\w*|toolbar|alert)(?:$|[\s_-])",
     re.I,
 )
 
 
+_HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
+
+
 def events(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, value): "open" with a token name and whether it is boilerplate, "close", "text"."""
+    """(kind, name, value): "open" with a token name and "boiler", "header" or neither, "close", "text"."""
     at = 0
     while m := _EVENT.match(page, at):
         at = m.end()
@@ -72,10 +85,11 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] and name in _CONTAINERS else {}
             named = " ".join(filter(None, (attributes.get("class", ""), attributes.get("id", ""))))
             boiler = name in _BOILER_TAGS or attributes.get("role", "").lower() in _BOILER_ROLES or bool(named and _BOILER_NAME.search(named)) or "hidden" in attributes
+            header = name == "header" or bool(named and _HEADER_NAME.search(named))
             if name in ("html", "body", "main", "article"):
-                boiler = False
+                boiler = header = False
             token = name + ("." + ".".join(sorted(re.sub(r"\d+", "", named).split())) if named else "")
-            yield "open", token, "boiler" if boiler else ""
+            yield "open", token, "boiler" if boiler else "header" if header else ""
         if at >= len(page):
             return
 
@@ -84,11 +98,12 @@ class Slots:
     """A page's structural tokens in order, and the text blocks in the slot below each."""
 
     def __init__(self, page: str | None):
-        #: of each token: its path with its own name last, its parent's number, boilerplate or not
-        self.path, self.parent, self.boiler = [""], [-1], [False]
-        #: (token number, text pieces, characters of link text)
+        #: of each token: a hash of its path, its own name, its parent's number, boilerplate or not
+        self.path, self.name, self.parent, self.boiler = [0], [""], [-1], [False]
+        #: (token number, text, characters of link text)
         self.blocks: list[tuple[int, str, int]] = []
         stack: list[tuple[str, int]] = [("", 0)]
+        open_: dict[str, int] = defaultdict(int)
         parts: list[str] = []
         linked, link_depth = 0, 0
 
@@ -113,72 +128,125 @@ class Slots:
                 continue
             if kind == "open":
                 parent = stack[-1][1]
-                self.path.append(f"{self.path[parent]}>{name}")
+                self.path.append(_mark(name, self.path[parent]))
+                self.name.append(name)
                 self.parent.append(parent)
-                self.boiler.append(value == "boiler")
+                # a header within an article is the article's
+                self.boiler.append(value == "boiler" or (value == "header" and not (open_["article"] or open_["main"])))
                 stack.append((tag, len(self.path) - 1))
+                open_[tag] += 1
                 link_depth = 0
-            elif any(t == tag for t, _ in stack[1:]):
-                while stack.pop()[0] != tag:
-                    pass
+            elif open_[tag]:
+                while True:
+                    closed = stack.pop()[0]
+                    open_[closed] -= 1
+                    if closed == tag:
+                        break
                 link_depth = 0
         flush()
 
-    def measure(self) -> dict[str, list]:
-        """By path: occurrences, characters of text and of link text in the slot, boilerplate or not."""
-        out: dict[str, list] = {}
-        for path, boiler in zip(self.path, self.boiler, strict=True):
-            out.setdefault(path, [0, 0, 0, boiler])[0] += 1
+    def measure(self) -> list[Token]:
+        """The page's structural tokens, and the text token of each with any text."""
+        out: dict[int, Token] = {}
+        words: dict[int, list[str]] = defaultdict(list)
+        for path, name, parent, boiler in zip(self.path, self.name, self.parent, self.boiler, strict=True):
+            t = out.setdefault(path, Token(path, 0, self.path[parent] if parent >= 0 else -1, name, boiler))
+            t.times += 1
         for token, text, linked in self.blocks:
-            of = out[self.path[token]]
-            of[1] += len(text)
-            of[2] += min(linked, len(text))
-        return out
+            t = out[self.path[token]]
+            t.text += len(text)
+            t.links += min(linked, len(text))
+            words[t.path].append(text)
+        return [*out.values(), *(Token(p, _mark("\n".join(x), 1) or 1, times=out[p].times) for p, x in words.items())]
 
     def main_text(self, template: dict) -> str | None:
         """Text of the template's main slot without boilerplate slots; None if the page hasn't that slot."""
-        main, linky = template["main"], set(template["links"])
+        main, constant = template["main"], set(template["constant"])
         inside, out = [False] * len(self.path), [False] * len(self.path)
         for k, path in enumerate(self.path):
             p = self.parent[k]
             starts = path == main
             inside[k] = starts or (p >= 0 and inside[p])
-            out[k] = not starts and ((p >= 0 and out[p]) or self.boiler[k] or path in linky)
+            out[k] = not starts and ((p >= 0 and out[p]) or self.boiler[k] or path in constant)
         if not any(inside):
             return None
         return "\n".join(text for k, text, _ in self.blocks if inside[k] and not out[k])
 
 
-def deduce(pages: int, tokens: list[tuple[str, int, int, int, int, int, bool]]) -> dict | None:
-    """A host's template from its tokens: (path, pages, vector fingerprint, occurrences, text, link text, boiler)."""
-    classes: dict[int, list] = defaultdict(list)
+def _mark(text: str, seed: int) -> int:
+    """63 bits of a hash."""
+    import xxhash
+
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed) >> 1
+
+
+@dataclass
+class Token:
+    """What a host's (or a page's) pages have of a token: a container below ``parent``, or, if ``words`` isn't 0, its text."""
+
+    path: int
+    words: int
+    parent: int = -1
+    name: str = ""
+    boiler: bool = False
+    pages: int = 1
+    vector: int = 0
+    times: int = 0
+    text: int = 0
+    links: int = 0
+
+
+def classes(tokens: list[Token]) -> dict[tuple[int, int, int], list[Token]]:
+    """Tokens by occurrence vector."""
+    out: dict[tuple[int, int, int], list[Token]] = defaultdict(list)
     for t in tokens:
-        classes[t[2]].append(t)
-    support = max(1, -(-pages // 2))
-    valid = {v: members for v, members in classes.items() if members[0][1] >= support}
-    known = {t[0]: t for members in valid.values() for t in members}
-    # nested: every container above a token is a token of a valid class too
-    nested = {p: t for p, t in known.items() if all(p[:i] in known for i in range(1, len(p)) if p[i] == ">")}
-    links = [p for p, t in nested.items() if t[4] and t[5] > 0.6 * t[4]]
-
-    def dropped(path: str) -> bool:
-        heads = [path[:i] for i in range(1, len(path)) if path[i] == ">"] + [path]
-        return any(h in nested and (nested[h][6] or h in links) for h in heads)
-
-    text: dict[str, int] = defaultdict(int)
-    for path, *_, chars, _, _ in tokens:
-        if not dropped(path):
-            for i in [*(i for i in range(1, len(path)) if path[i] == ">"), len(path)]:
-                text[path[:i]] += chars
-    total = max([0, *text.values()])
+        out[t.vector, t.pages, t.times].append(t)
+    return out
+
+
+def deduce(pages: int, tokens: list[Token]) -> dict | None:
+    """A template: the main slot's path and the constant containers in it."""
+    valid = [c for c in classes(tokens).values() if c[0].pages * 2 >= pages and not all(t.words for t in c)]
+    known = {t.path: t for c in valid for t in c if not t.words}
+    # text tokens in the class of their own container
+    same = {t.path for c in valid for t in c if t.words and any(not s.words and s.path == t.path for s in c)} if pages >= CONSTANT_PAGES else set()
+    below: dict[int, list[Token]] = defaultdict(list)
+    for t in known.values():
+        below[t.parent].append(t)
+    order, depth = [t for t in known.values() if t.path == 0], {0: 0}
+    for t in order:  # nested: from the root down; grows as it goes
+        for child in below[t.path]:
+            depth[child.path] = depth[t.path] + 1
+            order.append(child)
+    gone: set[int] = set()
+    for t in order:
+        if t.boiler or t.parent in gone or (t.text and t.links > 0.6 * t.text and t.name.split(".")[0] not in ("article", "main")):
+            gone.add(t.path)
+
+    def sums(constant: set[int]) -> dict[int, int]:
+        text = {t.path: 0 if t.path in gone or t.path in constant else t.text for t in order}
+        for t in reversed(order):
+            if t.parent in text:
+                text[t.parent] += text[t.path]
+        return text
+
+    text = sums(same)
+    if not any(text.values()):  # pages of one host that are all alike
+        same, text = set(), sums(set())
+    total = text.get(0, 0)
     if not total:
         return None
-    once = [p for p, t in nested.items() if t[3] == t[1] and not dropped(p) and p.rpartition(">")[2].split(".")[0] in ("article", "main") and text[p] > 0]
+    once = [t for t in order if t.times == t.pages and t.path not in gone and t.name.split(".")[0] in ("article", "main") and text[t.path] > 0]
     if once:
-        main = max(once, key=lambda p: (text[p], -len(p)))
+        main = max(once, key=lambda t: (text[t.path], -depth[t.path]))
     else:
-        main = max((p for p in nested if p and not dropped(p) and text[p] >= 0.8 * total), key=lambda p: (p.count(">"), p), default=">html")
-    return {"main": main, "links": [p for p in links if p.startswith(main + ">")]}
+        main = max((t for t in order if t.path and t.path not in gone and text[t.path] >= 0.8 * total), key=lambda t: (depth[t.path], t.name), default=order[0])
+    within, whole = {main.path}, sums(set())
+    for t in order:
+        if t.parent in within:
+            within.add(t.path)
+    constant = sorted(p for p in within - {main.path} if whole[p] and not text[p] and (p in same or not known[p].text))
+    return {"main": main.path, "constant": constant}
 
 
 def main_text(page: str | None, *templates: dict | None) -> str:
@@ -187,7 +255,7 @@ def main_text(page: str | None, *templates: dict | None) -> str:
     for template in templates:
         if template and (text := slots.main_text(template)) is not None:
             return text
-    own = deduce(1, [(p, 1, 0, n, chars, linked, boiler) for p, (n, chars, linked, boiler) in slots.measure().items()])
+    own = deduce(1, slots.measure())
     text = slots.main_text(own) if own else None
     if text is None:  # no containers at all
         text = "\n".join(t for k, t, _ in slots.blocks if not slots.boiler[k])
@@ -199,37 +267,42 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, html, host) -> sums by host and path over the batch; each page counts for its host and for all."""
-    names = ["host", "path", "pages", "vector", "times", "text", "links", "boiler"]
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-    import xxhash
+_TOKENS = "host string, path long, words long, parent long, name string, boiler boolean, pages long, vector long, times long, text long, links long"
+
 
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page_id, html, host) -> sums by host and token over the batch; a page's structural tokens count for its host and for all."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    fields = [f.split() for f in _TOKENS.split(", ")]
     for b in batches:
-        sums: dict[tuple[str, str], list] = {}
+        sums: dict[tuple[str, int, int], Token] = {}
         for page_id, page, host in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            for path, (n, chars, linked, boiler) in Slots(page).measure().items():
-                # 32 bits of (page, count): sums over a host's pages stay far from overflow
-                vector = xxhash.xxh32_intdigest(f"{page_id}:{n}")
-                for h in {host, ALL_HOSTS}:
-                    s = sums.setdefault((h, path), [0, 0, 0, 0, 0, boiler])
-                    s[0] += 1
-                    s[1] += vector
-                    s[2] += n
-                    s[3] += chars
-                    s[4] += linked
-        rows = [(h, p, *s) for (h, p), s in sums.items()]
+            for t in Slots(page).measure():
+                vector = _mark(f"{page_id}:{t.times}", 2)
+                for h in {host} if t.words else {host, ALL_HOSTS}:
+                    if h == ALL_HOSTS and t.words:
+                        continue
+                    s = sums.get((h, t.path, t.words))
+                    if s is None:
+                        sums[h, t.path, t.words] = replace(t, vector=vector)
+                    else:
+                        s.pages += 1
+                        s.vector ^= vector
+                        s.times += t.times
+                        s.text += t.text
+                        s.links += t.links
+                        s.boiler = s.boiler or t.boiler
+        rows = [(h, *astuple(t)) for (h, _, _), t in sums.items()]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
 def _deduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         hosts, found = [], []
-        for host, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            rows = [(t["path"], t["pages"], t["vector"], t["times"], t["text"], t["links"], t["boiler"]) for t in tokens]
-            template = deduce(max(r[1] for r in rows), rows)
-            if template:
+        for host, listed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            tokens = [Token(**t) for t in listed]
+            if template := deduce(max(t.pages for t in tokens), tokens):
                 hosts.append(host)
                 found.append(json.dumps(template))
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.string())], names=["host", "template"])
@@ -238,21 +311,28 @@ def _deduce_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template): one row for each host with a template, and one of host "" over all pages.
 
-    Only paths that half of a host's pages have are gathered; others can't be in a valid class, and a
-    page has a bounded number of them, so a list is no longer than a page is.
+    Only tokens that half of a host's pages have are gathered; others can't be in a valid class, and a
+    page has a bounded number of them, so a list is no longer than a page is. All pages' tokens are
+    filtered by their number, which is one value, so no key holds all paths.
     """
-    sums = _pages(pages).select("page_id", "html", "host").mapInArrow(_measure, "host string, path string, pages long, vector long, times long, text long, links long, boiler boolean")
-    by = sums.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "vector", "times", "text", "links")], F.max("boiler").alias("boiler"))
-    # the root token "" occurs on every page of a host
-    size = by.where("path = ''").select("host", F.col("pages").alias("all_pages"))
-    by = by.join(size, "host").where(F.col("pages") * 2 >= F.col("all_pages"))
-    listed = by.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "vector", "times", "text", "links", "boiler")).alias("tokens"))
+    sums = _pages(pages).select("page_id", "html", "host").mapInArrow(_measure, _TOKENS)
+    by = sums.groupBy("host", "path", "words").agg(
+        F.max("parent").alias("parent"), F.max("name").alias("name"), F.max("boiler").alias("boiler"),
+        F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("times", "text", "links")],
+    )
+    by = cut(by)
+    # the root token is on every page of a host
+    size = by.where("path = 0 AND words = 0").select("host", F.col("pages").alias("all_pages"))
+    every = size.where(F.col("host") == ALL_HOSTS).first()
+    common = by.where((F.col("host") == ALL_HOSTS) & (F.col("pages") * 2 >= F.lit(every[1] if every else 0)))
+    own = by.where(F.col("host") != ALL_HOSTS).join(size.where(F.col("host") != ALL_HOSTS), "host").where(F.col("pages") * 2 >= F.col("all_pages")).drop("all_pages")
+    listed = own.unionByName(common).groupBy("host").agg(F.collect_list(F.struct(*[c for c in by.columns if c != "host"])).alias("tokens"))
     return listed.mapInArrow(_deduce_batches, "host string, template string")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row per page."""
-    found = templates(pages).persist()
+    found = cut(templates(pages))
     n, size = found.agg(F.count("*"), F.sum(F.length("template") + F.length("host"))).first()
     common = [r[0] for r in found.where(F.col("host") == ALL_HOSTS).select("template").collect()]
     shared = json.loads(common[0]) if common else None

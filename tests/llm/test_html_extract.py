@@ -44,3 +44,56 @@ def test_odd_rows(spark):
     got = sorted(((r["page_id"] or 0, r["n_chars"]) for r in S.extract(pages).collect()))
     assert got == [(0, 2), (1, 0), (2, 0), (4, len(TEXT)), (4, len(TEXT)), (5, 399_999)]
     assert S.extract(pages.limit(0)).count() == 0
+
+
+def test_the_articles_own_header_and_lists_stay_and_hidden_parts_go():
+    page = '<body><header>Site</header><article><header><h1>Head</h1></header><div class="article-header">Line</div><p>Body</p><ul><li><a href=1>one</a><li><a href=2>two</a></ul><div hidden>secret</div></article></body>'
+    assert S.main_text(page) == "Head\nLine\nBody\none\ntwo"
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    t = time.time()
+    assert S.main_text("<div>" * 40_000 + "deep" + "</p></div>" * 40_000) == "deep"
+    assert time.time() - t < 20
+
+
+def without_article(i):
+    long = "The same long words of this place, on every page of it. " * 5
+    return f'<body><div class="a">{long}</div><div class="b"><p>Own text {i} of the page.</p><div class="c">Spread the word</div><p>More {i * 7}.</p></div><div class="d">{long}</div></body>'
+
+
+def rows_of(pages):
+    """Tokens of a host's pages by a plain count of every page's occurrences: no sums of hashes."""
+    seen = {}
+    for i, page in enumerate(pages):
+        for t in S.Slots(page).measure():
+            seen.setdefault((t.path, t.words), []).append((i, t))
+    out, vectors = [], {}
+    for (path, words), found in seen.items():
+        first = found[0][1]
+        vector = vectors.setdefault(tuple((i, t.times) for i, t in found), len(vectors) + 1)
+        out.append(S.Token(path, words, first.parent, first.name, first.boiler, len(found), vector, *(sum(getattr(t, f) for _, t in found) for f in ("times", "text", "links"))))
+    return out
+
+
+def test_classes_decide_what_is_template(spark):
+    pages = [without_article(i) for i in range(20)]
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    want = {i: f"Own text {i} of the page.\nMore {i * 7}." for i in range(20)}
+    assert {r["page_id"]: r["text"] for r in S.extract(df).collect()} == want
+    tokens = rows_of(pages)
+    template = S.deduce(20, tokens)
+    assert {i: S.main_text(p, template) for i, p in enumerate(pages)} == want
+    # every token a class of its own: no text belongs to its container, and the constant text is taken for content
+    split = [S.replace(t, vector=k) for k, t in enumerate(tokens)]
+    assert S.main_text(pages[3], S.deduce(20, split)) != want[3]
+    # fewer pages than a constant text needs: nothing is left out
+    few = S.deduce(4, rows_of(pages[:4]))
+    assert "The same long words" in S.main_text(pages[0], few)
+
+
+def test_pages_that_are_all_alike_keep_their_text(spark):
+    df = spark.createDataFrame([(i, "http://h.example/x", "<body><nav>Menu</nav><div>All the same text.</div></body>") for i in range(30)], "page_id long, url string, html string")
+    assert {r["text"] for r in S.extract(df).collect()} == {"All the same text."}
