@@ -14,10 +14,12 @@ KERNEL_BYTES = 2 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
+    """The shared folder that the cluster names. Only a local session, whose executors are the driver, may go without: it gets its own."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return sc.getCheckpointDir()
 
@@ -66,3 +68,16 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator
 def held_out(column: str, modulus: int, remainder: int):
     """crc32 of the id written as text, modulo ``modulus``, equals ``remainder`` (null id: false)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """Inner join on ``key``, unique in ``right``, whose column ``rows`` says how many rows of ``left`` have it.
+
+    Keys of more than a thousandth of all rows (a thousand at least) are sent to all tasks, at most a thousand of them, so no
+    task gets all rows of such a key; the others are shuffled.
+    """
+    limit = max(1000, total // 1000)
+    hot, cold = right.where(F.col(rows) > limit).drop(rows), right.where(F.col(rows) <= limit).drop(rows)
+    spread = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return spread.unionByName(rest)

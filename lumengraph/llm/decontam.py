@@ -35,33 +35,32 @@ WINDOW, KGRAM = 10, 6
 
 
 class Block:
-    """Lookup tables of one block of benchmark items."""
+    """Lookup tables of one block of benchmark items: 20 bytes a window, whatever the items' number."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW, kgram: int = KGRAM):
         self.window, self.kgram = window, kgram
-        prints: list[np.ndarray] = []
-        #: by window length: window hash -> {the window's bytes, words joined by a space: item ids}
-        self.windows: dict[int, dict[int, dict[bytes, set]]] = {}
-        for item_id, text in items:
-            w = Words(*buffers(pa.array([text], pa.large_string())), ALNUM)
-            if not len(w):
-                continue
-            h = w.hashes()
-            size = min(window, len(w))
-            if size == window:
-                prints.append(ngrams(h, kgram))
-            of_size = self.windows.setdefault(size, {})
-            for i, g in enumerate(ngrams(h, size).tolist()):
-                key = b" ".join(w.word(j) for j in range(i, i + size))
-                of_size.setdefault(g, {}).setdefault(key, set()).add(item_id)
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, U)
-        self.hashes = {size: np.array(sorted(table), U) for size, table in self.windows.items()}
+        self.ids = [None if i is None else str(i) for i, _ in items]
+        w = self.words = Words(*buffers(pa.array([t for _, t in items], pa.large_string())), ALNUM)
+        h = w.hashes()
+        sizes = np.minimum(w.counts, window)
+        item = w.doc()
+        self.prints = np.unique(ngrams(h, kgram)[within(w.first, len(h), kgram) & (sizes[item] == window)[: max(len(h) - kgram + 1, 0)]])
+        #: by window length: hashes, rising; where the windows of each start among all; their first words, and items
+        self.windows: dict[int, tuple[np.ndarray, ...]] = {}
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            at = np.flatnonzero(within(w.first, len(h), size) & (sizes[item] == size)[: max(len(h) - size + 1, 0)])
+            g = ngrams(h, size)[at]
+            order = np.argsort(g, kind="stable")
+            g, at = g[order], at[order]
+            first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            self.windows[size] = g[first], np.append(first, len(g)), at.astype(np.int32), item[at].astype(np.int32)
 
     def starts(self, h: np.ndarray, w: Words, size: int) -> np.ndarray:
         """Word positions at which a window of ``size`` words may begin: a superset, found by hash."""
+        hashes = self.windows[size][0]
         if size < self.window:
             g = ngrams(h, size)
-            return np.flatnonzero(_among(g, self.hashes[size]) & within(w.first, len(h), size))
+            return np.flatnonzero(_among(g, hashes) & within(w.first, len(h), size))
         kept = winnow(h, w, self.window, self.kgram)
         kept = kept[_among(ngrams(h, self.kgram)[kept], self.prints)]
         reach = self.window - self.kgram
@@ -70,26 +69,31 @@ class Block:
         begin = begin[(begin >= 0) & (begin < n)]
         begin = begin[within(w.first, len(h), size)[begin]]
         g = _gather(h, begin, size)
-        return begin[_among(g, self.hashes[size])]
+        return begin[_among(g, hashes)]
 
     def hits(self, texts: pa.Array) -> tuple[Words, np.ndarray, dict[int, set]]:
-        """Words of the batch, which of them are hit, and the item ids of each document by its index."""
+        """Words of the batch, which of them are hit, and the item ids (as text) of each document by its index."""
         w = Words(*buffers(texts), ALNUM)
         hit = np.zeros(len(w) + 1, np.int64)
         items: dict[int, set] = {}
         h = w.hashes()
-        for size, table in self.windows.items():
+        for size, (hashes, first, start, item) in self.windows.items():
             at = self.starts(h, w, size)
             if not len(at):
                 continue
             docs = np.searchsorted(w.first, at, "right") - 1
-            codes = _gather(h, at, size).tolist()
+            place = np.searchsorted(hashes, _gather(h, at, size))
             good = np.zeros(len(at), bool)
-            for k, (i, d, g) in enumerate(zip(at.tolist(), docs.tolist(), codes, strict=True)):
-                owners = table[g].get(b" ".join(w.word(j) for j in range(i, i + size)))
-                if owners is not None:
+            found: dict[int, set] = {}
+            for k, (i, d, p) in enumerate(zip(at.tolist(), docs.tolist(), place.tolist(), strict=True)):
+                # word for word; windows of one hash are equal but for a chance of n * n / 2^65 among n windows
+                j = int(start[first[p]])
+                if all(w.word(i + x) == self.words.word(j + x) for x in range(size)):
                     good[k] = True
-                    items.setdefault(d, set()).update(owners)
+                    found.setdefault(d, set()).add(p)
+            for d, places in found.items():
+                owners = np.unique(np.concatenate([item[first[p] : first[p + 1]] for p in places]))
+                items.setdefault(d, set()).update(self.ids[o] for o in owners.tolist() if self.ids[o] is not None)
             np.add.at(hit, at[good], 1)
             np.add.at(hit, at[good] + size, -1)
         return w, np.cumsum(hit[:-1]) > 0, items
@@ -128,8 +132,8 @@ def winnow(h: np.ndarray, w: Words, window: int = WINDOW, kgram: int = KGRAM) ->
 
 
 def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
-    """The items in bounded blocks, each fetched alone."""
-    rows = id_text(benchmark, "item_id").where("text is not null")
+    """The different items in bounded blocks, each fetched alone."""
+    rows = id_text(benchmark, "item_id").where("text is not null").distinct()
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-total // block_chars))
     for i in range(n):
@@ -137,49 +141,80 @@ def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
         yield [(r[0], r[1]) for r in part.collect()]
 
 
+_MARKS = "row long, hit binary, items array<string>"
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, kgram: int = KGRAM, block_chars: int = 8_000_000) -> DataFrame:
-    """(doc_id, n_words, n_hit, items array of item ids as text, sorted); one row per document row."""
-    out = id_text(docs).select("doc_id", "text", F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
-    pieces = blocks(benchmark, block_chars)
-    schema = "doc_id long, text string, hit binary, items array<string>"
-    last = next(pieces)
-    for following in pieces:
-        out = cut(out.mapInArrow(_marker(Block(last, window, kgram), final=False), schema))
-        last = following
-    return out.mapInArrow(_marker(Block(last, window, kgram), final=True), "doc_id long, n_words long, n_hit long, items array<string>")
+    """(doc_id, n_words, n_hit, items array of item ids as text, sorted); one row per document row.
 
+    One pass over the documents if the benchmark is one block. Else the documents are numbered and written once, each
+    block has a job of its own that keeps the marks of documents with a hit, and a last pass joins them.
+    """
+    rows = id_text(docs).withColumn("row", F.monotonically_increasing_id())
+    pieces = blocks(benchmark, block_chars)
+    first = next(pieces)
+    following = next(pieces, None)
+    if following is None:
+        none = [F.lit(None).cast("array<binary>").alias("hits"), F.array().cast("array<string>").alias("items")]
+        return rows.select("doc_id", "text", *none).mapInArrow(_final(Block(first, window, kgram)), "doc_id long, n_words long, n_hit long, items array<string>")
+    rows, marks = cut(rows), None
+    while first is not None:
+        part = cut(rows.select("row", "text").mapInArrow(_marker(Block(first, window, kgram)), _MARKS))
+        marks = part if marks is None else marks.unionByName(part)
+        first, following = following, next(pieces, None) if following is not None else None
+    merged = marks.groupBy("row").agg(F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = rows.join(merged, "row", "left").select("doc_id", "text", "hits", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return joined.mapInArrow(_final(None), "doc_id long, n_words long, n_hit long, items array<string>")
+
+
+def _marker(block: Block):
+    """Marks of the documents with a hit: (row, text) -> row, a bit for each word, item ids."""
 
-def _marker(block: Block, final: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
             w, hit, items = block.hits(b.column(1))
-            before, listed = b.column(2), b.column(3)
-            bits, lists = [], []
-            for d in range(b.num_rows):
-                mine = hit[w.first[d] : w.first[d + 1]]
-                if before.null_count < len(before) and before[d].is_valid:
-                    mine = mine | np.unpackbits(np.frombuffer(before[d].as_py(), np.uint8), count=len(mine)).astype(bool)
-                bits.append(mine)
-                new = {str(x) for x in items.get(d, ()) if x is not None}
-                lists.append(sorted(new.union(listed[d].as_py() or ())) if new else listed[d].as_py())
-            ids, lists = b.column(0), pa.array(lists, pa.list_(pa.string()))
-            if final:
-                n_hit = pa.array([int(m.sum()) for m in bits], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(w.counts.astype(np.int64)), n_hit, lists], names=["doc_id", "n_words", "n_hit", "items"])
+            docs = np.unique(w.doc()[hit]).tolist()
+            bits = [np.packbits(hit[w.first[d] : w.first[d + 1]]).tobytes() for d in docs]
+            lists = pa.array([sorted(items.get(d, ())) for d in docs], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(docs, pa.int64())), pa.array(bits, pa.binary()), lists], names=["row", "hit", "items"])
+
+    return run
+
+
+def _final(block: Block | None):
+    """(doc_id, text, hits of all blocks, items), or one block's own marks -> counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_batches(batches):
+            if block is not None:
+                w, hit, items = block.hits(b.column(1))
+                sums = np.append(0, np.cumsum(hit))
+                n_hit = sums[w.first[1:]] - sums[w.first[:-1]]
+                lists = pa.array([sorted(items.get(d, ())) for d in range(b.num_rows)], pa.list_(pa.string()))
             else:
-                packed = pa.array([np.packbits(m).tobytes() for m in bits], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids, b.column(1), packed, lists], names=["doc_id", "text", "hit", "items"])
+                w, lists = Words(*buffers(b.column(1)), ALNUM), b.column(3)
+                n_hit = np.zeros(b.num_rows, np.int64)
+                for d, parts in enumerate(b.column(2).to_pylist()):
+                    if parts:
+                        n_hit[d] = np.unpackbits(np.bitwise_or.reduce([np.frombuffer(p, np.uint8) for p in parts]), count=int(w.counts[d])).sum()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), lists], names=["doc_id", "n_words", "n_hit", "items"])
 
     return run
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, block_chars: int = 8_000_000, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit word, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` without a hit word, with all their columns; nothing is shuffled.
+
+    Each further block of the benchmark has a job of its own, over the rows that the blocks before it kept, written to
+    the shared folder.
+    """
     at = docs.columns.index(text_col)
-    out = docs
+    out, waiting = docs, None
     for items in blocks(benchmark, block_chars):
-        out = out.mapInArrow(_dropper(Block(items), at), docs.schema)
-    return out
+        if waiting is not None:
+            out = cut(out.mapInArrow(_dropper(Block(waiting), at), docs.schema))
+        waiting = items
+    return out.mapInArrow(_dropper(Block(waiting), at), docs.schema)
 
 
 def _dropper(block: Block, at: int):

@@ -13,6 +13,7 @@ rows; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -141,11 +142,16 @@ class Scanner:
                 dice = 2 * common / (width + size)
                 if dice >= self.threshold:
                     found.append((-dice, -width, s, t))
-        taken: list[tuple[str, int, int, float]] = []
+        # the best first; taken spans don't overlap, so only the neighbours of a place can be in its way
+        starts: list[int] = []
+        taken: dict[int, tuple[str, int, int, float]] = {}
         for dice, width, s, t in sorted(found):
-            if all(s > b - 1 or s - width < a for _, a, b, _ in taken):
-                taken.append((self.names[t], s, s - width + 1, -dice))
-        return sorted(taken, key=lambda x: x[1])
+            k = bisect.bisect_right(starts, s)
+            if (k and taken[starts[k - 1]][2] > s) or (k < len(starts) and starts[k] <= s - width):
+                continue
+            starts.insert(k, s)
+            taken[s] = (self.names[t], s, s - width + 1, -dice)
+        return [taken[s] for s in starts]
 
 
 def matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:

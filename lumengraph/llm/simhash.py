@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_text, text_batches
+from .common import cut, id_text, join_hot, text_batches
 from .textbytes import NOT_SPACE, U, Words, buffers, xxh64_spans
 
 _LANES = U(0x0101010101010101)
@@ -83,14 +83,18 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the signed long with the fingerprint's bits."""
+    """(doc_id, mark, fp): fp is the signed long with the fingerprint's bits, mark a hash of the text as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_batches(batches):
             fp = simhash_batch(b.column(1), shingle, seed)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp.view(np.int64))], names=["doc_id", "mark", "fp"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs).withColumn("mark", _mark("text")).mapInArrow(run, "doc_id long, mark long, fp long")
+
+
+def _mark(text: str):
+    return F.xxhash64(F.col(f"`{text}`"), F.isnull(F.col(f"`{text}`")))
 
 
 def _neighbour_steps(radius: int, parts: int = 4) -> list[tuple[int, ...]]:
@@ -165,9 +169,10 @@ def link_forest(nodes: DataFrame, radius: int = 3, block: int = 4096) -> DataFra
         F.col("tile").alias("a_tile"), F.col("block").alias("a_block"), F.col("fps").alias("a"),
         sum((moved[q] * (32**q) for q in range(4)), F.lit(0)).alias("tile"),
     )
-    pairs = left.join(blocks.select("tile", "block", F.col("fps").alias("b")), "tile").where(
-        (F.col("a_tile") != F.col("tile")) | (F.col("a_block") <= F.col("block"))
-    )
+    # one key for each pair of blocks: a tile of many blocks is many keys
+    left = left.join(F.broadcast(sizes), "tile").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.where((F.col("a_tile") != F.col("tile")) | (F.col("a_block") <= F.col("block"))).select("tile", "block", "a")
+    pairs = left.join(blocks.select("tile", "block", F.col("fps").alias("b")), ["tile", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
@@ -186,15 +191,16 @@ def link_forest(nodes: DataFrame, radius: int = 3, block: int = 4096) -> DataFra
     return pairs.select("a", "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge: root is the smallest node it reaches.
 
     Large-star and small-star rounds keep the components and end in stars; each round aggregates a
-    minimum per node and joins it back, so no neighbour list is ever gathered.
+    minimum per node and joins it back, so no neighbour list is ever gathered. Rounds go on until one
+    changes nothing; their number grows with the logarithm of the graph.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -205,28 +211,39 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """One row per input row: doc_id, fp (signed long), component_id (smallest doc_id of its component)."""
+def _groups(docs: DataFrame, radius: int, shingle: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fingerprints by row; nodes (fp, low, n, root); the first row of each group (root, first, rows of nodes).
+
+    A row is known by (no id, doc_id, text hash): the first row of a group has the smallest id, rows without ids come last.
+    """
     fps = cut(fingerprints(docs, shingle, seed))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    row = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "mark")
+    nodes = cut(fps.groupBy("fp").agg(F.min(row).alias("low"), F.count("*").alias("n")))
     stars = components(link_forest(nodes.select("fp"), radius))
-    rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    member = rooted.join(named, "root").select("fp", "component_id")
-    return fps.join(member, "fp").select("doc_id", "fp", "component_id")
+    rooted = cut(nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root")))
+    return fps, rooted, rooted.groupBy("root").agg(F.min("low").alias("first"), F.count("*").alias("nodes"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """One row per input row: doc_id, fp (signed long), component_id (smallest doc_id of its component)."""
+    fps, rooted, groups = _groups(docs, radius, shingle, seed)
+    n_rows, n_nodes = fps.count(), rooted.count()
+    member = join_hot(rooted, groups.select("root", F.col("first.doc_id").alias("component_id"), "nodes"), "root", "nodes", n_nodes)
+    return join_hot(fps, member.select("fp", "component_id", "n"), "fp", "n", n_rows).select("doc_id", "fp", "component_id")
 
 
 def first_of_groups(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their group's smallest; all columns are kept.
+    """One row of each group of near-duplicates, with all its columns: of the smallest doc_id, without one only if none has any.
 
-    Rows with a null doc_id stay (they can't be told apart). Rows that repeat a kept doc_id stay too.
+    Rows that repeat both doc_id and text are one row (any of them). They are merged before the shuffle, so a text that a third
+    of all rows repeats is one row per task.
     """
-    groups = near_duplicates(docs, radius)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    nulls = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, docs["doc_id"].cast("long") == kept["__kept"], "left_semi").unionByName(nulls)
+    _, _, groups = _groups(docs, radius, 3, 42)
+    first = groups.select(F.col("first.doc_id").alias("__id"), F.col("first.mark").alias("__mark"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), _mark("text").alias("__mark"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    one = rows.groupBy("__id", "__mark").agg(F.first("__row").alias("__row"))
+    kept = one.join(first, one["__id"].eqNullSafe(first["__id"]) & (one["__mark"] == first["__mark"]), "left_semi")
+    return kept.select("__row.*")

@@ -56,3 +56,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r["n_hit"] for r in S.contamination(odd_docs, items.limit(0)).collect()} == {0}
     clean = S.clean_documents(odd_docs, items)
     assert clean.columns == odd_docs.columns and clean.count() == odd_docs.count() - 3
+
+
+def test_a_benchmark_of_two_blocks_and_repeated_items(spark):
+    docs = [(1, "a b c d e f g h i j k l"), (2, "q r s t u v w x y z 1 2 3"), (3, "nothing of either"), (None, "a b c d e f g h i j")]
+    items = [(10, "a b c d e f g h i j"), (11, "r s t u v w x y z 1 2")] + [(12, "b c d e f g h i j k")] * 5
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(S.blocks(i, 25))) >= 2
+    assert got(S.contamination(d, i, block_chars=25)) == got(S.contamination(d, i)) == by_hand(docs, items)
+    for size in (25, 8_000_000):
+        assert [r["doc_id"] for r in S.clean_documents(d, i, block_chars=size).collect()] == [3]

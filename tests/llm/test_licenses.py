@@ -98,3 +98,45 @@ def test_whole_licences_within_prose():
         body = " ".join(x for k, x in enumerate(w[: int(0.88 * len(w))]) if k % 200)
         got = list(S.Scanner().scan(pa.array(["some prose " * 20 + body + " more prose" * 20], pa.string())))
         assert {g[1] for g in got} == {name} and max(g[3] - g[2] for g in got) > 0.8 * len(w)
+
+
+def test_matches_are_chosen_like_a_comparison_of_all_pairs():
+    """Dice, span and choice against a plain count of every window, on texts made of licence lines and their parts."""
+    import random
+    import re
+
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    notices = [("A", "alpha beta gamma delta epsilon zeta"), ("B", "beta gamma delta epsilon zeta eta theta"), ("C", "one two three four")]
+    word = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    scanner = S.Scanner(notices, 0.8)
+    for _ in range(120):
+        text = " ".join(" ".join(word(t)[: rng.randrange(3, 9)]) if rng.random() < 0.8 else rng.choice(["x", "alpha", "two"]) for _, t in rng.choices(notices, k=rng.randrange(1, 7)))
+        w = word(text)
+        grams = list(zip(w, w[1:], strict=False))
+        found = []
+        for t, (name, notice) in enumerate(notices):
+            bag = Counter(zip(word(notice), word(notice)[1:], strict=False))
+            size = sum(bag.values())
+            width = min(size, len(grams))
+            for a in range(len(grams) - width + 1 if width else 0):
+                dice = 2 * (Counter(grams[a : a + width]) & bag).total() / (width + size)
+                if dice >= 0.8:
+                    found.append((-dice, -width, a, t, name))
+        taken = []
+        for dice, width, a, _, name in sorted(found):
+            if all(a >= z or a - width + 1 <= b for _, b, z, _ in taken):
+                taken.append((name, a, a - width + 1, round(-dice, 9)))
+        got = [(name, a, z, round(d, 9)) for _, name, a, z, d, _ in scanner.scan(pa.array([text], pa.string()))]
+        assert got == sorted(taken, key=lambda x: x[1])
+
+
+def test_many_matches_take_linear_time():
+    import time
+
+    import pyarrow as pa
+
+    t = time.time()
+    assert len(list(S.Scanner().scan(pa.array(["All rights reserved. " * 40_000], pa.string())))) == 40_000
+    assert time.time() - t < 30

@@ -26,7 +26,7 @@ def test_stages_by_name_and_what_each_keeps(spark, sf):
 
 
 def test_stages_on_odd_rows(spark, sf, odd_docs):
-    docs = odd_docs.drop("fp")
+    docs = odd_docs
     for _, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, sf).cache()
     assert P.packed(spark, docs, sf).count() >= 1

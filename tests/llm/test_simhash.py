@@ -86,3 +86,24 @@ def test_odd_rows(odd_docs, no_docs):
     kept = S.first_of_groups(odd_docs)
     assert kept.columns == odd_docs.columns
     assert {1, 3} <= {r["doc_id"] for r in kept.collect()} and 4 not in {r["doc_id"] for r in kept.collect()}
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Rows without ids, repeated rows, and an id that is the smallest of one group and a member of another."""
+    text, other = "one two three four five six seven", "quite another text of some eight or nine words"
+    rows = [(None, "no id but a text of its own here", "a"), (None, "no id but a text of its own here", "b"), (7, text, "c"), (7, text, "c"), (3, text, "d"), (7, other, "e"), (9, other, "f"), (None, text, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `root` string").repartition(3)
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in S.first_of_groups(docs).collect()))
+    assert kept == sorted([(0, rows[0][1]), (3, text), (7, other)])
+
+
+def test_keys_with_many_rows_are_sent_to_all_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from lumengraph.llm.common import join_hot
+
+    left = spark.range(5000).select(F.when(F.col("id") < 3000, 1).otherwise(F.col("id") % 50).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("name", F.concat(F.lit("k"), "k"))
+    got = join_hot(left, right, "k", "n", 5000)
+    assert got.count() == 5000 and got.where("name <> 'k' || k").count() == 0
+    assert sorted(got.columns) == ["id", "k", "name"]
