@@ -12,7 +12,9 @@ among the best is summed again in double precision: exact.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 
@@ -26,6 +28,20 @@ OFTEN, DENSE, BATCH = 28, 8 << 20, 384
 CELLS = 1 << 13
 
 
+def one_thread() -> None:
+    """One thread for matrix products in this process: a task has one core, where the library's threads only wait for each other.
+
+    Does nothing where numpy brings another library.
+    """
+    names = ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads")
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in names:
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                return
+
+
 def arrange(x: np.ndarray, axes: int = 3, rounds: int = 4) -> np.ndarray:
     """A group number for each row of ``x``, alike rows together: cells of the leading axes, then a few means."""
     x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)

@@ -86,9 +86,11 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes: a polynomial from prefix sums, then ``mix``."""
         up, down = _power_tables(len(self.buf) + 1)
-        sums = np.empty(len(self.buf) + 1, U)
-        sums[0] = 0
-        np.cumsum((self.buf.astype(U) + U(1)) * up[: len(self.buf)], out=sums[1:])
+        if not hasattr(self, "sums"):  # of the buffer, whatever the spans
+            self.sums = np.empty(len(self.buf) + 1, U)
+            self.sums[0] = 0
+            np.cumsum((self.buf.astype(U) + U(1)) * up[: len(self.buf)], out=self.sums[1:])
+        sums = self.sums
         return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U))
 
     def word(self, i: int) -> bytes:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blockmax import BlockMax, Queries, best_hits, groups_of_alike, ranges
+from .blockmax import BlockMax, Queries, best_hits, groups_of_alike, one_thread, ranges
 from .common import cut, held_out, id_text, text_batches
 from .textbytes import ALNUM, NOT_SPACE, U, Words, buffers, mix
 
@@ -91,12 +91,18 @@ class Index:
         self.count = np.array([len(g) for g in groups], float)
         self.toxic = np.array([sum(toxic[e] for e in g) for g in groups], float)
         self.weight = weight
-        self._merge([len(t) for t, _ in kept], np.concatenate([t for t, _ in kept]) if kept else np.zeros(0, np.int32), np.concatenate([x for _, x in kept]) if kept else np.zeros(0))
+        sizes, terms_, weights_ = [len(t) for t, _ in kept], [t for t, _ in kept], [x for _, x in kept]
+        kept.clear()
+        row_term = np.concatenate([np.zeros(0, np.int32), *terms_])
+        terms_.clear()
+        row_weight = np.concatenate([np.zeros(0), *weights_])
+        weights_.clear()
+        self._merge(sizes, row_term, row_weight)
 
     def _merge(self, sizes: list[int], row_term: np.ndarray, row_weight: np.ndarray) -> None:
         """Posting lists by group of examples with like frequent terms; within a group examples lie by label and length."""
         n, sizes = len(sizes), np.array(sizes, np.int64)
-        who = np.repeat(np.arange(n), sizes)
+        who = np.repeat(np.arange(n, dtype=np.int32), sizes)
         df = np.bincount(row_term, minlength=len(self.terms))
         leading = np.full(len(df), -1)
         often = np.argsort(-df, kind="stable")[:LEADING]
@@ -107,6 +113,7 @@ class Index:
         # terms with equal lists, such as a rare word and its beginnings, are one list that takes their weights' sum
         order = np.argsort(row_term.astype(U) << U(32) | who.astype(U))
         doc, weight, known = who[order], row_weight[order], np.flatnonzero(df)
+        del order, who, at
         first = np.append(0, np.cumsum(df[known]))
         marks = mix(weight.view(U) + mix(doc.astype(U)))
         # lists are told apart by 64 bits: two of n lists share them with a chance of n * n / 2^65, 2e-8 for a million
@@ -115,6 +122,7 @@ class Index:
         place = np.argsort(np.argsort(-df[known][one], kind="stable"))
         self.list_of = np.zeros(len(df), np.int32)
         self.list_of[known] = place[same]
+        del marks, same
         one = one[np.argsort(place)]
         at, which = ranges(first[one], first[one + 1])
         doc, weight = doc[at], weight[at]
@@ -292,9 +300,16 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per
         return Index(np.zeros(0, U), np.zeros(0), [], [], [], toxic / n)
     n_toxic = sum(r[1] for r in picked)
     n_clean = len(picked) - n_toxic
-    hashes, inverse = np.unique(np.concatenate([np.frombuffer(r["terms"], U) for r in rows]), return_inverse=True)
-    marked = np.repeat([float(r["toxic"]) for r in rows], [len(r["terms"]) // 8 for r in rows])
-    with_toxic, with_clean = np.bincount(inverse, marked, len(hashes)), np.bincount(inverse, 1 - marked, len(hashes))
+    toxics, ids, sizes = [r["toxic"] for r in rows], [r["doc_id"] for r in rows], np.array([len(r["terms"]) // 8 for r in rows])
+    tf = np.frombuffer(b"".join(r["tf"] for r in rows), np.int32)
+    joined = np.frombuffer(b"".join(r["terms"] for r in rows), U)
+    del rows
+    hashes = np.unique(joined)
+    which = np.searchsorted(hashes, joined).astype(np.int32)
+    del joined
+    marked = np.repeat(np.array(toxics, np.float32), sizes)
+    with_toxic, with_clean = np.bincount(which, marked, len(hashes)), np.bincount(which, 1 - marked, len(hashes))
+    del marked
     idf = np.log(1 + len(picked)) - np.log(1 + with_toxic + with_clean) + 1
     if n_toxic and n_clean:
         spread = SMOOTHING / len(picked)
@@ -303,17 +318,15 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per
     else:
         unseen = float(np.log(1 + len(picked)) + 1)
     weight = tuple(share / max(mine / len(picked), 1e-9) for share, mine in ((1 - toxic / n, n_clean), (toxic / n, n_toxic)))
-    toxics, ids = [r["toxic"] for r in rows], [r["doc_id"] for r in rows]
-    ends = np.cumsum([len(r["terms"]) // 8 for r in rows])[:-1]
-    vectors = list(zip(np.split(inverse.astype(np.int32), ends), (np.frombuffer(r["tf"], np.int32) for r in rows), strict=True))
-    del inverse, marked
-    return Index(hashes, idf, vectors, toxics, ids, toxic / n, weight, unseen)
+    ends = np.cumsum(sizes)[:-1]
+    return Index(hashes, idf, list(zip(np.split(which, ends), np.split(tf, ends), strict=True)), toxics, ids, toxic / n, weight, unseen)
 
 
 def score_documents(docs: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     """doc_id, score, evidence (nearest examples: doc_id, toxic, cosine); one row per document row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for b in text_batches(batches):
             scored = index.score(b.column(1), k)
             evidence = [[{"doc_id": i, "toxic": y, "cosine": c} for c, e in near for i, y in index.members[e][:k]][:k] for _, near in scored]
@@ -328,6 +341,7 @@ def clean_documents(docs: DataFrame, index: Index, k: int = NEIGHBOURS, threshol
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         for b in text_batches(batches, at):
             yield b.filter(pa.array([s < threshold for s, _ in index.score(b.column(at), k)], pa.bool_()))
 
