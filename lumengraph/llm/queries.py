@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, licenses, lm, packing, quality, search, sharding, simhash, toxicity
-from .common import held_out, table
+from . import byte_bpe, decontam, html_extract, licenses, lm, packing, quality, search, sharding, simhash, toxicity, vector_codes
+from .common import cut, held_out, table
 
 
 def op1_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors, parts=16, entries=64, rounds=2, scale=256)
+    if books is None:
+        return spark.createDataFrame([], "vec_id long, code string, error long, label_error long, codebooks_sha256 string")
+    digest = hashlib.sha256(",".join(map(str, books.components())).encode()).hexdigest()
+    coded = vector_codes.encode(vectors, books, keep=("vec_id", "label")).select("row.*", F.lower(F.hex("code")).alias("code"), "error")
+    return vector_codes.label_errors(cut(coded), "label", "error", "label_error").select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bounded_ring, op2_template_text, op3_packing, op4_blockmax_search, op5_ngram_trie, op6_licenses, op7_quality, op8_decontamination, op9_toxicity, op10_simhash)}
+    return {f.__name__: f for f in (op1_bounded_ring, op2_template_text, op3_packing, op4_blockmax_search, op5_ngram_trie, op6_licenses, op7_quality, op8_decontamination, op9_toxicity, op10_simhash, op11_partial_distance, op12_byte_bpe)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -93,6 +110,22 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Assignments and means of the codebooks as joins over single components; a distance and an index are one number."""
+    steps = [f"""kept AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT r, (i - 1) // (len(v) // {parts}) AS p, (i - 1) % (len(v) // {parts}) AS j, v[i] AS x FROM (SELECT r, v, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+c0 AS MATERIALIZED (SELECT p, r AS e, j, x AS y FROM x WHERE r < {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT r, p, min(d * {entries} + e) AS m FROM (SELECT r, p, e, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN c{k} USING (p, j) GROUP BY r, p, e) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (SELECT p, e, j, coalesce((s - (s % n + n) % n) // n, y)::BIGINT AS y FROM c{k} LEFT JOIN (SELECT p, m % {entries} AS e, j, sum(x)::BIGINT AS s, count(*) AS n FROM x JOIN a{k} USING (r, p) GROUP BY 1, 2, 3) USING (p, e, j))""")
+    return f"""WITH {", ".join(steps)},
+coded AS (SELECT r, string_agg(lpad(lower(hex(m % {entries})), 2, '0'), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY p, e, j)) FROM c{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The other operators' hashes, models or windows have no counterpart in SQL; tests hold them to brute force."""
-    return {"op4_blockmax_search": _SEARCH_SQL, "op8_decontamination": _DECONTAMINATION_SQL}
+    return {"op4_blockmax_search": _SEARCH_SQL, "op8_decontamination": _DECONTAMINATION_SQL, "op11_partial_distance": _codes_sql()}

@@ -1,0 +1,84 @@
+import hashlib
+from collections import defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lumengraph.llm import vector_codes as S
+from lumengraph.llm.queries import oracle_sql, op11_partial_distance
+
+
+def brute(rows, parts=16, entries=64, rounds=2):
+    """Plain Python, all distances in full."""
+    fine = [r for r in rows if r[1] and all(x is not None and np.isfinite(x) for x in r[1])]
+    fine.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    if not fine:
+        return []
+    width = len(fine[0][1]) // parts
+    v = [[int(np.floor(256 * float(x))) for x in r[1]] for r in fine]
+    cut = [[tuple(x[p * width : (p + 1) * width]) for p in range(parts)] for x in v]
+    books = [[x[p] for x in cut[:entries]] for p in range(parts)]
+
+    def near(p, part):
+        return min((sum((a - b) ** 2 for a, b in zip(part, e, strict=True)), k) for k, e in enumerate(books[p]))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            mine = defaultdict(list)
+            for x in cut:
+                mine[near(p, x[p])[1]].append(x[p])
+            for k, members in mine.items():
+                books[p][k] = tuple(sum(c) // len(members) for c in zip(*members, strict=True))
+    digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    found = [[near(p, x[p]) for p in range(parts)] for x in cut]
+    by_label = defaultdict(int)
+    for r, f in zip(fine, found, strict=True):
+        by_label[r[2]] += sum(d for d, _ in f)
+    return [(r[0], "".join(f"{k:02x}" for _, k in f), sum(d for d, _ in f), by_label[r[2]], digest) for r, f in zip(fine, found, strict=True)]
+
+
+def run(spark, folder, frame):
+    frame.write.mode("overwrite").parquet(f"{folder}/embeddings.parquet")
+    return sorted(map(tuple, op11_partial_distance(spark, str(folder)).collect()), key=str)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 30), st.integers(1, 20), st.integers(1, 6), st.integers(1, 6), st.integers(0, 10**6))
+def test_nearest_with_ties(rows, entries, width, spread, seed):
+    rng = np.random.default_rng(seed)
+    parts, book = rng.integers(-spread, spread, (rows, width)), rng.integers(-spread, spread, (entries, width))
+    index, distance = S.nearest(parts, book)
+    full = ((parts[:, None, :] - book[None, :, :]) ** 2).sum(2)
+    assert index.tolist() == full.argmin(1).tolist() and distance.tolist() == full.min(1).tolist()
+
+
+def test_query_against_plain_python_and_sql(spark, sf, tmp_path):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    got = sorted(map(tuple, op11_partial_distance(spark, sf).collect()), key=str)
+    assert got == sorted(brute(rows), key=str)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    assert sorted(con.execute(oracle_sql()["op11_partial_distance"]).fetchall(), key=str) == got
+
+
+def test_odd_rows(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    some = [(k, [float(x) for x in rng.normal(size=32)], k % 3 if k % 4 else None) for k in range(40)]
+    rows = [*some, some[5], some[5], (7, [2.0] * 32, 1), (None, [0.5] * 32, None), (50, None, 1), (51, [], 1), (52, [None] + [0.0] * 31, 1), (53, [float("nan")] + [0.0] * 31, 1), (54, [float("inf")] + [0.0] * 31, 1), (55, [0.25] * 32, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS code", "2 AS error", "3 AS v", "4 AS row", "'x' AS __key", "5 AS __rows")
+    assert run(spark, tmp_path, frame) == sorted(brute(rows), key=str)
+    assert run(spark, tmp_path, frame.where("vec_id < 3")) == sorted(brute([r for r in rows if r[0] is not None and r[0] < 3]), key=str)
+    assert run(spark, tmp_path, frame.where("vec_id = 50")) == [] == run(spark, tmp_path, frame.limit(0))
+    # another length than the first vector's: left out, as documented
+    assert len(run(spark, tmp_path, frame.union(frame.where("vec_id = 1").selectExpr("99 AS vec_id", "array(1D, 2D)", "label", "code", "error", "v", "row", "__key", "__rows")))) == len(brute(rows))
+
+
+def test_lengths_and_sizes_that_cannot_be(spark):
+    with pytest.raises(ValueError, match="equal parts"):
+        S.fit(spark.createDataFrame([(1, [1.0] * 10)], "vec_id long, embedding array<double>"))
+    with pytest.raises(ValueError, match="in size"):
+        S.integers(pa.array([[1e9, 0.0]]), 2)
