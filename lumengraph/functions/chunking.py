@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # Characters after which a text may be cut.
 SENTENCE_ENDS = "。！？!?；;"
@@ -17,53 +22,47 @@ def split_after(text: Column, breakers: str, limit: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def with_offsets(pieces: Column, base: Column | int = 0) -> Column:
-    """Pieces in a row -> structs of offset and text, offsets running on from ``base``."""
-    start = F.struct((base if isinstance(base, Column) else F.lit(base)).cast("int").alias("next"), F.array().cast("array<struct<off:int,text:string>>").alias("out"))
-
-    def add(acc, piece):
-        return F.struct((acc["next"] + F.length(piece)).cast("int").alias("next"), F.concat(acc["out"], F.array(F.struct(acc["next"].alias("off"), piece.alias("text")))).alias("out"))
-
-    return F.aggregate(pieces, start, add, lambda acc: acc["out"])
-
-
-def paragraphs(text: Column) -> Column:
-    """Runs without a newline, with their offsets."""
-    return F.filter(with_offsets(F.regexp_extract_all(text, F.lit(r"[^\n]+|\n+"), F.lit(0))), lambda p: ~p["text"].startswith("\n"))
-
-
-def units(text: Column, target: int = TARGET, longest: int = LONGEST) -> Column:
-    """Paragraphs; those longer than ``longest`` by sentences at ``target``; such sentences by soft breaks."""
-
-    def fine(s):
-        return F.when(F.length(s["text"]) > longest, with_offsets(split_after(s["text"], SOFT_BREAKS, target), s["off"])).otherwise(F.array(s))
+def unit_spans(text: str, target: int = TARGET, longest: int = LONGEST) -> Iterator[tuple[int, int]]:
+    """Paragraphs as [start, end); those longer than ``longest`` by sentences at ``target``; such sentences by soft breaks."""
+    sentence, soft = (re.compile(rf".{{{max(target - 1, 0)},}}?[{b}]|.+\Z", re.DOTALL) for b in (SENTENCE_ENDS, SOFT_BREAKS))
+    for paragraph in re.finditer(r"[^\n]+", text):
+        for coarse in sentence.finditer(text, *paragraph.span()) if len(paragraph[0]) > longest else [paragraph]:
+            for fine in soft.finditer(text, *coarse.span()) if len(coarse[0]) > longest else [coarse]:
+                yield fine.span()
 
-    def coarse(p):
-        sentences = with_offsets(split_after(p["text"], SENTENCE_ENDS, target), p["off"])
-        return F.when(F.length(p["text"]) > longest, F.flatten(F.transform(sentences, fine))).otherwise(F.array(p))
 
-    return F.flatten(F.transform(paragraphs(text), coarse))
+def chunk_spans(text: str, target: int = TARGET, longest: int = LONGEST, shortest: int = SHORTEST) -> Iterator[tuple[int, int]]:
+    """Units with short neighbours joined, as [start, end) of the text; each unit is looked at once."""
+    open_: tuple[int, int] | None = None
+    for start, end in unit_spans(text, target, longest):
+        if open_ is None:
+            open_ = start, end
+            continue
+        first, last = open_
+        small = min(last - first, end - start) < shortest or last - first < target
+        if start - last <= 1 and end - first <= longest and small:
+            open_ = first, end
+        else:
+            yield open_
+            open_ = start, end
+    if open_:
+        yield open_
 
 
-def merge(pieces: Column, target: int = TARGET, longest: int = LONGEST, shortest: int = SHORTEST) -> Column:
-    """Short neighbours joined (a newline between them becomes a space); blank results dropped."""
-    kind = "array<struct<off:int,text:string>>"
+def chunks(text: Column, target: int = TARGET, longest: int = LONGEST, shortest: int = SHORTEST) -> Column:
+    """Structs of offset and text; a newline inside a chunk becomes a space, blank chunks are dropped. Linear in the text."""
 
-    def add(acc, u):
-        prev = F.element_at(acc, -1)
-        gap = u["off"] - prev["off"] - F.length(prev["text"])
-        close = (gap >= 0) & (gap <= 1) & (F.length(prev["text"]) + gap + F.length(u["text"]) <= longest)
-        wanted = (F.length(prev["text"]) < shortest) | (F.length(u["text"]) < shortest) | (F.length(prev["text"]) < target)
-        joined = F.struct(prev["off"].alias("off"), F.concat(prev["text"], F.repeat(F.lit(" "), gap), u["text"]).alias("text"))
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))
-        return F.when(F.size(acc) == 0, F.array(u)).otherwise(F.when(close & wanted, grown).otherwise(F.concat(acc, F.array(u))))
+    @pandas_udf("array<struct<off:int,text:string>>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: [{"off": a, "text": x} for a, z in chunk_spans(t or "", target, longest, shortest) if (x := t[a:z].replace("\n", " ")).strip()])
 
-    return F.filter(F.aggregate(pieces, F.array().cast(kind), add), lambda c: F.trim(F.regexp_replace(c["text"], r"\s+", " ")) != "")
+    return cut(text)
 
 
 def chunk_rows(docs: DataFrame, text: str = "text", target: int = TARGET, longest: int = LONGEST, shortest: int = SHORTEST) -> DataFrame:
     """One row per chunk: the other columns of ``docs`` with seq, chunk_id, char_offset, chunk_text."""
     rest = [c for c in docs.columns if c != text]
-    out = docs.select(*rest, F.posexplode(merge(units(F.col(text), target, longest), target, longest, shortest)).alias("seq", "c"))
+    out = docs.select(*rest, F.posexplode(chunks(F.col(text), target, longest, shortest)).alias("seq", "c"))
     number = F.col("seq").cast("string")
     return out.select(*rest, "seq", F.concat(F.col("doc_id").cast("string"), F.lit("::c"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))).alias("chunk_id"), F.col("c.off").alias("char_offset"), F.col("c.text").alias("chunk_text"))

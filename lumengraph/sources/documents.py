@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.wikitext import strip
+
 RAW = T.StructType([T.StructField(n, T.StringType()) for n in ("doc_id", "title", "url", "entity_type", "text")] + [T.StructField("infobox", T.MapType(T.StringType(), T.StringType())), T.StructField("_corrupt_record", T.StringType())])
 REQUIRED = ["doc_id", "title", "entity_type", "text"]
 
@@ -17,12 +19,12 @@ def json_folder(spark: SparkSession, path: str) -> DataFrame:
 
 def validate(rows: DataFrame, required: list[str] = REQUIRED) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with a reason); all required fields but the text are trimmed."""
-    missing = F.array_compact(F.array(*[F.when(F.trim(F.coalesce(F.col(c), F.lit(""))) == "", F.lit(c)) for c in required]))
+    missing = F.array_compact(F.array(*[F.when(strip(F.coalesce(F.col(c), F.lit(""))) == "", F.lit(c)) for c in required]))
     reason = F.when(F.col("_corrupt_record").isNotNull(), F.lit("unreadable")).when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ",")))
     tagged = rows.withColumn("reason", reason)
     ok = tagged.where("reason IS NULL").drop("reason", "_corrupt_record")
     for c in ("doc_id", "title", "url", "entity_type"):
-        ok = ok.withColumn(c, F.trim(c))
+        ok = ok.withColumn(c, strip(F.col(c)))
     return ok, tagged.where("reason IS NOT NULL").select("source", "reason")
 
 
@@ -30,13 +32,18 @@ def skip_done(rows: DataFrame, done: DataFrame, key: str = "doc_id") -> DataFram
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
-def ledger(rows: DataFrame, required: list[str], too_short: Column, done: DataFrame, key: str) -> DataFrame:
-    """Each row with why it is left out, or "accepted"."""
+def fault(required: list[str], too_short: Column) -> Column:
+    """Why a row by itself is left out; null if it isn't."""
     blank = F.lit(False)
     for c in required:
-        blank = blank | (F.trim(F.coalesce(F.col(c), F.lit(""))) == "")
+        blank = blank | (strip(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "")
+    return F.when(blank, "missing_field").when(too_short, "too_short")
+
+
+def ledger(rows: DataFrame, required: list[str], too_short: Column, done: DataFrame, key: str) -> DataFrame:
+    """Each row with why it is left out, or "accepted"."""
     marked = rows.join(done.select(F.col(key), F.lit(True).alias("__done")).distinct(), key, "left")
-    reason = F.when(blank, "missing_field").when(too_short, "too_short").when(F.col("__done"), "already_done").otherwise("accepted")
+    reason = F.coalesce(fault(required, too_short), F.when(F.col("__done"), "already_done").otherwise("accepted"))
     return marked.withColumn("reason", reason).drop("__done")
 
 
