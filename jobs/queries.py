@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import graph_tables, ingest_chunks
-from jobs.common import fresh_folder, read_if_there
+from jobs.common import read_if_there
 from lumengraph.catalogue.text import WSQ, chunk_sql, clean_sql
+from lumengraph.session import shared_folder
 
 
 def job1_ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = fresh_folder(spark, "job1_ingest_chunks")
+    folder = shared_folder(spark, "job1_ingest_chunks")
     for _ in range(2):
         ingest_chunks.run(spark, f"{sf_dir}/documents.parquet", f"{folder}/out", f"{folder}/checkpoint")
     chunks = read_if_there(spark, f"{folder}/out/chunks", ingest_chunks.CHUNKS)
@@ -21,7 +22,7 @@ def job1_ingest_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job2_graph_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = fresh_folder(spark, "job2_graph_tables")
+    folder = shared_folder(spark, "job2_graph_tables")
     paths = {k: f"{sf_dir}/{t}.parquet" for k, t in (("films", "orders"), ("cast", "lineitem"), ("actors", "supplier"), ("directors", "customer"))}
     for _ in range(2):
         graph_tables.run(spark, **paths, output=folder)

@@ -22,12 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that the cluster names for the driver and all executors; only a local session may go without."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not named and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named or '/tmp/checkpoints'}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names, or in one of our own where it names none."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    """Checkpoint in the folder the cluster names, or in one of our own where a local session names none."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "cuts"))
     return df.checkpoint(eager=True)
 
 
