@@ -1,251 +1,19 @@
-"""Answering from a gapped graph: search for missing edges in text, then prove answers within a chunk budget."""
+"""What repaired answers say and cite: search texts, citations, bounded negatives, sentences. The rounds are in ``gap_repair``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
-from itertools import combinations
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.grammar import Plan
 
 Edge = tuple[str, str, str]
-PROOFS = 64
-
-
-def in_scope(plan: Plan, edges: set[Edge]) -> set[Edge]:
-    """Edges (head, type, tail) that matter to the plan: parts and directions, no other relations."""
-    if plan.kind == "directors":
-        return {e for e in edges if e[2] in plan.subjects and e[1] == "directed"}
-    told = {e for e in edges if e[1] in ("acted_in", "directed")}
-    films = {t for h, _, t in told if h in plan.subjects}
-    return {e for e in told if e[0] in plan.subjects or e[2] in films}
-
-
-def proofs(plan: Plan, edges: set[Edge], limit: int = PROOFS) -> dict[str, list[tuple[Edge, ...]]]:
-    """Alternative proofs of each answer, at most ``limit``, in order of ids."""
-    films: dict[tuple[str, str], set[str]] = {}
-    for h, k, t in edges:
-        films.setdefault((h, k), set()).add(t)
-    of = lambda p, k: films.get((p, k), set())
-    out: dict[str, list[tuple[Edge, ...]]] = {}
-    if plan.kind == "directors":
-        return {h: [((h, k, t),)] for h, k, t in sorted(edges) if k == "directed" and t == plan.subjects[0]}
-    if plan.kind in ("cofilm", "director_actor"):
-        a, b = plan.subjects
-        first = "acted_in" if plan.kind == "cofilm" else "directed"
-        return {m: [((a, first, m), (b, "acted_in", m))] for m in sorted(of(a, first) & of(b, "acted_in"))}
-    cast = sorted({h for h, k, _ in edges if k == "acted_in"})
-    if plan.kind == "repeated_cast":
-        d = plan.subjects[0]
-        for p in cast:
-            shared = sorted(of(d, "directed") & of(p, "acted_in"))
-            if len(shared) >= plan.minimum:
-                out[p] = []
-                for group in combinations(shared, plan.minimum):
-                    out[p].append(tuple(e for m in group for e in ((d, "directed", m), (p, "acted_in", m))))
-                    if len(out[p]) == limit:
-                        break
-        return out
-    a, b = plan.subjects
-    for p in cast:
-        one, two = sorted(of(a, "directed") & of(p, "acted_in")), sorted(of(b, "directed") & of(p, "acted_in"))
-        pairs = [tuple(dict.fromkeys(((a, "directed", m), (p, "acted_in", m), (b, "directed", n), (p, "acted_in", n)))) for m in one for n in two]
-        if pairs:
-            out[p] = pairs[:limit]
-    return out
-
 
 # What a search for a missing edge says.
 OF_ROLE = {"acted_in": "出演 主演", "directed": "执导 导演"}
 OF_FILMS = {"acted_in": "参演 影片 片单", "directed": "执导 影片 片单"}
 TOGETHER = {"cofilm": "{0} {1} 共同出演 电影", "director_actor": "{0} 执导 {1} 出演 电影"}
 DIRECTORS, CAST, CAST_OF = "《{0}》 全部导演 执导", "《{0}》 演员 主演 配音", "{0} 执导 电影 演员 主演"
-#: The roles that a plan's subjects have, by kind; a kind that isn't listed has directors.
-ROLES = {"cofilm": ("acted_in", "acted_in"), "director_actor": ("directed", "acted_in")}
-
-
-def _almost(plan: Plan, edges: set[Edge]) -> list[str]:
-    """People with a part but without a proof, those of most films first."""
-    films = pd.Series({p: len({t for h, k, t in edges if h == p and k == "acted_in"}) for p in {h for h, k, _ in edges if k == "acted_in"} - set(proofs(plan, edges))}, dtype="int64")
-    return sorted(films.index, key=lambda p: (-films[p], p))
-
-
-def queries(plan: Plan, edges: set[Edge], names: dict[str, str], max_queries: int = 32, enhanced: bool = True) -> list[str]:
-    """Search texts for what the visible edges may lack, most promising first, each once."""
-    if plan.kind == "directors":
-        return [DIRECTORS.format(names[plan.subjects[0]])]
-    cast = list(zip(plan.subjects, ROLES.get(plan.kind, ("directed",) * len(plan.subjects)), strict=True))
-    films = sorted({t for h, _, t in edges if h in plan.subjects})
-    if plan.kind in TOGETHER:
-        first = [TOGETHER[plan.kind].format(*(names[p] for p, _ in cast))]
-        gaps = [f"《{names[m]}》 {names[p]} {OF_ROLE[role]}" for m in films for p, role in cast if (p, role, m) not in edges]
-    else:
-        first, gaps = [CAST_OF.format(names[p]) for p, _ in cast], [CAST.format(names[m]) for m in films]
-    lists: list[str] = []
-    if enhanced:
-        lists = [f"{names[p]} {OF_FILMS[role]}" for p, role in cast]
-        if plan.kind not in TOGETHER:
-            lists += [f"{names[p]} {OF_FILMS['acted_in']}" for p in _almost(plan, edges)]
-    whole = [f"{names[p]} {OF_ROLE[role]} 电影" for p, role in cast]
-    return list(dict.fromkeys([*lists[: max(2, max_queries // 2)], *first, *gaps, *whole]))
-
-
-class Citations:
-    """Chunks cited so far, at most ``limit``, and what a further proof would add to them.
-
-    ``support``: citable chunks of an edge; an edge that isn't listed is a graph edge and needs none.
-    """
-
-    def __init__(self, support: dict[Edge, list[str]], relevance: dict[str, float], limit: int):
-        self.support, self.relevance, self.limit = support, relevance, limit
-        self.cited: list[str] = []
-
-    def added(self, proof: tuple[Edge, ...]) -> list[str] | None:
-        """The chunks that the proof needs besides those cited; None if it can't be cited within the limit."""
-        new: dict[str, None] = {}
-        for choices in (self.support[e] for e in proof if e in self.support):
-            if not choices:
-                return None
-            if new.keys().isdisjoint(choices) and not set(self.cited) & set(choices):
-                new[min(choices, key=lambda c: (-self.relevance.get(c, 0.0), c))] = None
-        return list(new) if len(self.cited) + len(new) <= self.limit else None
-
-    def price(self, answer: str, proof: tuple[Edge, ...]) -> tuple | None:
-        new = self.added(proof)
-        return None if new is None else (len(new), -sum(self.relevance.get(c, 0.0) for c in new), answer, proof)
-
-
-def cover(alternatives: dict[str, list[tuple[Edge, ...]]], support: dict[Edge, list[str]], relevance: dict[str, float], limit: int) -> tuple[dict[str, tuple[Edge, ...]], list[str]]:
-    """Greedy choice of a proof per answer within ``limit`` chunks: fewest new chunks, then relevance, then ids."""
-    citations, chosen = Citations(support, relevance, limit), {}
-    open_ = [(a, p) for a, paths in alternatives.items() for p in paths]
-    while prices := [x for x in (citations.price(a, p) for a, p in open_) if x]:
-        *_, answer, proof = min(prices)
-        citations.cited += citations.added(proof)
-        chosen[answer] = proof
-        open_ = [x for x in open_ if x[0] != answer]
-    return chosen, citations.cited
-
-
-@dataclass
-class Trace:
-    asked: list[str] = field(default_factory=list)
-    rounds: int = 0
-    triggered: bool = False
-    reasons: list[str] = field(default_factory=list)
-    stopped: str = ""
-
-
-@dataclass
-class Repair:
-    answers: dict[str, tuple[Edge, ...]]
-    chunks: list[str]
-    repaired: dict[Edge, list[str]]
-    trace: Trace
-    negative: bool = False
-
-
-def repair(
-    plan: Plan,
-    visible: set[Edge],
-    linked: list[str],
-    search: Callable[[str, int], list[tuple[str, float]]],
-    verify: Callable[[list[str]], list[tuple[Edge, str]]],
-    names: dict[str, str],
-    graph_support: dict[Edge, list[str]] | None = None,
-    policy: str = "adaptive",
-    top_k: int = 6,
-    search_k: int = 20,
-    max_queries: int = 32,
-    max_rounds: int = 2,
-    audit: int = 40,
-    temporary_edges: bool = True,
-) -> Repair:
-    """One question. ``visible`` edges, ``linked`` evidence chunks, a vector search and a text verifier.
-
-    State lives here only: nothing is written back to the graph.
-    """
-    if top_k < 1:
-        raise ValueError("top_k must be at least 1")
-    active, repaired, pool, checked = set(visible), {}, {}, set()
-    trace = Trace()
-
-    def ingest(chunks: list[tuple[str, float]]) -> int:
-        new, added = [c for c, _ in chunks if c not in checked], 0
-        for c, score in chunks:
-            pool[c] = max(pool.get(c, 0.0), score)
-        checked.update(new)
-        if not temporary_edges:
-            return 0
-        claims = verify(new) if new else []
-        wanted = in_scope(plan, active | {e for e, _ in claims})
-        for e, chunk in claims:
-            if e in wanted and e not in visible:
-                added += e not in repaired
-                repaired.setdefault(e, [])
-                if chunk not in repaired[e]:
-                    repaired[e].append(chunk)
-                active.add(e)
-        return added
-
-    before = proofs(plan, in_scope(plan, visible))
-    found = ingest([(c, 0.5) for c in linked[:audit]])
-    if not before:
-        trace.reasons.append("no_complete_proof")
-    if found:
-        trace.reasons.append("text_graph_disagreement")
-    if not plan.boolean:
-        trace.reasons.append("set_completeness_unverified")
-    trace.triggered = policy == "always" or (policy == "adaptive" and bool(trace.reasons))
-    if policy == "off":
-        active, repaired = set(visible), {}
-    share = max(1, max_queries // max_rounds)
-    while trace.triggered and trace.rounds < max_rounds and len(trace.asked) < max_queries:
-        queue = [q for q in queries(plan, in_scope(plan, active), names, max_queries) if q not in trace.asked]
-        now = queue[: min(share, max_queries - len(trace.asked))]
-        if not now:
-            trace.stopped = "nothing_to_ask"
-            break
-        added = 0
-        for q in now:
-            trace.asked.append(q)
-            added += ingest(search(q, search_k))
-        trace.rounds += 1
-        if not added and len(now) == len(queue):
-            trace.stopped = "settled"
-            break
-    support = dict(graph_support or {})
-    support.update(repaired)
-    answers, chunks = cover(proofs(plan, active), {e: c for e, c in support.items() if e in active}, pool, top_k)
-    if not answers:
-        chunks = [c for c, _ in sorted(pool.items(), key=lambda x: (-x[1], x[0]))[:top_k]]
-    return Repair(answers, chunks, repaired, trace)
-
-
-def cover_questions(options: DataFrame, limit: int = 6) -> DataFrame:
-    """Greedy covers, a group per question: rows (question_id, answer_id, proof, edge, chunk_id, relevance)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        alternatives: dict[str, dict[str, list[Edge]]] = {}
-        support: dict[Edge, list[str]] = {}
-        relevance: dict[str, float] = {}
-        for r in pdf.sort_values(["answer_id", "proof", "edge", "chunk_id"]).itertuples():
-            edge = (r.edge, "", "")
-            proof = alternatives.setdefault(r.answer_id, {}).setdefault(r.proof, [])
-            if edge not in proof:
-                proof.append(edge)
-            if r.chunk_id not in support.setdefault(edge, []):
-                support[edge].append(r.chunk_id)
-            relevance[r.chunk_id] = max(relevance.get(r.chunk_id, 0.0), r.relevance)
-        chosen, chunks = cover({a: [tuple(e) for e in p.values()] for a, p in alternatives.items()}, support, relevance, limit)
-        return pd.DataFrame([(pdf["question_id"].iloc[0], a, i, ",".join(sorted(chunks))) for i, a in enumerate(chosen)], columns=["question_id", "answer_id", "place", "chunks"])
-
-    kind = dict(options.dtypes)["question_id"]
-    return options.groupBy("question_id").applyInPandas(run, f"question_id {kind}, answer_id string, place int, chunks string")
 
 
 def prune_uncited(proof_edges: DataFrame, edge_chunks: DataFrame, used: DataFrame, key: str = "question_id") -> DataFrame:

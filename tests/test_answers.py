@@ -70,36 +70,8 @@ def test_role_sentences_give_exact_spans(spark):
     assert E.verify(chunks, ENTITIES, records=False).count() == 0
 
 
-WHOLE = {("p1", "acted_in", "f1"), ("p2", "acted_in", "f1")}
 NAMES = {"p1": "安娜", "p2": "鲍勃", "f1": "流星"}
 PLAN = Plan("cofilm", ("p1", "p2"), "Movie")
-CLAIMS = {"c1": [("p1", "acted_in", "f1")], "c2": [("p2", "acted_in", "f1")], "c3": [("p9", "acted_in", "f9")]}
-
-
-def run(visible=frozenset(), **kw):
-    return R.repair(PLAN, set(visible), [], lambda q, k: [("c1", 0.9), ("c2", 0.8), ("c3", 0.7)], lambda cs: [(e, c) for c in cs for e in CLAIMS[c]], NAMES, **kw)
-
-
-def test_repair_finds_masked_edges_and_keeps_its_budget():
-    out = run()
-    assert set(out.answers) == {"f1"} and sorted(out.chunks) == ["c1", "c2"] and set(out.repaired) == WHOLE
-    assert "no_complete_proof" in out.trace.reasons and out.trace.triggered
-    assert run(top_k=1).answers == {} and len(run(top_k=1).chunks) == 1
-    assert run(policy="off").answers == {} and run(temporary_edges=False).answers == {}
-    visible = set()
-    run(visible)
-    assert visible == set()
-    assert len(run(max_queries=1).trace.asked) == 1
-    with pytest.raises(ValueError):
-        run(top_k=0)
-
-
-def test_cover_prefers_few_chunks_and_skips_uncitable_proofs():
-    a, b = ("x", "t", "1"), ("x", "t", "2")
-    chosen, chunks = R.cover({"A": [(a,), (b,)], "B": [(b,)]}, {a: ["k1"], b: ["k2"]}, {"k1": 0.1, "k2": 0.9}, 1)
-    assert chosen == {"A": (b,), "B": (b,)} and chunks == ["k2"]
-    assert R.cover({"A": [(a,)]}, {a: []}, {}, 3) == ({}, [])
-    assert R.cover({"A": [(a,)]}, {}, {}, 0)[0] == {"A": (a,)}
 
 
 def test_minmax_rrf_and_fusion(spark):

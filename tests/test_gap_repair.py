@@ -1,0 +1,133 @@
+"""Gap repair of many questions at once against a plain version of one question."""
+
+import random
+import zlib
+
+import pandas as pd
+import pytest
+from plain_repair import cover as plain_cover
+from plain_repair import repair as plain
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from lumengraph.operators import gap_repair as G
+from lumengraph.operators import repair as R
+from lumengraph.session import cut_lineage
+
+PLANS = "query_id int, kind string, subjects array<string>, minimum int, boolean boolean"
+
+
+def world(seed, people=7, films=8):
+    rng = random.Random(seed)
+    p, m = [f"p{k}" for k in range(people)], [f"f{k}" for k in range(films)]
+    true = {(rng.choice(p[:3]), "directed", f) for f in m} | {(rng.choice(p[:3]), "directed", f) for f in m[:3]} | {(x, "acted_in", f) for x in p for f in m if rng.random() < 0.45} | {("p1", "wrote", "f1")}
+    visible = {e for e in sorted(true) if rng.random() < 0.6}
+    docs = [*(f"web_{k}" for k in range(5)), *(f"person_actor_{x}" for x in p[:3])]
+    chunks = {f"c{k}": (rng.choice(docs), "是数据集中的演员" if rng.random() < 0.3 else "text") for k in range(25)}
+    claims = {c: rng.sample(sorted(true), rng.randint(0, 3)) for c in chunks}
+    evidence = {e: rng.sample([*chunks, "gone"], rng.randint(0, 3)) for e in sorted(visible) if rng.random() < 0.7}
+    plans = [("directors", [rng.choice(m)], 1, False)]
+    for kind in ("cofilm", "director_actor", "director_overlap"):
+        plans += [(kind, rng.sample(p[:3] if kind == "director_overlap" else p, 2), 1, rng.random() < 0.5) for _ in range(2)]
+    plans += [("repeated_cast", [x], k, False) for x, k in zip(p[:3], (2, 3, 1), strict=True)]
+    return visible, evidence, chunks, claims, plans, {x: f"name {x}" for x in (*p, *m)}
+
+
+def score(text, chunk):
+    return (zlib.crc32(f"{text}#{chunk}".encode()) % 50 + 1) / 50
+
+
+@pytest.mark.parametrize(
+    ("seed", "settings"),
+    [(1, {}), (2, {"top_k": 2, "max_queries": 5}), (3, {"policy": "off"}), (4, {"temporary_edges": False, "max_rounds": 1}), (5, {"enhanced": False, "search_k": 2, "max_queries": 4}), (6, {"policy": "always", "top_k": 1, "audit": 2})],
+)
+def test_all_questions_at_once(spark, seed, settings):
+    visible, evidence, chunks, claims, plans, names = world(seed)
+    rows = [(q, *p) for q, p in enumerate(plans)]
+    listed = spark.createDataFrame([(c, *v) for c, v in chunks.items()], "chunk_id string, doc_id string, text string")
+
+    @pandas_udf("double")
+    def scored(t: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([(zlib.crc32(f"{a}#{b}".encode()) % 50 + 1) / 50 for a, b in zip(t, c, strict=True)])
+
+    def search(asked, k):
+        every = asked.crossJoin(listed.select("chunk_id")).withColumn("score", scored("question", "chunk_id"))
+        n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+        return every.withColumn("n", n).where(F.col("n") <= k).select("query_id", "chunk_id", "score")
+
+    edge = "head_id string, type string, tail_id string"
+    told = spark.createDataFrame([(c, *e) for c, es in claims.items() for e in es], f"chunk_id string, {edge}")
+    out = G.repair(
+        spark.createDataFrame(rows, PLANS), spark.createDataFrame(sorted(visible) * 2, edge), spark.createDataFrame([(*e, c) for e, cs in evidence.items() for c in cs], f"{edge}, chunk_id string"),
+        listed, spark.createDataFrame(list(names.items()), "id string, name string"), search, lambda new: told.join(new.select("chunk_id"), "chunk_id"), cut_lineage, **settings,
+    )
+    answers, ranked, found = {}, {}, {}
+    for r in out.answers.collect():
+        answers.setdefault(r["query_id"], {})[r["answer_id"]] = [tuple(e) for e in r["edges"]]
+    for r in out.chunks.orderBy("query_id", "rank").collect():
+        ranked.setdefault(r["query_id"], []).append(r["chunk_id"])
+    for r in out.repaired.collect():
+        found.setdefault(r["query_id"], set()).add(((r["head_id"], r["type"], r["tail_id"]), r["chunk_id"]))
+    trace = {r["query_id"]: r.asDict() for r in out.trace.collect()}
+
+    def plain_search(text, k):
+        return sorted(((c, score(text, c)) for c in chunks), key=lambda x: (-x[1], x[0]))[:k]
+
+    for q, plan in enumerate(plans):
+        want, shown, claimed, told_of = plain(plan, visible, evidence, chunks, names, plain_search, claims, **settings)
+        assert found.get(q, set()) == claimed, (seed, plan)
+        assert {k: v for k, v in trace[q].items() if k in told_of} == told_of, (seed, plan)
+        assert answers.get(q, {}) == want and ranked.get(q, []) == shown, (seed, plan)
+
+
+@pytest.mark.parametrize(("seed", "limit"), [(1, 0), (2, 1), (3, 2), (4, 3), (5, 5), (6, 50)])
+def test_covers_are_greedy(spark, seed, limit):
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for q in range(12):
+        size = rng.choice([4, 9, 30])
+        relevance = {f"c{k}": rng.choice([0.1, 0.2, 0.5, 0.9]) for k in range(size)}
+        support = {(f"e{k}", "t", "x"): rng.sample(sorted(relevance), rng.choice([0, 1, 1, 2, 3])) for k in range(10)}
+        options = {f"a{k}": [rng.sample([*sorted(support), ("free", "t", "x")], rng.randint(1, 3)) for _ in range(rng.randint(1, 3))] for k in range(6)}
+        for a, paths in options.items():
+            for n, path in enumerate(paths):
+                rows.append((q, a, n, ["|".join(e) for e in path], [[(c, relevance[c]) for c in sorted(support[e])] for e in path if e in support]))
+        want[q] = plain_cover(options, support, relevance, limit)
+    df = spark.createDataFrame(rows, "query_id int, answer_id string, proof int, key array<string>, edges array<array<struct<chunk_id:string,relevance:double>>>")
+    chosen, cited = G.cover(df, limit, cut_lineage)
+    got = {q: ({}, set()) for q in want}
+    for r in chosen.collect():
+        assert r["answer_id"] not in got[r["query_id"]][0]
+        got[r["query_id"]][0][r["answer_id"]] = r["proof"]
+    for r in cited.collect():
+        got[r["query_id"]][1].update(r["chunks"])
+    assert got == want
+
+
+def test_relevance_counts_over_all_required_chunks(spark):
+    rows = [(1, "A", 0, ["A"], [[("x", 0.9)]]), (1, "B", 0, ["B"], [[("x", 0.9)], [("y", 0.5)]]), (1, "C", 0, ["C"], [[("z", 0.6)]])]
+    df = spark.createDataFrame(rows, "query_id int, answer_id string, proof int, key array<string>, edges array<array<struct<chunk_id:string,relevance:double>>>")
+    chosen, _ = G.cover(df, 2, cut_lineage)
+    assert {r["answer_id"] for r in chosen.collect()} == {"A", "B"}
+
+
+def test_proofs_of_three_films_stop_at_the_first(spark):
+    edges = [(1, "d", "directed", f"f{k:03d}") for k in range(90)] + [(1, "x", "acted_in", f"f{k:03d}") for k in range(90)]
+    plans = spark.createDataFrame([(1, "repeated_cast", ["d"], 3, False)], PLANS)
+    got = G.proofs(plans, spark.createDataFrame(edges, "query_id int, head_id string, type string, tail_id string")).orderBy("proof").collect()
+    assert len(got) == 64 and [e["tail_id"] for e in got[63]["edges"]][::2] == ["f000", "f001", "f065"]
+
+
+def test_no_questions_and_bad_settings(spark):
+    none = spark.createDataFrame([], "head_id string, type string, tail_id string, chunk_id string, doc_id string, text string, id string, name string")
+    args = (spark.createDataFrame([], PLANS), none, none, none, none, lambda a, k: a.selectExpr("query_id", "'' AS chunk_id", "0D AS score"), lambda new: none.select("chunk_id", *G.EDGE), cut_lineage)
+    out = G.repair(*args)
+    assert out.answers.count() == 0 == out.chunks.count() == out.trace.count()
+    for bad in ({"policy": "never"}, {"top_k": 0}, {"max_rounds": 0}):
+        with pytest.raises(ValueError):
+            G.repair(*args, **bad)
+
+
+def test_texts_are_the_fixed_ones():
+    assert R.TOGETHER["cofilm"].format("甲", "乙") == "甲 乙 共同出演 电影"
