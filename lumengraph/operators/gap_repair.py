@@ -35,6 +35,8 @@ ROLES = ("acted_in", "directed")
 PAIRS = ("cofilm", "director_actor")
 # Fixed value: what the text of a filmography record says.
 RECORD_MARK = "是数据集中的"
+# What is said without an answer.
+NEGATIVE, UNPROVED = "在当前语料的完整片单中没有共同影片；这不排除语料之外的情况。", "没有找到完整的证据。"
 Cut = Callable[[DataFrame], DataFrame]
 
 
@@ -65,6 +67,11 @@ def _films(r: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.where(F.col("type").isin(*ROLES)).join(subject, ["query_id", "head_id"], "left_semi").select("query_id", "tail_id").distinct()
 
 
+def kinds_of(plans: DataFrame) -> set[str]:
+    """The kinds that occur: at most the five there are, and only their parts of a plan need to run."""
+    return {r[0] for r in plans.select("kind").distinct().collect()}
+
+
 def scope(plans: DataFrame, edges: DataFrame) -> DataFrame:
     """(query_id, head_id, type, tail_id): for each question the edges of the graph that matter to it."""
     r = roots(plans)
@@ -77,6 +84,7 @@ def proofs(plans: DataFrame, edges: DataFrame, limit: int = PROOFS) -> DataFrame
 
     ``edges``: query_id, head_id, type, tail_id. Only the films that the first ``limit`` proofs can hold are gathered.
     """
+    kinds = kinds_of(plans)
     e = edges.where(F.col("type").isin(*ROLES)).select("query_id", *EDGE).distinct()
     first, second = F.col("subjects")[0], F.get(F.col("subjects"), 1)
     p = plans.select("query_id", "kind", first.alias("a"), second.alias("b"), F.greatest(F.lit(1), F.coalesce("minimum", F.lit(1))).alias("minimum"))
@@ -87,7 +95,7 @@ def proofs(plans: DataFrame, edges: DataFrame, limit: int = PROOFS) -> DataFrame
 
     told = p.where("kind = 'directors'").join(directed, "query_id").where("film = a").select("query_id", who.alias("answer_id"), F.lit(0).alias("proof"), F.array(edge(who, "directed", film)).alias("edges"))
     both = []
-    for kind, left, role in (("cofilm", acted, "acted_in"), ("director_actor", directed, "directed")):
+    for kind, left, role in (x for x in (("cofilm", acted, "acted_in"), ("director_actor", directed, "directed")) if x[0] in kinds):
         q = p.where(F.col("kind") == kind)
         one = q.join(left, "query_id").where("person = a").select("query_id", "a", "b", "film")
         two = acted.withColumnRenamed("person", "b")
@@ -116,7 +124,8 @@ def proofs(plans: DataFrame, edges: DataFrame, limit: int = PROOFS) -> DataFrame
     overlap = one.join(two, ["query_id", "person"]).select(*by_person, F.posexplode(pairs).alias("proof", "m"))
     four = F.array(edge(F.col("a"), "directed", F.col("m.x")), edge(who, "acted_in", F.col("m.x")), edge(F.col("b"), "directed", F.col("m.y")), edge(who, "acted_in", F.col("m.y")))
     overlap = overlap.select("query_id", who.alias("answer_id"), "proof", F.array_distinct(four).alias("edges"))
-    return reduce(DataFrame.unionByName, [told, *both, repeated, overlap])
+    # the frame of "directors" gives the columns, whatever kinds there are
+    return reduce(DataFrame.unionByName, [told, *both, *[repeated] * ("repeated_cast" in kinds), *[overlap] * ("director_overlap" in kinds)])
 
 
 def search_texts(plans: DataFrame, active: DataFrame, proved: DataFrame, names: DataFrame, lists_limit: int, enhanced: bool) -> DataFrame:
@@ -135,8 +144,13 @@ def search_texts(plans: DataFrame, active: DataFrame, proved: DataFrame, names:
     parts = [r.where("kind = 'directors' AND place = 0").select(row(1, none, F.lit(0), F.format_string(_slots(DIRECTORS, 1), name)))]
     rest = r.where("kind <> 'directors'")
     two = rest.where(pair).groupBy("query_id", "kind").agg(F.max_by("name", -place).alias("n0"), F.max_by("name", place).alias("n1"))
+    kinds = kinds_of(plans)
     for kind, text in TOGETHER.items():
+        if kind not in kinds:
+            continue
         parts.append(two.where(F.col("kind") == kind).select(row(1, none, F.lit(0), F.format_string(_slots(text, 2), "n0", "n1"))))
+    if not kinds - {"directors"}:
+        return parts[0].groupBy("query_id", "text").agg(F.min(F.struct("section", "first", "second")).alias("place"))
     parts.append(rest.where(~pair).select(row(1, none, place, F.format_string(_slots(CAST_OF, 1), name))))
     films = _films(roots(plans), active).join(names.select(F.col("id").alias("tail_id"), F.col("name").alias("title")), "tail_id")
     wanted = films.join(rest.where(pair), "query_id").select("query_id", F.col("id").alias("head_id"), F.col("role").alias("type"), "tail_id", "title", "name", "place", "role")
@@ -219,12 +233,13 @@ def cover(options: DataFrame, limit: int, cut: Cut) -> tuple[DataFrame, DataFram
 class Outcome:
     """answers: query_id, answer_id, edges (its proof). chunks: query_id, rank, chunk_id, score, what is cited or, without an answer,
     what is most relevant. repaired: query_id, head_id, type, tail_id, chunk_id of edges found in text. trace: query_id, triggered,
-    reasons, asked, rounds, read, found, candidates, answered."""
+    reasons, asked, rounds, read, found, candidates, answered. read: query_id, chunk_id, relevance of every chunk read."""
 
     answers: DataFrame
     chunks: DataFrame
     repaired: DataFrame
     trace: DataFrame
+    read: DataFrame
 
 
 def repair(
@@ -305,9 +320,9 @@ def repair(
         going = state.where("going").select("query_id", F.col("asked").alias("so_far"))
         if going.isEmpty():
             break
-        active = seen.unionByName(found.select("query_id", *EDGE)).distinct()
-        alive = plans.join(going, "query_id", "left_semi")
-        proved = proofs(alive, active).select("query_id", "answer_id").distinct()
+        active = cut(seen.unionByName(found.select("query_id", *EDGE)).distinct())
+        alive = cut(plans.join(going, "query_id", "left_semi"))
+        proved = cut(proofs(alive, active).select("query_id", "answer_id").distinct())
         queue = search_texts(alive, active.join(going, "query_id", "left_semi"), proved, names, max(2, max_queries // 2), enhanced)
         if asked is not None:
             queue = queue.join(asked, ["query_id", "text"], "left_anti")
@@ -343,7 +358,7 @@ def siblings(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def _prove(plans, seen, found, evidence, chunks, pool, state, top_k: int, cut: Cut) -> Outcome:
-    active = seen.unionByName(found.select("query_id", *EDGE)).distinct()
+    active = cut(seen.unionByName(found.select("query_id", *EDGE)).distinct())
     paths = cut(proofs(plans, active))
     graph = seen.join(evidence.select(*EDGE, "chunk_id"), EDGE).join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("query_id", *EDGE, "chunk_id")
     support = graph.unionByName(found).distinct().join(pool, ["query_id", "chunk_id"], "left")
@@ -363,7 +378,43 @@ def _prove(plans, seen, found, evidence, chunks, pool, state, top_k: int, cut: C
     trace = state.drop("going")
     for df, name in ((pool, "read"), (paths.select("query_id", "answer_id").distinct(), "candidates"), (answers, "answered")):
         trace = trace.join(count(df, name), "query_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return Outcome(answers, ranked, found, trace)
+    return Outcome(answers, ranked, found, trace, pool)
+
+
+def evidence_nodes(out: Outcome) -> DataFrame:
+    """(query_id, chunk_id, entities, edges): for each cited chunk the repaired edges of chosen proofs that it supports, and their ends."""
+    used = out.answers.select("query_id", F.explode("edges").alias("e")).select("query_id", "e.*").distinct()
+    told = out.repaired.join(used, ["query_id", *EDGE], "left_semi").join(out.chunks.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    ends = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("head_id", "tail_id"))))).alias("entities")
+    return told.groupBy("query_id", "chunk_id").agg(ends, F.array_sort(F.collect_set(F.struct(*EDGE))).alias("edges"))
+
+
+def bounded_negatives(plans: DataFrame, out: Outcome, records: DataFrame, limit: int = 6) -> DataFrame:
+    """(query_id, chunks): yes-no questions about common films of two people that may be answered "no, not in this corpus".
+
+    ``plans`` asks about this corpus only; ``records``: chunk_id, owner, films of complete filmography records. Both people's records were read, they share no film, nothing was proved, at least one search was
+    made and all these chunks fit into the budget. It says nothing beyond the corpus.
+    """
+    silent = out.trace.where("candidates = 0 AND asked > 0").select("query_id")
+    asked = plans.where("kind = 'cofilm' AND boolean").join(silent, "query_id", "left_semi").select("query_id", F.size(F.array_distinct("subjects")).alias("people"), F.explode(F.array_distinct("subjects")).alias("owner"))
+    seen = asked.join(records, "owner").join(out.read.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
+    films = seen.select("query_id", "owner", F.explode("films").alias("film")).distinct().groupBy("query_id", "film").agg(F.count("*").alias("n"))
+    common = films.where("n > 1").select("query_id").distinct()
+    whole = seen.groupBy("query_id", "people").agg(F.countDistinct("owner").alias("n"), F.array_sort(F.collect_set("chunk_id")).alias("chunks"))
+    return whole.where((F.col("n") == F.col("people")) & (F.size("chunks") <= limit)).join(common, "query_id", "left_anti").select("query_id", "chunks")
+
+
+def answer_texts(plans: DataFrame, out: Outcome, names: DataFrame, negatives: DataFrame | None = None) -> DataFrame:
+    """(query_id, answer): a fixed sentence per question; answers in order of id, people with the films that prove them."""
+    film = out.answers.select("query_id", "answer_id", F.explode("edges").alias("e")).select("query_id", "answer_id", F.col("e.tail_id").alias("id")).where("id <> answer_id").distinct()
+    titled = film.join(names.select("id", F.col("name").alias("title")), "id", "left").groupBy("query_id", "answer_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("title", "id").alias("t")))), lambda x: x["t"]), "、").alias("films"))
+    lines = out.answers.join(plans.select("query_id", "kind"), "query_id").join(titled, ["query_id", "answer_id"], "left").join(names.select(F.col("id").alias("answer_id"), "name"), "answer_id", "left")
+    line = F.concat(F.coalesce("name", "answer_id"), F.when(F.col("kind").isin("repeated_cast", "director_overlap") & F.col("films").isNotNull(), F.concat(F.lit("（"), "films", F.lit("）"))).otherwise(""))
+    said = lines.groupBy("query_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("answer_id", line.alias("line")))), lambda x: x["line"]), "；"), F.lit("。")).alias("said"))
+    every = plans.select("query_id").join(said, "query_id", "left")
+    no = F.lit(None).cast("boolean").alias("no")
+    every = every.join(negatives.select("query_id", F.lit(True).alias("no")), "query_id", "left") if negatives is not None else every.select("*", no)
+    return every.select("query_id", F.coalesce("said", F.when(F.col("no"), NEGATIVE).otherwise(UNPROVED)).alias("answer"))
 
 
 def plan_questions(questions: DataFrame, anchors: DataFrame, nodes: DataFrame) -> DataFrame:

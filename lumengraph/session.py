@@ -39,6 +39,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_to_table(df: DataFrame) -> DataFrame:
+    """Write the frame once to a table of its own in the shared folder and go on from there; unlike a checkpoint it is
+    computed once and its size is known, so small results are joined without a shuffle."""
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def acted_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers act in the orders they have lines in; rows repeat as lines do."""
     li = table(spark, sf_dir, "lineitem")
