@@ -160,7 +160,7 @@ def test_engine_methods_and_masks(spark, sf):
     from lumengraph.catalogue.repair import _engine
 
     engine = _engine(spark, sf)
-    assert service.available() == ["expand", "hybrid", "ppr", "vector"]
+    assert service.available() == ["expand", "gap_repair", "hybrid", "ppr", "vector"]
     out = service.ask(engine, "What does Supplier 7 deliver?", "vector", 3)
     assert len(out["citations"]) == 3 and out["citations"][0]["marker"] == "S1"
     with pytest.raises(KeyError):
