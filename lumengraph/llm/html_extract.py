@@ -8,14 +8,18 @@
    aggregates. A class is valid if it occurs in at least half of the host's pages and has a structural
    token; valid classes are nested by their tokens' containers (``deduce``). The order of siblings isn't used.
 3. A text token in its own container's class is the container's text wherever the container is: template,
-   not content (seen on ``CONSTANT_PAGES`` pages at least). What varies between template tokens are slots.
+   not content (one page repeats nothing, so two pages are needed; their number plays no other part). What
+   varies between template tokens are slots.
    Slots of menus, headers, footers, sidebars, notices, adverts, forms, comments (by tag, role or name) and
    slots that are mostly link text on the host are boilerplate. The main slot is the article or main element
-   that the template has once and whose text varies, else the deepest one that holds four fifths of the
-   varying text.
-4. ``extract`` takes a page's main slot, leaves out boilerplate and constant containers nested in it, decodes
-   character references, turns white space within a block into one space and joins blocks by a newline.
-   A header within an article belongs to it.
+   that the template has once (of several the one with most varying text), else the deepest one that holds
+   four fifths of the varying text.
+4. ``extract`` takes a page's main slot, leaves out boilerplate nested in it, decodes character references,
+   turns white space within a block into one space and joins blocks by a newline. A header within an article
+   belongs to it. Within an article only names that articles don't use for their own parts (adverts, reader
+   comments, share buttons and the like) decide alone; a container with another boilerplate name (``legal``,
+   ``related-work``) stays unless its class makes it template or it is mostly links on the page. Constant
+   text of other containers stays in an article or main element; in a main slot without such a tag it goes.
 
 Pages without a host, and pages that lack their host's main slot, use the template deduced over all pages
 (structural tokens only), then the page's own.
@@ -43,8 +47,6 @@ from .common import cut
 #: Templates go to all executors if they take at most this many bytes together; else they are joined.
 BROADCAST_BYTES = 4 << 20
 ALL_HOSTS = ""
-#: A text is a template's only if so many pages have it.
-CONSTANT_PAGES = 8
 
 _EVENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][a-zA-Z0-9:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -63,11 +65,17 @@ _BOILER_NAME = re.compile(
 )
 
 
+# Names of containers that aren't an article's own even within it.
+_FOREIGN_NAME = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement\w*|advertising|adsense|sponsor\w*|navbar|navigation|breadcrumb\w*|sidebar\w*|widget\w*|comments|comment-?list|disqus|respond|replies"
+    r"|cookie\w*|consent|gdpr|newsletter|subscribe|subscription|signup|login|popup|modal|share|sharing|share-?buttons?|social|pagination|pager|toolbar)(?:$|[\s_-])",
+    re.I,
+)
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, value): "open" with a token name and "boiler", "header" or neither, "close", "text"."""
+    """(kind, name, value): "open" with a token name and "boiler", "named" (by a name that an article's part may have), "header" or none, "close", "text"."""
     at = 0
     while m := _EVENT.match(page, at):
         at = m.end()
@@ -84,12 +92,13 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 continue
             attributes = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] and name in _CONTAINERS else {}
             named = " ".join(filter(None, (attributes.get("class", ""), attributes.get("id", ""))))
-            boiler = name in _BOILER_TAGS or attributes.get("role", "").lower() in _BOILER_ROLES or bool(named and _BOILER_NAME.search(named)) or "hidden" in attributes
+            boiler = name in _BOILER_TAGS or attributes.get("role", "").lower() in _BOILER_ROLES or bool(named and _FOREIGN_NAME.search(named)) or "hidden" in attributes
+            maybe = not boiler and bool(named and _BOILER_NAME.search(named))
             header = name == "header" or bool(named and _HEADER_NAME.search(named))
             if name in ("html", "body", "main", "article"):
-                boiler = header = False
+                boiler = maybe = header = False
             token = name + ("." + ".".join(sorted(re.sub(r"\d+", "", named).split())) if named else "")
-            yield "open", token, "boiler" if boiler else "header" if header else ""
+            yield "open", token, "boiler" if boiler else "named" if maybe else "header" if header else ""
         if at >= len(page):
             return
 
@@ -100,6 +109,9 @@ class Slots:
     def __init__(self, page: str | None):
         #: of each token: a hash of its path, its own name, its parent's number, boilerplate or not
         self.path, self.name, self.parent, self.boiler = [0], [""], [-1], [False]
+        #: boilerplate by its name only, in an article or main element
+        self.named = [False]
+        beside: list[int] = []
         #: (token number, text, characters of link text)
         self.blocks: list[tuple[int, str, int]] = []
         stack: list[tuple[str, int]] = [("", 0)]
@@ -132,7 +144,11 @@ class Slots:
                 self.name.append(name)
                 self.parent.append(parent)
                 # a header within an article is the article's
-                self.boiler.append(value == "boiler" or (value == "header" and not (open_["article"] or open_["main"])))
+                own = bool(open_["article"] or open_["main"])
+                self.boiler.append(value == "boiler" or (value in ("header", "named") and not own))
+                self.named.append(value == "named" and own)
+                if self.named[-1] and not open_["article"]:
+                    beside.append(len(self.path) - 1)
                 stack.append((tag, len(self.path) - 1))
                 open_[tag] += 1
                 link_depth = 0
@@ -144,13 +160,16 @@ class Slots:
                         break
                 link_depth = 0
         flush()
+        if beside and any(n.split(".")[0] == "article" for n in self.name):
+            for k in beside:  # in the main element, but not in the article that it has
+                self.boiler[k], self.named[k] = True, False
 
     def measure(self) -> list[Token]:
         """The page's structural tokens, and the text token of each with any text."""
         out: dict[int, Token] = {}
         words: dict[int, list[str]] = defaultdict(list)
-        for path, name, parent, boiler in zip(self.path, self.name, self.parent, self.boiler, strict=True):
-            t = out.setdefault(path, Token(path, 0, self.path[parent] if parent >= 0 else -1, name, boiler))
+        for path, name, parent, boiler, named in zip(self.path, self.name, self.parent, self.boiler, self.named, strict=True):
+            t = out.setdefault(path, Token(path, 0, self.path[parent] if parent >= 0 else -1, name, boiler, named=named))
             t.times += 1
         for token, text, linked in self.blocks:
             t = out[self.path[token]]
@@ -163,11 +182,18 @@ class Slots:
         """Text of the template's main slot without boilerplate slots; None if the page hasn't that slot."""
         main, constant = template["main"], set(template["constant"])
         inside, out = [False] * len(self.path), [False] * len(self.path)
+        size, links = [0] * len(self.path), [0] * len(self.path)
+        for k, text, linked in self.blocks:
+            size[k] += len(text)
+            links[k] += min(linked, len(text))
+        for k in range(len(self.path) - 1, 0, -1):
+            size[self.parent[k]] += size[k]
+            links[self.parent[k]] += links[k]
         for k, path in enumerate(self.path):
             p = self.parent[k]
             starts = path == main
             inside[k] = starts or (p >= 0 and inside[p])
-            out[k] = not starts and ((p >= 0 and out[p]) or self.boiler[k] or path in constant)
+            out[k] = not starts and ((p >= 0 and out[p]) or self.boiler[k] or path in constant or (self.named[k] and links[k] > 0.6 * size[k]))
         if not any(inside):
             return None
         return "\n".join(text for k, text, _ in self.blocks if inside[k] and not out[k])
@@ -194,6 +220,7 @@ class Token:
     times: int = 0
     text: int = 0
     links: int = 0
+    named: bool = False
 
 
 def classes(tokens: list[Token]) -> dict[tuple[int, int, int], list[Token]]:
@@ -209,7 +236,7 @@ def deduce(pages: int, tokens: list[Token]) -> dict | None:
     valid = [c for c in classes(tokens).values() if c[0].pages * 2 >= pages and not all(t.words for t in c)]
     known = {t.path: t for c in valid for t in c if not t.words}
     # text tokens in the class of their own container
-    same = {t.path for c in valid for t in c if t.words and any(not s.words and s.path == t.path for s in c)} if pages >= CONSTANT_PAGES else set()
+    same = {t.path for c in valid for t in c if t.words and any(not s.words and s.path == t.path for s in c)} if pages > 1 else set()
     below: dict[int, list[Token]] = defaultdict(list)
     for t in known.values():
         below[t.parent].append(t)
@@ -220,7 +247,7 @@ def deduce(pages: int, tokens: list[Token]) -> dict | None:
             order.append(child)
     gone: set[int] = set()
     for t in order:
-        if t.boiler or t.parent in gone or (t.text and t.links > 0.6 * t.text and t.name.split(".")[0] not in ("article", "main")):
+        if t.boiler or t.named or t.parent in gone or (t.text and t.links > 0.6 * t.text and t.name.split(".")[0] not in ("article", "main")):
             gone.add(t.path)
 
     def sums(constant: set[int]) -> dict[int, int]:
@@ -230,22 +257,25 @@ def deduce(pages: int, tokens: list[Token]) -> dict | None:
                 text[t.parent] += text[t.path]
         return text
 
-    text = sums(same)
+    text, whole = sums(same), sums(set())
     if not any(text.values()):  # pages of one host that are all alike
-        same, text = set(), sums(set())
+        same, text = set(), whole
     total = text.get(0, 0)
     if not total:
         return None
-    once = [t for t in order if t.times == t.pages and t.path not in gone and t.name.split(".")[0] in ("article", "main") and text[t.path] > 0]
+    once = [t for t in order if t.times == t.pages and t.path not in gone and t.name.split(".")[0] in ("article", "main") and whole[t.path] > 0]
     if once:
-        main = max(once, key=lambda t: (text[t.path], -depth[t.path]))
+        main = max(once, key=lambda t: (text[t.path], whole[t.path], -depth[t.path]))
     else:
         main = max((t for t in order if t.path and t.path not in gone and text[t.path] >= 0.8 * total), key=lambda t: (depth[t.path], t.name), default=order[0])
-    within, whole = {main.path}, sums(set())
+    within = {main.path}
     for t in order:
         if t.parent in within:
             within.add(t.path)
-    constant = sorted(p for p in within - {main.path} if whole[p] and not text[p] and (p in same or not known[p].text))
+    if once:  # the article's own: only what is named like boilerplate and is the same on all pages goes
+        constant = sorted(p for p in within if known[p].named and p in same)
+    else:
+        constant = sorted(p for p in within - {main.path} if whole[p] and not text[p] and (p in same or not known[p].text))
     return {"main": main.path, "constant": constant}
 
 
@@ -267,7 +297,7 @@ def _pages(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
 
 
-_TOKENS = "host string, path long, words long, parent long, name string, boiler boolean, pages long, vector long, times long, text long, links long"
+_TOKENS = "host string, path long, words long, parent long, name string, boiler boolean, pages long, vector long, times long, text long, links long, named boolean"
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +322,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         s.text += t.text
                         s.links += t.links
                         s.boiler = s.boiler or t.boiler
+                        s.named = s.named or t.named
         rows = [(h, *astuple(t)) for (h, _, _), t in sums.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, kinds[k]) for x, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
@@ -318,7 +349,7 @@ def templates(pages: DataFrame) -> DataFrame:
     sums = _pages(pages).select("page_id", "html", "host").mapInArrow(_measure, _TOKENS)
     by = sums.groupBy("host", "path", "words").agg(
         F.max("parent").alias("parent"), F.max("name").alias("name"), F.max("boiler").alias("boiler"),
-        F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("times", "text", "links")],
+        F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), *[F.sum(c).alias(c) for c in ("times", "text", "links")], F.max("named").alias("named"),
     )
     by = cut(by)
     # the root token is on every page of a host

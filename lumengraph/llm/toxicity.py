@@ -5,7 +5,9 @@
 2. Terms: hashes of words and of their first 4, 5, 6 and 8 bytes; all terms of all examples.
    A term's idf is multiplied by its contrast, the absolute logarithm of the ratio of its shares in toxic
    and in clean examples, smoothed: without it, whole texts are near by their common words and a few
-   insults count for little. Terms of any contrast are in vectors and norms; 0 is that of unknown terms.
+   insults count for little. Terms of any contrast are in vectors and norms. A term that no example has is
+   weighed as the rarest known ones are: its idf times the contrast of a term of one example, averaged over
+   the labels by their shares.
 3. Index: tf-idf vectors (1 + log tf, smoothed idf over the examples, unit length) of the examples, equal
    vectors merged, in a block-max inverted index (``blockmax``).
 4. Query: the norm is over the whole text, terms that no example has included. Blocks of examples whose
@@ -311,12 +313,15 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, per
     with_toxic, with_clean = np.bincount(which, marked, len(hashes)), np.bincount(which, 1 - marked, len(hashes))
     del marked
     idf = np.log(1 + len(picked)) - np.log(1 + with_toxic + with_clean) + 1
+    unseen = float(np.log(1 + len(picked)) + 1)
     if n_toxic and n_clean:
         spread = SMOOTHING / len(picked)
-        idf *= np.abs(np.log((with_toxic / n_toxic + spread) / (with_clean / n_clean + spread)))
-        unseen = 0.0
-    else:
-        unseen = float(np.log(1 + len(picked)) + 1)
+
+        def contrast(toxic_ones: np.ndarray, clean_ones: np.ndarray) -> np.ndarray:
+            return np.abs(np.log((toxic_ones / n_toxic + spread) / (clean_ones / n_clean + spread)))
+
+        idf *= contrast(with_toxic, with_clean)
+        unseen *= float(contrast(np.array([1, 0]), np.array([0, 1])) @ [toxic / n, 1 - toxic / n])
     weight = tuple(share / max(mine / len(picked), 1e-9) for share, mine in ((1 - toxic / n, n_clean), (toxic / n, n_toxic)))
     ends = np.cumsum(sizes)[:-1]
     return Index(hashes, idf, list(zip(np.split(which, ends), np.split(tf, ends), strict=True)), toxics, ids, toxic / n, weight, unseen)

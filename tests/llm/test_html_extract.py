@@ -89,11 +89,38 @@ def test_classes_decide_what_is_template(spark):
     # every token a class of its own: no text belongs to its container, and the constant text is taken for content
     split = [S.replace(t, vector=k) for k, t in enumerate(tokens)]
     assert S.main_text(pages[3], S.deduce(20, split)) != want[3]
-    # fewer pages than a constant text needs: nothing is left out
-    few = S.deduce(4, rows_of(pages[:4]))
-    assert "The same long words" in S.main_text(pages[0], few)
+    # the number of pages plays no part from two on; a single page repeats nothing
+    for n in (2, 4, 7, 8):
+        few = S.deduce(n, rows_of(pages[:n]))
+        assert {i: S.main_text(p, few) for i, p in enumerate(pages[:n])} == {i: want[i] for i in range(n)}
+    assert "The same long words" in S.main_text(pages[0], S.deduce(1, rows_of(pages[:1])))
 
 
 def test_pages_that_are_all_alike_keep_their_text(spark):
     df = spark.createDataFrame([(i, "http://h.example/x", "<body><nav>Menu</nav><div>All the same text.</div></body>") for i in range(30)], "page_id long, url string, html string")
     assert {r["text"] for r in S.extract(df).collect()} == {"All the same text."}
+
+
+def paper(i):
+    return (
+        f'<body><nav><a href=1>Home</a></nav><article><div class="head">Abstract</div><div class="abstract"><p>Summary {i} of a study.</p></div><div class="methods">Methods are as in the paper.</div>'
+        f'<section class="related-work"><p>Others {i} wrote <a href=1>this</a> before.</p></section><div class="legal"><p>The law {i} in question is old.</p></div>'
+        f'<div class="related"><a href=1>Read also {i}</a> <a href=2>and this {i * 3}</a></div><div class="notice">Terms apply to all of it.</div>'
+        f'<div class="ad">Buy {i}</div><section class="comments"><p>I agree {i}</p></section></article><footer>End</footer></body>'
+    )
+
+
+def test_article_text_stays_whatever_its_containers_names_and_the_number_of_pages(spark):
+    """Constant parts and names like boilerplate don't take text from an article; links and repeated notices under such names go."""
+    own = lambda i: f"Abstract\nSummary {i} of a study.\nMethods are as in the paper.\nOthers {i} wrote this before.\nThe law {i} in question is old."
+    for n in (1, 2, 7, 8, 20):
+        df = spark.createDataFrame([(i, "http://h.example/x", paper(i)) for i in range(n)], "page_id long, url string, html string")
+        # one page alone can't tell a notice that all pages have from its own text
+        more = "\nTerms apply to all of it." if n == 1 else ""
+        assert {r["page_id"]: r["text"] for r in S.extract(df).collect()} == {i: own(i) + more for i in range(n)}
+
+
+def test_names_beside_an_article_in_main_are_boilerplate():
+    body = '<article><p>Text of the article, of some length.</p></article>'
+    assert S.main_text(f'<body><main>{body}<div class="related-posts"><p>Other posts</p></div></main></body>') == "Text of the article, of some length."
+    assert S.main_text('<body><main><p>Text of the page, of some length.</p><section class="related-work"><p>Others wrote</p></section></main></body>') == "Text of the page, of some length.\nOthers wrote"

@@ -89,7 +89,7 @@ def test_rare_insults_and_whole_norms(spark):
     def vector(t):
         h, _, tf = S.counted(*S.features(pa.array([t])))
         idf = dict(zip(fitted.terms.tolist(), fitted.idf.tolist(), strict=True))
-        return {x: (1 + np.log(n)) * idf.get(x, 0.0) for x, n in zip(h.tolist(), tf.tolist(), strict=True)}
+        return {x: (1 + np.log(n)) * idf.get(x, fitted.unseen) for x, n in zip(h.tolist(), tf.tolist(), strict=True)}
 
     def cosine(x, y):
         return sum(v * y.get(k, 0.0) for k, v in x.items()) / np.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
@@ -109,3 +109,75 @@ def test_repeated_and_contradictory_labels_change_nothing(spark):
     assert sorted(x for g in a.members for x in g) == sorted(x for g in b.members for x in g) and a.base == b.base
     texts = pa.array([r["text"] for r in docs.limit(40).collect()], pa.string())
     assert [s for s, _ in a.score(texts)] == [s for s, _ in b.score(texts)]
+
+
+def plain_score(texts, toxic, text, k=S.NEIGHBOURS):
+    """Score and cosines from the texts alone, all examples being labelled training rows: words and their beginnings as strings."""
+
+    def terms(t):
+        out = {}
+        for w in t.lower().split():
+            w = w.strip(".,;:!?-")
+            for x in [w] + [f"{w[:n]}*{n}" for n in S.PREFIXES if len(w) >= n]:
+                out[x] = out.get(x, 0) + 1
+        return out
+
+    bags = [terms(t) for t in texts]
+    n, sick = len(texts), sum(toxic)
+    spread = S.SMOOTHING / n
+
+    def contrast(a, b):
+        return abs(np.log((a / sick + spread) / (b / (n - sick) + spread)))
+
+    def idf(x):
+        a = sum(x in b for b, y in zip(bags, toxic, strict=True) if y)
+        b = sum(x in b for b, y in zip(bags, toxic, strict=True) if not y)
+        by_label = contrast(a, b) if a + b else sick / n * contrast(1, 0) + (1 - sick / n) * contrast(0, 1)
+        return (np.log((1 + n) / (1 + a + b)) + 1) * by_label
+
+    def vector(bag):
+        v = {x: (1 + np.log(tf)) * idf(x) for x, tf in bag.items()}
+        return v, np.sqrt(sum(y * y for y in v.values()))
+
+    q, size = vector(terms(text))
+    near = []
+    for b, y in zip(bags, toxic, strict=True):
+        v, own = vector(b)
+        if (c := sum(w * q.get(x, 0.0) for x, w in v.items())) > 0:
+            near.append((round(c / own / size, 10), y))
+    near = sorted(near, reverse=True)[:k]
+    votes = sum(c for c, _ in near) + S.PRIOR_WEIGHT
+    return (sum(c * y for c, y in near) + S.PRIOR_WEIGHT * sick / n) / votes, [c for c, _ in near]
+
+
+def test_fit_cosine_and_vote_equal_a_plain_version(spark):
+    rng = np.random.default_rng(11)
+    words = [f"{a}{b}{c}{d}" for a in "bdfg" for b in "aeiou" for c in "kl" for d in "ao"]
+    toxic = [int(i % 4 == 0) for i in range(60)]
+    texts = [" ".join([*rng.choice(words, 8), *(["villain"] if y and i % 8 else []), f"own{i}word"]) for i, y in enumerate(toxic)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    fitted = S.fit(docs, labels, modulus=1, held=1)
+    for text in [texts[4], "Villain!", "villain baka unheard", "villain " + " ".join(f"strange{i}" for i in range(300)), "bako dela"]:
+        want, cosines = plain_score(texts, toxic, text, 200)
+        ((got, near),) = fitted.score(pa.array([text]), 200)
+        assert np.allclose([c for c, e in near for _ in fitted.members[e]], cosines, atol=1e-8) and abs(got - want) < 1e-8
+
+
+def test_words_that_no_example_has_count_in_the_norm(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    fitted = S.fit(docs, labels)
+    text = docs.join(labels.where("toxic = 1"), "doc_id").orderBy("doc_id").first()["text"]
+    (alone, near), (diluted, far) = fitted.score(pa.array([text, text + " " + " ".join(f"zq{i}xv" for i in range(20_000))]))
+    assert far[0][0] < 0.5 * near[0][0] and abs(diluted - fitted.base) < abs(alone - fitted.base)
+
+
+def test_held_out_scores_are_calibrated(spark):
+    """Mean score against the share of toxic documents, by tenths of the score: expected calibration error."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
+    rows = S.score_documents(held, S.fit(docs, labels)).join(labels.where("toxic is not null"), "doc_id").collect()
+    score, y = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
+    tenth = np.minimum((score * 10).astype(int), 9)
+    gap = sum(abs(score[tenth == b].sum() - y[tenth == b].sum()) for b in range(10)) / len(y)
+    assert gap < 0.05 and ((score - y) ** 2).mean() < 0.02 and (score[y == 1] >= 0.5).mean() > 0.9
