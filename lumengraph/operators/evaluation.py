@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import normalise
 from .views import edge_key
 
 
@@ -53,32 +51,61 @@ def no_answer(body: Column) -> Column:
     return F.struct(denial.alias("denial"), affirmed.alias("affirmative"), lacking.alias("insufficient"), (denial & ~affirmed & ~lacking).cast("double").alias("correct"))
 
 
-def entity_cover(text: str, surfaces: list[tuple[str, str]], allowed_short: set[str], titles: bool = False) -> set[str]:
-    """Owners of surfaces in the text, longest surface first; a place inside one that a longer surface took doesn't count.
+#: Surfaces of fewer than ``KEY`` characters are looked up by their first two, others by so many.
+KEY = 4
+
+
+def entity_cover(answers: DataFrame, surfaces: DataFrame, allowed_short: DataFrame, titles: bool = False, key: str = "answer_id") -> DataFrame:
+    """(key, owner): owners of the surfaces that stand in an answer outside any longer surface.
 
-    Text and surfaces are compared in normal form. Surfaces of two characters count for owners in ``allowed_short``
-    (owner ids). With ``titles`` what stands in 《》 names its owners wherever it is.
+    ``answers``: key, text; ``surfaces``: surface, owner; ``allowed_short``: key, owner. Text and surfaces are compared in
+    normal form; a surface of two characters counts if one of its owners is in ``allowed_short`` for the answer, one of
+    fewer never. With ``titles`` a surface that stands in 《》 only counts too. Null or empty texts have no owners.
+
+    Places are found by a join on a place's first characters; occurrences of one surface don't overlap, from the left.
+    Whatever lies in a place that lies in a longer one lies in the longer one itself, so what longest-first choosing
+    leaves are the places that lie in no other: those that end beyond all that start before them, by one sweep.
+    """
+    own = surfaces.select(normalise("surface").alias("surface"), "owner").where(F.length("surface") >= 2).distinct()
+    names = own.select("surface", F.length("surface").alias("size")).distinct()
+    longest = names.agg(F.max("size")).first()[0] or 2
+    texts = answers.select(key, "text", normalise(F.coalesce("text", F.lit(""))).alias("plain"))
+    short = allowed_short.join(own.where(F.length("surface") == 2), "owner").select(key, "surface").distinct().withColumn("allowed", F.lit(True))
+
+    pieces = texts.where(F.length("plain") >= 2).select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("plain") - 1), lambda i: F.substring("plain", i, F.lit(longest)))).alias("piece")).distinct()
+    keyed = pieces.select(key, "piece", F.explode(F.array_distinct(F.array(F.substring("piece", 1, 2), F.substring("piece", 1, KEY)))).alias("k"))
+    lead = names.withColumn("k", F.when(F.col("size") < KEY, F.substring("surface", 1, 2)).otherwise(F.substring("surface", 1, KEY)))
+    seen = keyed.join(lead, "k").where(F.col("piece").startswith(F.col("surface"))).select(key, "surface", "size").distinct()
+    seen = _eligible(seen, short, key)
+
+    parts = F.split("plain", F.concat(F.lit("\\Q"), F.col("surface"), F.lit("\\E")), -1)
+    before = F.aggregate(F.slice("parts", 1, F.col("i") + 1), F.lit(0), lambda n, x: n + F.length(x))
+    places = seen.join(texts.select(key, "plain"), key).select(key, "surface", "size", parts.alias("parts"))
+    places = places.select(key, "surface", "size", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 2)).alias("i")).select(key, "surface", "size", (before + F.col("i") * F.col("size")).alias("start"))
+    places = places.withColumn("end", F.col("start") + F.col("size"))
+    reach = F.max("end").over(Window.partitionBy(key).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+    found = places.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("end") > F.col("reach"))).select(key, "surface")
+    if titles:
+        quoted = texts.select(key, F.explode(F.regexp_extract_all("text", F.lit("《([^》]+)》"), F.lit(1))).alias("title")).select(key, normalise("title").alias("surface"))
+        lone = _eligible(quoted.join(names, "surface").select(key, "surface", "size"), short, key).join(seen, [key, "surface"], "left_anti")
+        found = found.unionByName(lone.select(key, "surface"))
+    return found.distinct().join(own, "surface").select(key, "owner").distinct()
+
+
+def _eligible(seen: DataFrame, short: DataFrame, key: str) -> DataFrame:
+    return seen.join(short, [key, "surface"], "left").where((F.col("size") > 2) | F.col("allowed")).drop("allowed")
+
+
+def canonical_endpoints(ids: DataFrame, catalogue: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """(raw_id, canonical): an id of the catalogue is itself; others are all owners of their normalised name (null: the id).
+
+    ``ids``: raw_id, name; ``catalogue``: id; ``surfaces``: surface, owner. An id that no surface names has no row.
     """
-    plain = _normal(text)
-    quoted = {_normal(t) for t in re.findall("《([^》]+)》", text)} if titles else set()
-    owners: dict[str, set[str]] = {}
-    for surface, owner in surfaces:
-        owners.setdefault(_normal(surface), set()).add(owner)
-    taken: list[range] = []
-    found: set[str] = set()
-    for surface in sorted(owners, key=lambda x: (-len(x), x)):
-        if len(surface) < 2 or (len(surface) == 2 and owners[surface].isdisjoint(allowed_short)):
-            continue
-        places = [range(m.start(), m.end()) for m in re.finditer(re.escape(surface), plain)]
-        free = [p for p in places if not any(t.start <= p.start and p.stop <= t.stop for t in taken)]
-        if free or (not places and surface in quoted):
-            found |= owners[surface]
-            taken += free
-    return found
-
-
-def _normal(text: str) -> str:
-    return re.sub(r"[\s\W_]+", "", unicodedata.normalize("NFKC", text).casefold())
+    known = catalogue.select(F.col("id").alias("raw_id")).distinct()
+    same = ids.join(known, "raw_id", "left_semi").select("raw_id", F.col("raw_id").alias("canonical"))
+    named = ids.join(known, "raw_id", "left_anti").select("raw_id", normalise(F.coalesce("name", "raw_id")).alias("surface"))
+    owners = surfaces.select(normalise("surface").alias("surface"), F.col("owner").alias("canonical"))
+    return same.unionByName(named.join(owners, "surface").select("raw_id", "canonical")).distinct()
 
 
 def path_completeness(path_edges: DataFrame, retrieved: DataFrame, key: str = "question_id") -> DataFrame:

@@ -1,5 +1,8 @@
 """Anchors, plans from questions, evidence, repair, fusion, contexts, scores."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,13 +114,48 @@ def test_set_scores_with_empty_sets(spark):
     assert got == {0: (0.5, 1.0, 0.666667, 0.0), 1: (0.0, 0.0, 0.0, 0.0), 2: (0.0, 0.0, 0.0, 0.0), 3: (1.0, 1.0, 1.0, 1.0)}
 
 
-def test_entity_cover():
+def covered(spark, cases, surfaces, short, titles=False):
+    answers = spark.createDataFrame(cases, "answer_id int, text string")
+    own = spark.createDataFrame(surfaces, "surface string, owner string")
+    allowed = spark.createDataFrame(short, "answer_id int, owner string")
+    out = {}
+    for r in B.entity_cover(answers, own, allowed, titles).collect():
+        out.setdefault(r["answer_id"], set()).add(r["owner"])
+    return out
+
+
+def test_entity_cover(spark):
     surfaces = [("流星雨", "f2"), ("流星", "f1"), ("安娜", "p1")]
-    assert B.entity_cover("流星雨和安娜", surfaces, set()) == {"f2"}
-    assert B.entity_cover("流星雨和安娜", surfaces, {"f1", "p1"}) == {"f2", "p1"}
+    assert covered(spark, [(1, "流星雨和安娜"), (2, "流星雨和安娜"), (3, None), (4, "")], surfaces, [(2, "f1"), (2, "p1")]) == {1: {"f2"}, 2: {"f2", "p1"}}
     # two covered halves aren't one covering span; titles count in their marks
-    assert B.entity_cover("abcdef", [("abcd", "x"), ("cdef", "y"), ("bcd", "z")], set()) == {"x", "y"}
-    assert B.entity_cover("《A-B》", [("A B", "t")], {"t"}, titles=True) == {"t"}
+    assert covered(spark, [(1, "abcdef")], [("abcd", "x"), ("cdef", "y"), ("bcd", "z")], []) == {1: {"x", "y"}}
+    assert covered(spark, [(1, "《A-B》")], [("A B", "t")], [(1, "t")], titles=True) == {1: {"t"}}
+    assert covered(spark, [(1, "abc")], [], []) == {} and covered(spark, [], surfaces, []) == {}
+
+
+def test_entity_cover_of_random_texts(spark):
+    """Against every set of places: a place counts if no place of another eligible surface holds it."""
+    rng = random.Random(5)
+    cases = [(i, "".join(rng.choice("abAB -") for _ in range(rng.randrange(25)))) for i in range(150)]
+    surfaces = sorted({("".join(rng.choice("ab") for _ in range(rng.randrange(1, 7))), f"o{rng.randrange(12)}") for _ in range(25)})
+    short = [(i, f"o{rng.randrange(12)}") for i in range(0, 150, 2)]
+    want = {}
+    for i, text in cases:
+        plain = "".join(c for c in text.lower() if c.isalnum())
+        mine = {o for j, o in short if j == i}
+        ok = {s for s, _ in surfaces if len(s) > 2 or (len(s) == 2 and any(x == s and o in mine for x, o in surfaces))}
+        spans = {(m.start(), m.end(), s) for s in ok for m in re.finditer(s, plain)}
+        free = {s for a, b, s in spans if not any(c <= a and b <= d and (c, d) != (a, b) for c, d, _ in spans)}
+        if free:
+            want[i] = {o for s, o in surfaces if s in free}
+    assert covered(spark, cases, surfaces, short) == want
+
+
+def test_canonical_endpoints(spark):
+    ids = spark.createDataFrame([("Q1", "Other"), ("X", "The  Film!"), ("anna", None), ("Y", "unknown"), ("Y", "unknown")], "raw_id string, name string")
+    surfaces = spark.createDataFrame([("the film", "Q2"), ("The-Film", "Q3"), ("Anna", "Q4")], "surface string, owner string")
+    got = B.canonical_endpoints(ids, spark.createDataFrame([("Q1",)], "id string"), surfaces).collect()
+    assert sorted(map(tuple, got)) == [("Q1", "Q1"), ("X", "Q2"), ("X", "Q3"), ("anna", "Q4")]
 
 
 def test_vectors(spark):
