@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import answer_body
 from ..operators import evaluation as B
 from ..session import table
-from . import part, query
+from . import query
 
 G = "g AS (SELECT label AS question_id, vec_id AS item FROM embeddings WHERE vec_id % 3 = 0), p AS (SELECT label AS question_id, vec_id AS item FROM embeddings WHERE vec_id % 4 = 0 AND label < 8)"
 
@@ -23,13 +23,13 @@ def set_prf(spark, d):
     return B.set_prf(e.where("item % 4 = 0 AND question_id < 8"), e.where("item % 3 = 0"), q)
 
 
-@query("""WITH g AS (SELECT DISTINCT l_suppkey % 5 AS question_id, l_orderkey % 20 AS path_id, 'S:' || l_suppkey AS h, 'O:' || l_orderkey AS t FROM lineitem WHERE l_orderkey < 400),
+@query("""WITH g AS (SELECT DISTINCT l_suppkey % 5 AS question_id, l_orderkey % 20 AS path_id, 'S:' || l_suppkey AS h, 'O:' || l_orderkey AS t FROM lineitem),
 k AS (SELECT *, t IN (SELECT 'O:' || o_orderkey FROM orders WHERE o_totalprice > 50000) AS hit FROM g),
 e AS (SELECT question_id, round(avg(hit::INT), 6) AS edge_recall FROM k GROUP BY question_id),
 p AS (SELECT question_id, round(avg(whole::INT), 6) AS path_rate FROM (SELECT question_id, path_id, bool_and(hit) AS whole FROM k GROUP BY 1, 2) GROUP BY 1)
-SELECT * FROM e JOIN p USING (question_id)""", whole=True)
-def path_completeness(spark, d, whole=False):
-    li = part(table(spark, d, "lineitem"), "l_orderkey < 400", whole)
+SELECT * FROM e JOIN p USING (question_id)""")
+def path_completeness(spark, d):
+    li = table(spark, d, "lineitem")
     gold = li.select((F.col("l_suppkey") % 5).alias("question_id"), (F.col("l_orderkey") % 20).alias("path_id"), F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")).alias("head_id"), F.lit("acted_in").alias("type"), F.concat(F.lit("O:"), F.col("l_orderkey").cast("string")).alias("tail_id")).distinct()
     good = table(spark, d, "orders").where("o_totalprice > 50000").select(F.concat(F.lit("O:"), F.col("o_orderkey").cast("string")).alias("film"))
     # retrieved with the label and the direction of another convention
@@ -82,12 +82,15 @@ def first_per_kind(spark, d):
     return B.first_per_kind(e, "kind", ["event_id"])
 
 
-@query("""WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'x [S1] y' || chr(10) || '[S2] 原文：z' || chr(10) || text ELSE text || chr(10) || '## 依据' || chr(10) || 'gone' END AS t FROM conversations WHERE text NOT LIKE '%[%' AND text NOT LIKE '%' || chr(10) || '%')
-SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN trim('x  y' || chr(10) || substr(t, 17 + 2)) ELSE trim(left(t, length(t) - 11)) END AS body FROM a WHERE false""")
+@query("""WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)
+SELECT conv_id, turn, trim(CASE turn % 3 WHEN 0 THEN 'Yes ' || chr(10) || t WHEN 1 THEN t ELSE t || chr(10) || 'and' END) AS body FROM c""")
 def answer_bodies(spark, d):
-    """A plain-SQL counterpart would repeat the rules; the tests hold them, this query holds that none fires on other text."""
-    c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", answer_body(F.col("text")).alias("body"), F.trim(F.regexp_replace("text", r"(?i)\[(?:S|G)\d+\]", "")).alias("plain")).where("body <> plain AND NOT plain RLIKE '依据|证据|原文|参考'").select("conv_id", "turn", "body")
+    """Every turn as an answer with a marker, an appendix or a quoted source, which its body is without."""
+    c, t, kind = table(spark, d, "conversations"), F.coalesce("text", F.lit("")), F.col("turn") % 3
+    marked = F.concat(F.lit("Yes [S1]\n"), t)
+    appended = F.concat(t, F.lit("\n## 依据：\nnot [S2] this\n"))
+    quoted = F.concat(F.lit("- [S3] 原文：not this\n"), t, F.lit("\n[S4]原文: nor this\nand[g12]"))
+    return c.select("conv_id", "turn", answer_body(F.when(kind == 0, marked).when(kind == 1, appended).otherwise(quoted)).alias("body"))
 
 
 @query("SELECT event_type AS method, round(avg(CASE WHEN user_id % 2 = 0 THEN (value > 50)::INT END), 6)::DOUBLE AS gap_recall, round(avg(CASE WHEN user_id % 2 = 1 THEN (value > 50)::INT END), 6)::DOUBLE AS false_positive_rate FROM events GROUP BY 1")
@@ -96,10 +99,10 @@ def gap_rates(spark, d):
     return B.gap_metrics(e).select("method", F.round("gap_recall", 6).alias("gap_recall"), F.round("false_positive_rate", 6).alias("false_positive_rate"))
 
 
-@query("""WITH r AS (SELECT DISTINCT l_suppkey % 5 AS question_id, l_suppkey AS h, l_orderkey AS t, l_partkey % 50 AS doc FROM lineitem WHERE l_orderkey < 500)
-SELECT question_id, count(*) AS accepted FROM r WHERE t % 2 = 0 AND doc % 3 = 0 GROUP BY 1""", whole=True)
-def repair_acceptance(spark, d, whole=False):
+@query("""WITH r AS (SELECT DISTINCT l_suppkey % 5 AS question_id, l_suppkey AS h, l_orderkey AS t, l_partkey % 50 AS doc FROM lineitem)
+SELECT question_id, count(*) AS accepted FROM r WHERE t % 2 = 0 AND doc % 3 = 0 GROUP BY 1""")
+def repair_acceptance(spark, d):
     """Temporary edges that are gold and that a gold document supports."""
-    li = part(table(spark, d, "lineitem"), "l_orderkey < 500", whole)
+    li = table(spark, d, "lineitem")
     r = li.select((F.col("l_suppkey") % 5).alias("question_id"), F.col("l_suppkey").alias("head_id"), F.lit("acted_in").alias("type"), F.col("l_orderkey").alias("tail_id"), (F.col("l_partkey") % 50).alias("doc_id")).distinct()
     return B.accepted_repairs(r, r.where("tail_id % 2 = 0"), r.where("doc_id % 3 = 0")).groupBy("question_id").agg(F.count("*").alias("accepted"))

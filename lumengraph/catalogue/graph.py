@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import views as V
 from ..session import acted_raw, cut_lineage, directed_raw, edges, table
-from . import part, query
+from . import query
 from .plans import _mask
 
 E = """WITH acted AS (SELECT DISTINCT 'S:' || l_suppkey AS head_id, 'acted_in' AS type, 'O:' || l_orderkey AS tail_id FROM lineitem),
@@ -63,12 +63,12 @@ def graph_degree_hubs(spark, d):
     return G.degrees(edges(spark, d)).orderBy(F.desc("degree"), "id").limit(25)
 
 
-@query("""WITH RECURSIVE pairs AS (SELECT 'N:' || c_nationkey AS a, 'G:' || c_mktsegment AS b FROM customer WHERE c_custkey % 5 = 0 AND c_nationkey < 8 UNION SELECT 'N:' || n_nationkey, 'R:' || n_regionkey FROM nation),
+@query("""WITH RECURSIVE pairs AS (SELECT 'N:' || c_nationkey AS a, 'G:' || c_mktsegment AS b FROM customer UNION SELECT 'N:' || n_nationkey, 'R:' || n_regionkey FROM nation),
 adj AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach AS (SELECT a AS id, a AS seen FROM adj UNION SELECT r.id, adj.b FROM reach r JOIN adj ON r.seen = adj.a)
-SELECT id, min(seen) AS component FROM reach GROUP BY id""", whole=True)
-def graph_components(spark, d, whole=False):
-    c = part(table(spark, d, "customer"), "c_custkey % 5 = 0 AND c_nationkey < 8", whole)
+SELECT id, min(seen) AS component FROM reach GROUP BY id""")
+def graph_components(spark, d):
+    c = table(spark, d, "customer")
     n = table(spark, d, "nation")
     tag = lambda p, col: F.concat(F.lit(p), F.col(col).cast("string"))
     pairs = c.select(tag("N:", "c_nationkey").alias("a"), tag("G:", "c_mktsegment").alias("b")).union(n.select(tag("N:", "n_nationkey"), tag("R:", "n_regionkey"))).distinct()
@@ -90,12 +90,12 @@ def graph_delete_cascade(spark, d):
     return G.delete_entities(nodes, e, gone)[1]
 
 
-@query("""WITH n AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'Q' || s_suppkey ELSE 'NAME:' || s_suppkey END AS id, 'Supplier' AS type, 'n' || (s_suppkey % 7) || CASE WHEN s_suppkey % 2 = 0 THEN ' (film)' ELSE '' END AS name FROM supplier WHERE s_suppkey <= 40),
+@query("""WITH n AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN 'Q' || s_suppkey ELSE 'NAME:' || s_suppkey END AS id, 'Supplier' AS type, 'n' || (s_suppkey % 7) || CASE WHEN s_suppkey % 2 = 0 THEN ' (film)' ELSE '' END AS name FROM supplier),
 k AS (SELECT *, regexp_replace(name, '\\s*[（(](电影|film)[)）]$', '') AS nk FROM n),
 g AS (SELECT type, nk, count(*) FILTER (id LIKE 'Q%') AS c, min(id) FILTER (id LIKE 'Q%') AS one FROM k GROUP BY type, nk)
-SELECT k.id, CASE WHEN k.id LIKE 'NAME:%' AND g.c = 1 THEN g.one ELSE k.id END AS canonical FROM k JOIN g USING (type, nk)""", whole=True)
-def canonical_collapse(spark, d, whole=False):
-    s = part(table(spark, d, "supplier"), "s_suppkey <= 40", whole)
+SELECT k.id, CASE WHEN k.id LIKE 'NAME:%' AND g.c = 1 THEN g.one ELSE k.id END AS canonical FROM k JOIN g USING (type, nk)""")
+def canonical_collapse(spark, d):
+    s = table(spark, d, "supplier")
     key = F.col("s_suppkey")
     nodes = s.select(
         F.when(key % 4 == 0, F.concat(F.lit("Q"), key.cast("string"))).otherwise(F.concat(F.lit("NAME:"), key.cast("string"))).alias("id"), F.lit("Supplier").alias("type"),
@@ -110,20 +110,20 @@ def mask_view(spark, d):
     return V.mask_edges(e, _mask(e), sized=False)
 
 
-@query("""WITH m AS (SELECT DISTINCT 'S:' || l_suppkey AS h, 'O:' || l_orderkey AS t FROM lineitem WHERE l_orderkey % 7 = 3 AND l_orderkey < 400),
+@query("""WITH m AS (SELECT DISTINCT 'S:' || l_suppkey AS h, 'O:' || l_orderkey AS t FROM lineitem WHERE l_orderkey % 7 = 3),
 x AS (SELECT h, t, unnest(['acted_in', '出演']) AS k FROM m)
-SELECT h || '|' || k || '|' || t AS key FROM x UNION SELECT t || '|' || k || '|' || h FROM x""", whole=True)
-def mask_keys(spark, d, whole=False):
+SELECT h || '|' || k || '|' || t AS key FROM x UNION SELECT t || '|' || k || '|' || h FROM x""")
+def mask_keys(spark, d):
     e = acted_raw(spark, d).distinct()
-    return V.mask_keys(part(_mask(e), "CAST(substring(tail_id, 3, 20) AS BIGINT) < 400", whole))
+    return V.mask_keys(_mask(e))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'S:' || l_suppkey AS h, 'O:' || l_orderkey AS t FROM lineitem WHERE l_orderkey % 40 = 1 UNION SELECT 'C:' || o_custkey, 'O:' || o_orderkey FROM orders WHERE o_orderkey % 40 = 1),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'S:' || l_suppkey AS h, 'O:' || l_orderkey AS t FROM lineitem UNION SELECT 'C:' || o_custkey, 'O:' || o_orderkey FROM orders),
 adj AS (SELECT h AS a, t AS b FROM e UNION SELECT t, h FROM e),
 walk AS (SELECT 'O:1' AS id, 0 AS depth UNION SELECT adj.b, depth + 1 FROM walk JOIN adj ON walk.id = adj.a WHERE depth < 3)
-SELECT id, min(depth)::INT AS depth FROM walk GROUP BY id""", whole=True)
-def khop_neighbors(spark, d, whole=False):
-    e = part(edges(spark, d), "CAST(substring(tail_id, 3, 20) AS BIGINT) % 40 = 1", whole)
+SELECT id, min(depth)::INT AS depth FROM walk GROUP BY id""")
+def khop_neighbors(spark, d):
+    e = edges(spark, d)
     return V.khop(e, spark.createDataFrame([("O:1",)], "id string"), 3, cut_lineage)
 
 
@@ -156,22 +156,22 @@ def per_seed_top_relations(spark, d):
     return V.per_seed_top(counted, seeds, F.col("w")).select("seed", "rank", "tail_id", "w")
 
 
-@query("""WITH b AS (SELECT item_id, split_part(text, ' ', 2) AS needle FROM benchmark), c AS (SELECT doc_id, text, doc_id AS seq FROM documents WHERE doc_id < 60),
+@query("""WITH b AS (SELECT item_id, split_part(text, ' ', 2) AS needle FROM benchmark), c AS (SELECT doc_id, text, doc_id AS seq FROM documents),
 j AS (SELECT b.item_id, c.doc_id, b.needle, strpos(c.text, b.needle) AS pos_, c.text FROM b JOIN c ON c.doc_id % 10 = b.item_id % 10),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY (pos_ = 0)::INT, doc_id) AS n FROM j)
-SELECT 'e' || item_id AS edge_id, doc_id AS chunk_doc, pos_ > 0 AS located, (CASE WHEN pos_ > 0 THEN pos_ - 1 ELSE 0 END)::INT AS char_start, (CASE WHEN pos_ > 0 THEN pos_ - 1 + length(needle) ELSE length(text) END)::INT AS char_end FROM r WHERE n = 1""", whole=True)
-def evidence_location(spark, d, whole=False):
+SELECT 'e' || item_id AS edge_id, doc_id AS chunk_doc, pos_ > 0 AS located, (CASE WHEN pos_ > 0 THEN pos_ - 1 ELSE 0 END)::INT AS char_start, (CASE WHEN pos_ > 0 THEN pos_ - 1 + length(needle) ELSE length(text) END)::INT AS char_end FROM r WHERE n = 1""")
+def evidence_location(spark, d):
     b = table(spark, d, "benchmark").select(F.concat(F.lit("e"), F.col("item_id").cast("string")).alias("edge_id"), F.concat(F.lit("g"), (F.col("item_id") % 10).cast("string")).alias("doc_id"), F.lit(0).alias("priority"), F.expr("split_part(text, ' ', 2)").alias("needle"))
-    c = part(table(spark, d, "documents"), "doc_id < 60", whole).select(F.concat(F.lit("g"), (F.col("doc_id") % 10).cast("string")).alias("doc_id"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("chunk_id"), "text", F.lit(0).alias("char_offset"))
+    c = table(spark, d, "documents").select(F.concat(F.lit("g"), (F.col("doc_id") % 10).cast("string")).alias("doc_id"), F.col("doc_id").alias("seq"), F.col("doc_id").alias("chunk_id"), "text", F.lit(0).alias("char_offset"))
     return G.locate_evidence(b, c).select("edge_id", F.col("chunk_id").alias("chunk_doc"), "located", F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"))
 
 
-@query("""WITH RECURSIVE o AS (SELECT 'Q' || s_suppkey AS id, unnest(['n' || (s_suppkey % 11), 'm' || (s_suppkey % 30)]) AS s FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey <= 60),
+@query("""WITH RECURSIVE o AS (SELECT 'Q' || s_suppkey AS id, unnest(['n' || (s_suppkey % 11), 'm' || (s_suppkey % 30)]) AS s FROM supplier),
 adj AS (SELECT a.id AS x, b.id AS y FROM o a JOIN o b ON a.s = b.s),
 reach AS (SELECT id AS x, id AS y FROM o UNION SELECT r.x, adj.y FROM reach r JOIN adj ON r.y = adj.x)
-SELECT x AS id, min(y) AS canonical FROM reach GROUP BY x""", whole=True)
-def alias_groups(spark, d, whole=False):
-    s = part(table(spark, d, "supplier"), "s_suppkey % 2 = 0 AND s_suppkey <= 60", whole)
+SELECT x AS id, min(y) AS canonical FROM reach GROUP BY x""")
+def alias_groups(spark, d):
+    s = table(spark, d, "supplier")
     tag = lambda p, m: F.concat(F.lit(p), (F.col("s_suppkey") % m).cast("string"))
     nodes = s.select(F.concat(F.lit("Q"), F.col("s_suppkey").cast("string")).alias("id"), F.array(tag("n", 11), tag("m", 30)).alias("surfaces"))
     return G.alias_groups(nodes, cut_lineage).select("id", "canonical")
