@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import evaluation, graph, plans, ranking, repair, text, walks  # noqa: F401
+    from . import benchmark, evaluation, graph, plans, ranking, repair, text, walks  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -87,3 +87,24 @@ def seed_expansion(chunks: DataFrame, links: DataFrame, top_edges: DataFrame) ->
     tied = chunks.join(links, "chunk_id", "left").join(top_edges.withColumnRenamed("seed", "entity_id"), "entity_id", "left")
     edge = F.when(F.col("id").isNotNull(), F.struct("id", "head_id", "type", "tail_id"))
     return tied.groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("entities"), F.array_sort(F.collect_set(edge)).alias("edges"))
+
+
+def neighbourhood(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, hops: int, cap: int, cut) -> DataFrame:
+    """(query_id, id, depth, rank): breadth-first from each query's seeds, in order of insertion, until ``cap`` nodes are found.
+
+    ``edges``: head_id, tail_id, ord (insertion); ``nodes``: id; ``seeds``: query_id, place, id. Seeds that are no nodes are
+    left out, the others always count. A node's neighbours come in the order of its outgoing, then its incoming edges (of one ``ord``: by id).
+    All queries expand together, a level at a time; a node's place is that of the first node that reaches it.
+    """
+    ways = F.array(F.struct(F.col("head_id").alias("id"), F.col("tail_id").alias("to"), F.lit(0).alias("side"), "ord"), F.struct(F.col("tail_id").alias("id"), F.col("head_id").alias("to"), F.lit(1).alias("side"), "ord"))
+    near = cut(edges.select(F.explode(ways).alias("x")).select("x.*").groupBy("id", "to").agg(F.min(F.struct("side", "ord")).alias("at")))
+    start = seeds.join(nodes.select("id").distinct(), "id", "left_semi").groupBy("query_id", "id").agg(F.min("place").alias("place"))
+    order = Window.partitionBy("query_id").orderBy("place", "id")
+    seen = cut(start.select("query_id", "id", F.lit(0).alias("depth"), F.row_number().over(order).alias("rank")))
+    for depth in range(1, hops + 1):
+        have = seen.groupBy("query_id").agg(F.max("rank").alias("have")).where(F.col("have") < cap)
+        reach = seen.where(F.col("depth") == depth - 1).join(near, "id").groupBy("query_id", F.col("to").alias("id")).agg(F.min(F.struct("rank", "at")).alias("by"))
+        new = reach.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        new = new.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("by", "id"))).where(F.col("n") <= cap).join(have, "query_id").where(F.col("n") + F.col("have") <= cap)
+        seen = cut(seen.unionByName(new.select("query_id", "id", F.lit(depth).alias("depth"), (F.col("n") + F.col("have")).alias("rank"))))
+    return seen
