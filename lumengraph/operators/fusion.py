@@ -19,6 +19,16 @@ def peak(score: Column, *keys: str) -> Column:
     return F.when(top > 0, score / top).otherwise(score)
 
 
+def summed(order: str, score: str) -> Column:
+    """An aggregate: the sum of the scores from the smallest ``order`` to the largest, whatever the partitions; null scores don't count.
+
+    A plain sum adds partial sums in the order in which they arrive, so totals that are equal, and the ranks that they
+    decide, may differ from run to run in the last bit. Groups must fit a task.
+    """
+    rows = F.array_sort(F.collect_list(F.when(F.col(score).isNotNull(), F.struct(F.col(order).alias("o"), F.col(score).cast("double").alias("s")))))
+    return F.when(F.size(rows) > 0, F.aggregate(rows, F.lit(0.0), lambda total, x: total + x["s"]))
+
+
 def chunk_scores(edge_evidence: DataFrame, node_evidence: DataFrame, node_scores: DataFrame) -> DataFrame:
     """(query_id, chunk_id, graph): both endpoints' scores times confidence per edge evidence, a fifth of a node's per node evidence."""
     h = node_scores.select("query_id", F.col("id").alias("head_id"), F.col("score").alias("hs"))
