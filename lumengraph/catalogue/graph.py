@@ -123,7 +123,7 @@ adj AS (SELECT h AS a, t AS b FROM e UNION SELECT t, h FROM e),
 walk AS (SELECT 'O:1' AS id, 0 AS depth UNION SELECT adj.b, depth + 1 FROM walk JOIN adj ON walk.id = adj.a WHERE depth < 3)
 SELECT id, min(depth)::INT AS depth FROM walk GROUP BY id""")
 def khop_neighbors(spark, d):
-    e = edges(spark, d)
+    e = acted_raw(spark, d).unionByName(directed_raw(spark, d))
     return V.khop(e, spark.createDataFrame([("O:1",)], "id string"), 3, cut_lineage)
 
 
