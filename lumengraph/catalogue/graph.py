@@ -52,15 +52,14 @@ def graph_relations_upsert(spark, d):
 n AS (SELECT head_id AS id FROM e UNION SELECT tail_id FROM e)
 SELECT left(id, 1) AS kind, count(*) AS nodes, round((SELECT 2.0 * count(*) FROM pairs) / (SELECT count(*) FROM n), 2)::DOUBLE AS avg_degree FROM n GROUP BY 1""")
 def graph_stats_by_type(spark, d):
-    e = edges(spark, d)
-    deg = G.degrees(e)
+    deg = G.degrees(acted_raw(spark, d).unionByName(directed_raw(spark, d)))
     avg = deg.agg(F.round(F.sum("degree") / F.count("*"), 2).alias("avg_degree"))
     return deg.groupBy(F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(avg))
 
 
 @query(E + ", pairs AS (SELECT DISTINCT least(head_id, tail_id) AS a, greatest(head_id, tail_id) AS b FROM e), x AS (SELECT a AS id FROM pairs UNION ALL SELECT b FROM pairs) SELECT id, count(*) AS degree FROM x GROUP BY id ORDER BY degree DESC, id LIMIT 25")
 def graph_degree_hubs(spark, d):
-    return G.degrees(edges(spark, d)).orderBy(F.desc("degree"), "id").limit(25)
+    return G.degrees(acted_raw(spark, d).unionByName(directed_raw(spark, d))).orderBy(F.desc("degree"), "id").limit(25)
 
 
 @query("""WITH RECURSIVE pairs AS (SELECT 'N:' || c_nationkey AS a, 'G:' || c_mktsegment AS b FROM customer UNION SELECT 'N:' || n_nationkey, 'R:' || n_regionkey FROM nation),
