@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .views import adjacency
+from .graph import dealt
+from .views import ways
 
 SHOWN = 12
 
@@ -41,11 +42,16 @@ def citation_marks(edge_evidence: DataFrame, citations: DataFrame, most: int = 2
 
 
 def pair_verdicts(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, verdict, bridges): direct, bridged by common neighbours, or none, within these edges."""
-    near = adjacency(edges)
+    """(a, b, verdict, bridges): direct, bridged by common neighbours, or none, within these edges, which may repeat.
+
+    Neighbours are dealt by node once, and only then made distinct; both ends of the pairs meet them there.
+    """
+    n = 2 * edges.count()
+    near = dealt(ways(edges), n, "id").distinct()
     one = pairs.join(near.withColumnRenamed("id", "a"), "a")
     direct = one.where("neighbour = b").select("a", "b").distinct().withColumn("direct", F.lit(True))
-    both = one.join(near.select(F.col("id").alias("b"), F.col("neighbour").alias("n2")), "b").where("neighbour = n2")
+    far = near.withColumnRenamed("neighbour", "n2")
+    both = dealt(one, n, "b").join(far, (F.col("b") == F.col("id")) & (F.col("neighbour") == F.col("n2")))
     bridged = both.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_set("neighbour")), ",").alias("bridges"))
     out = pairs.join(direct, ["a", "b"], "left").join(bridged, ["a", "b"], "left")
     verdict = F.when(F.col("direct"), "direct").when(F.col("bridges").isNotNull(), "bridged").otherwise("none")
