@@ -14,6 +14,8 @@ from pyspark.sql.functions import pandas_udf
 SENTENCE_ENDS = "。！？!?；;"
 SOFT_BREAKS = "，,、）)】」』"
 TARGET, LONGEST, SHORTEST = 400, 700, 60
+#: Characters of texts whose chunks leave a worker at a time, but for the last text.
+CUT = 1_000_000
 
 
 def split_after(text: Column, breakers: str, limit: int) -> Column:
@@ -55,7 +57,15 @@ def chunks(text: Column, target: int = TARGET, longest: int = LONGEST, shortest:
     @pandas_udf("array<struct<off:int,text:string>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: [{"off": a, "text": x} for a, z in chunk_spans(t or "", target, longest, shortest) if (x := t[a:z].replace("\n", " ")).strip()])
+            rows, held = [], 0
+            for t in s:
+                rows.append([{"off": a, "text": x} for a, z in chunk_spans(t or "", target, longest, shortest) if (x := t[a:z].replace("\n", " ")).strip()])
+                held += len(t or "")
+                if held >= CUT:
+                    yield pd.Series(rows, dtype="object")
+                    rows, held = [], 0
+            if rows or not len(s):
+                yield pd.Series(rows, dtype="object")
 
     return cut(text)
 
