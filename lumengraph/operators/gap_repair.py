@@ -245,7 +245,7 @@ class Outcome:
 def repair(
     plans: DataFrame,
     edges: DataFrame,
-    evidence: DataFrame,
+    evidence: DataFrame | Callable[[DataFrame], DataFrame],
     chunks: DataFrame,
     names: DataFrame,
     search: Callable[[DataFrame, int], DataFrame],
@@ -262,7 +262,8 @@ def repair(
 ) -> Outcome:
     """All questions of ``plans`` (query_id, kind, subjects, minimum, boolean; one row each) at once.
 
-    ``edges``: head_id, type, tail_id, what the questions may see; ``evidence``: head_id, type, tail_id, chunk_id; ``chunks``:
+    ``edges``: head_id, type, tail_id, what the questions may see; ``evidence``: head_id, type, tail_id, chunk_id, or a function
+    that gives them for some edges; ``chunks``:
     chunk_id, doc_id, text and what ``verify`` reads; ``names``: id, name. ``search``: (query_id, question), k -> (query_id,
     chunk_id, score); ``verify``: rows of ``chunks`` -> (chunk_id, head_id, type, tail_id). The graph is never changed.
     """
@@ -273,7 +274,7 @@ def repair(
     r = cut(roots(plans))
     visible = edges.select(EDGE).distinct()
     seen = cut(scope(plans, visible))
-    linked = seen.join(evidence.select(*EDGE, "chunk_id"), EDGE).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    linked = seen.join(_evidence(evidence, seen), EDGE).join(chunks.select("chunk_id"), "chunk_id", "left_semi")
     first = linked.groupBy("query_id", "chunk_id").agg(F.min(F.struct(*EDGE)).alias("first"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy("first", "chunk_id"))
     pool = cut(first.withColumn("n", nth).where(F.col("n") <= audit).select("query_id", "chunk_id", F.lit(0.5).alias("relevance")))
@@ -345,6 +346,10 @@ def repair(
     return _prove(plans, seen, found, evidence, chunks, pool, state, top_k, cut)
 
 
+def _evidence(evidence: DataFrame | Callable[[DataFrame], DataFrame], seen: DataFrame) -> DataFrame:
+    return (evidence(seen.select(EDGE).distinct()) if callable(evidence) else evidence).select(*EDGE, "chunk_id")
+
+
 def siblings(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Filmography records in the documents of hits (query_id, text, chunk_id, relevance), or in all documents of the same person and role.
 
@@ -352,7 +357,7 @@ def siblings(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """
     owner = F.regexp_extract("doc_id", r"^(person_(?:actor|director)_.+)$", 1)
     group = F.when(owner != "", owner).otherwise(F.col("doc_id"))
-    of_hit = hits.join(chunks.select("chunk_id", group.alias("group")), "chunk_id").groupBy("query_id", "text", "group").agg(F.min("relevance").alias("relevance"))
+    of_hit = small(hits).join(chunks.select("chunk_id", group.alias("group")), "chunk_id").groupBy("query_id", "text", "group").agg(F.min("relevance").alias("relevance"))
     records = chunks.where(F.col("text").contains(RECORD_MARK)).select("chunk_id", group.alias("group"))
     return of_hit.join(records, "group").select("query_id", "text", "chunk_id", "relevance")
 
@@ -360,7 +365,7 @@ def siblings(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 def _prove(plans, seen, found, evidence, chunks, pool, state, top_k: int, cut: Cut) -> Outcome:
     active = cut(seen.unionByName(found.select("query_id", *EDGE)).distinct())
     paths = cut(proofs(plans, active))
-    graph = seen.join(evidence.select(*EDGE, "chunk_id"), EDGE).join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("query_id", *EDGE, "chunk_id")
+    graph = seen.join(_evidence(evidence, seen), EDGE).join(chunks.select("chunk_id"), "chunk_id", "left_semi").select("query_id", *EDGE, "chunk_id")
     support = graph.unionByName(found).distinct().join(pool, ["query_id", "chunk_id"], "left")
     support = support.groupBy("query_id", *EDGE).agg(F.array_sort(F.collect_list(F.struct("chunk_id", F.coalesce("relevance", F.lit(0.0)).alias("relevance")))).alias("candidates"))
     steps = paths.select("query_id", "answer_id", "proof", F.posexplode("edges").alias("n", "e")).select("query_id", "answer_id", "proof", "n", "e.*").join(support, ["query_id", *EDGE], "left")
